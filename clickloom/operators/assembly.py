@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from clickloom.operators.counts import add_count_maps
-from clickloom.operators.timefeat import add_time_features
+from clickloom.operators.counts import count_maps
+from clickloom.operators.timefeat import time_tables
+from clickloom.plans.joins import attach_all
 from clickloom.schema import COUNT_KEYS, TIME, TIME_KEYS, feature_name
 
 BASE_FEATURES = [
@@ -27,9 +28,9 @@ def staged_features(
     chunk_rows: int | None = None,
 ) -> DataFrame:
     """Base table (with codes) plus 12 count and 8 time features, fitted over `fit_on`."""
+    tables = []
     if counts:
-        df = add_count_maps(df, fit_on, COUNT_KEYS, chunk_rows)
+        tables += count_maps(fit_on, COUNT_KEYS)
     if times:
-        for key in TIME_KEYS:
-            df = add_time_features(df, fit_on, key, time, wrap=wrap, chunk_rows=chunk_rows)
-    return df
+        tables += time_tables(fit_on, TIME_KEYS, time, wrap=wrap, chunk_rows=chunk_rows)
+    return attach_all(df, tables, chunk_rows)

@@ -27,11 +27,16 @@ def count_map(dfs: Sequence[DataFrame], cols, name: str | None = None) -> DataFr
     return rows.groupBy(*cols).agg(F.count(F.lit(1)).alias(name or feature_name(cols, "cnt")))
 
 
+def count_maps(dfs: Sequence[DataFrame], key_sets: Sequence[Sequence[str]] = COUNT_KEYS) -> list[tuple[list[str], DataFrame]]:
+    """(keys, count map) per key set."""
+    return [(as_list(cols), count_map(dfs, cols)) for cols in key_sets]
+
+
 def add_count_maps(
     df: DataFrame, fit_on: Sequence[DataFrame], key_sets: Sequence[Sequence[str]] = COUNT_KEYS, chunk_rows: int | None = None
 ) -> DataFrame:
     """Attach the row count of each key set."""
-    return attach_all(df, [(cols, count_map(fit_on, cols)) for cols in key_sets], chunk_rows)
+    return attach_all(df, count_maps(fit_on, key_sets), chunk_rows)
 
 
 def add_named_counts(

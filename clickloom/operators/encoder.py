@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickloom.operators.splits import kfold
-from clickloom.plans.joins import attach
+from clickloom.plans.joins import attach, attach_all
 from clickloom.plans.quantiles import grouped_quantiles
 from clickloom.plans.splits import is_null_key
 from clickloom.schema import ROW_ID, as_list, feature_name
@@ -145,49 +145,82 @@ class GroupEncoder:
         return df.groupBy(*cols).agg(build(F.col(self.target), **self.func_kwargs).alias(self.feature))
 
 
-def encode(
+def add_encodings(
     fit_on: Sequence[DataFrame],
     apply_to: Sequence[DataFrame],
-    encoder: GroupEncoder,
+    encoders: Sequence[GroupEncoder],
     fill: float | int | None = None,
     chunk_rows: int | None = None,
 ) -> list[DataFrame]:
-    """Fit once, add the feature to each table, and fill what is missing."""
-    model = encoder.fit(*fit_on)
-    out = [model.transform(df, chunk_rows=chunk_rows) for df in apply_to]
-    return [df.fillna({model.name: fill}) for df in out] if fill is not None else out
+    """Fit all encoders on the same tables, add their features to each table, and fill what is missing.
+
+    Fitting reads the tables as given, not as extended by the other features, so the
+    plan grows with the number of features and not with its square or worse.
+    """
+    models = [e.fit(*fit_on) for e in encoders]
+    out = [attach_all(df, [(m.cols, m.table) for m in models], chunk_rows) for df in apply_to]
+    return [df.fillna({m.name: fill for m in models}) for df in out] if fill is not None else out
+
+
+KeySets = Sequence[str | Sequence[str]]
 
 
-def count_feature(
-    tr: DataFrame, val: DataFrame, cols, target: str, supp: DataFrame | None = None, chunk_rows: int | None = None
+def count_features(
+    tr: DataFrame, val: DataFrame, key_sets: KeySets, target: str, supp: DataFrame | None = None, chunk_rows: int | None = None
 ) -> list[DataFrame]:
     """Non-null targets per key, fitted on both tables, or on `tr` and the supplement when one is given."""
-    other = val if supp is None else supp
-    return encode([tr, other], [tr, val], GroupEncoder(cols, target, "count", feature_name(cols, "count")), chunk_rows=chunk_rows)
+    encoders = [GroupEncoder(cols, target, "count", feature_name(cols, "count")) for cols in key_sets]
+    return add_encodings([tr, val if supp is None else supp], [tr, val], encoders, chunk_rows=chunk_rows)
 
 
-def distinct_feature(
-    tr: DataFrame, val: DataFrame, cols, target: str, approximate: bool = False, chunk_rows: int | None = None
+def distinct_features(
+    tr: DataFrame,
+    val: DataFrame,
+    pairs: Sequence[tuple[Sequence[str], str]],
+    approximate: bool = False,
+    chunk_rows: int | None = None,
 ) -> list[DataFrame]:
-    """Distinct targets per key over both tables; 0 where the key is null."""
+    """Distinct targets per key over both tables, for (keys, target) pairs; 0 where the key is null."""
     func = "approx_nunique" if approximate else "nunique"
-    return encode([tr, val], [tr, val], GroupEncoder(cols, target, func, feature_name(cols, "unq", target)), 0, chunk_rows)
+    encoders = [GroupEncoder(cols, target, func, feature_name(cols, "unq", target)) for cols, target in pairs]
+    return add_encodings([tr, val], [tr, val], encoders, 0, chunk_rows)
 
 
-def std_feature(tr: DataFrame, val: DataFrame, cols, target: str, chunk_rows: int | None = None) -> list[DataFrame]:
+def std_features(
+    tr: DataFrame, val: DataFrame, key_sets: KeySets, target: str, chunk_rows: int | None = None
+) -> list[DataFrame]:
     """Sample deviation of the target per key over both tables; null for keys with one row."""
-    return encode([tr, val], [tr, val], GroupEncoder(cols, target, "std"), chunk_rows=chunk_rows)
+    return add_encodings([tr, val], [tr, val], [GroupEncoder(c, target, "std") for c in key_sets], chunk_rows=chunk_rows)
 
 
-def mean_feature(tr: DataFrame, val: DataFrame, cols, target: str, min_count: int = 0) -> list[DataFrame]:
+def mean_features(
+    tr: DataFrame, val: DataFrame, key_sets: KeySets, target: str, min_count: int = 0, chunk_rows: int | None = None
+) -> list[DataFrame]:
     """Mean target per key, fitted on `tr` and applied to both. On `tr` it sees the row's own target."""
-    return encode([tr], [tr, val], GroupEncoder(cols, target, "mean", min_count=min_count))
+    encoders = [GroupEncoder(c, target, "mean", min_count=min_count) for c in key_sets]
+    return add_encodings([tr], [tr, val], encoders, chunk_rows=chunk_rows)
 
 
-def out_of_fold_mean(
+def _fold_means(tr: DataFrame, cols: list[str], target: str, min_count: int) -> tuple[DataFrame, DataFrame]:
+    """(mean over the other folds per key and fold, mean over all folds per key)."""
+    name = feature_name(cols, "mean")
+    per_fold = (
+        tr.where(~is_null_key(cols)).groupBy(*cols, "_fold")
+        .agg(F.sum(target).alias("_s"), F.count(target).alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    )
+    # At most k rows per key meet in a window of this small table.
+    key = Window.partitionBy(*cols)
+    rest = lambda c: F.sum(c).over(key) - F.coalesce(F.col(c), F.lit(0))
+    enough = rest("_rows") >= min_count
+    folds = per_fold.select(*cols, "_fold", F.when(enough, F.try_divide(rest("_s"), rest("_n"))).alias(name))
+    totals = per_fold.groupBy(*cols).agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"), F.sum("_rows").alias("_rows"))
+    return folds, totals.select(*cols, F.when(F.col("_rows") >= min_count, F.try_divide("_s", "_n")).alias(name))
+
+
+def out_of_fold_means(
     tr: DataFrame,
     val: DataFrame,
-    cols,
+    key_sets: KeySets,
     target: str,
     k: int = 5,
     seed: int | None = 786,
@@ -200,24 +233,16 @@ def out_of_fold_mean(
     One grouping by (key, fold) gives every fold's answer: the total of the key minus
     the share of the fold. Null where the other folds lack the key.
     """
-    cols, name = as_list(cols), feature_name(cols, "mean")
     tr = tr.withColumn("_fold", kfold(k, seed) if fold is None else fold)
-    per_fold = (
-        tr.where(~is_null_key(cols)).groupBy(*cols, "_fold")
-        .agg(F.sum(target).alias("_s"), F.count(target).alias("_n"), F.count(F.lit(1)).alias("_rows"))
-    )
-    # At most k rows per key meet in a window of this small table.
-    key = Window.partitionBy(*cols)
-    rest = lambda c: F.sum(c).over(key) - F.coalesce(F.col(c), F.lit(0))
-    enough = rest("_rows") >= min_count
-    folds = per_fold.select(*cols, "_fold", F.when(enough, F.try_divide(rest("_s"), rest("_n"))).alias(name))
-    totals = per_fold.groupBy(*cols).agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"), F.sum("_rows").alias("_rows"))
-    totals = totals.select(*cols, F.when(F.col("_rows") >= min_count, F.try_divide("_s", "_n")).alias(name))
-    tr_out = attach(tr, folds, [*cols, "_fold"], chunk_rows=chunk_rows).drop("_fold")
-    return [tr_out, attach(val, totals, cols, chunk_rows=chunk_rows)]
+    sets = [as_list(c) for c in key_sets]
+    tables = [_fold_means(tr, cols, target, min_count) for cols in sets]
+    tr_out = attach_all(tr, [([*cols, "_fold"], folds) for cols, (folds, _) in zip(sets, tables)], chunk_rows)
+    val_out = attach_all(val, [(cols, totals) for cols, (_, totals) in zip(sets, tables)], chunk_rows)
+    return [tr_out.drop("_fold"), val_out]
 
 
-def stacked_count_mean(tr: DataFrame, val: DataFrame, cols, target: str) -> list[DataFrame]:
+def stacked_count_means(tr: DataFrame, val: DataFrame, key_sets: KeySets, target: str) -> list[DataFrame]:
     """Mean target per value of a count feature: rows whose keys are equally frequent share a mean."""
-    counted = encode([tr], [tr, val], GroupEncoder(cols, target, "count", feature_name(cols, "count")))
-    return mean_feature(counted[0], counted[1], feature_name(cols, "count"), target)
+    encoders = [GroupEncoder(c, target, "count", feature_name(c, "count")) for c in key_sets]
+    counted = add_encodings([tr], [tr, val], encoders)
+    return mean_features(*counted, [e.feature for e in encoders], target)

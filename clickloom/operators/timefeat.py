@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.operators.counts import time_pair_counts, union_logs
-from clickloom.plans.joins import attach
+from clickloom.plans.joins import attach, attach_all
 from clickloom.plans.ordered import Shift, ordered_features
 from clickloom.plans.splits import is_null_key, split_points
 from clickloom.schema import ROW_ID, TIME, as_list, feature_name
@@ -29,21 +29,36 @@ def time_table(
     return table.withColumn(feature_name(cols, "timediff"), gap).drop("_before")
 
 
+def time_tables(
+    fit_on: Sequence[DataFrame],
+    key_sets: Sequence[str | Sequence[str]],
+    time: str = TIME,
+    na_val: int = FIRST_GAP,
+    wrap: bool = False,
+    chunk_rows: int | None = None,
+) -> list[tuple[list[str], DataFrame]]:
+    """(join keys, time table) per key set; with `wrap` counts wrap at 256."""
+    tables = []
+    for cols in key_sets:
+        table = time_table(fit_on, cols, time, na_val, chunk_rows)
+        if wrap:
+            count = feature_name(cols, "timecount")
+            table = table.withColumn(count, F.pmod(F.col(count), F.lit(256)))
+        tables.append(([*as_list(cols), time], table))
+    return tables
+
+
 def add_time_features(
     df: DataFrame,
     fit_on: Sequence[DataFrame],
-    cols,
+    key_sets: Sequence[str | Sequence[str]],
     time: str = TIME,
     na_val: int = FIRST_GAP,
     wrap: bool = False,
     chunk_rows: int | None = None,
 ) -> DataFrame:
-    """Attach `<key>_timecount` and `<key>_timediff`; with `wrap` the count wraps at 256."""
-    table = time_table(fit_on, cols, time, na_val, chunk_rows)
-    if wrap:
-        count = feature_name(cols, "timecount")
-        table = table.withColumn(count, F.pmod(F.col(count), F.lit(256)))
-    return attach(df, table, [*as_list(cols), time], chunk_rows=chunk_rows)
+    """Attach `<key>_timecount` and `<key>_timediff` for each key set."""
+    return attach_all(df, time_tables(fit_on, key_sets, time, na_val, wrap, chunk_rows), chunk_rows)
 
 
 def from_supplement(

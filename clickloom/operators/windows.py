@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.operators.encoder import GroupEncoder
-from clickloom.plans.joins import attach
+from clickloom.operators.encoder import GroupEncoder, add_encodings
+from clickloom.plans.joins import KeySample, attach
 from clickloom.plans.ordered import RollingMean, Running, Shift, ordered_features
 from clickloom.plans.splits import split_points
 from clickloom.schema import LABEL, ROW_ID, SPLIT, TIME, TIME_ORDER, as_list, feature_name
@@ -29,6 +29,7 @@ def click_gaps(
     order: Sequence[str] = TIME_ORDER,
     names: Sequence[str] | None = None,
     chunk_rows: int | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Time since the n-th earlier click and until the n-th later click of the same key.
 
@@ -39,13 +40,21 @@ def click_gaps(
     names = list(names or [feature_name(cols, f"prev_click_{n}") for n in prev] + [feature_name(cols, f"next_click_{n}") for n in nxt])
     t = F.col(time)
     shifts = [Shift(f"_p{n}", t, n) for n in prev] + [Shift(f"_n{n}", t, -n) for n in nxt]
-    out = ordered_features(df, [*cols, *within], order, shifts, chunk_rows)
+    out = ordered_features(df, [*cols, *within], order, shifts, chunk_rows, source=source)
     gaps = [t - F.col(f"_p{n}") for n in prev] + [F.col(f"_n{n}") - t for n in nxt]
     if fill is not None:
         gaps = [F.coalesce(g, F.lit(fill)) for g in gaps]
     return out.select(*df.columns, *[g.alias(name) for g, name in zip(gaps, names)])
 
 
+def click_gaps_all(df: DataFrame, key_sets: Sequence[str | Sequence[str]], **options) -> DataFrame:
+    """`click_gaps` for several key sets."""
+    out = df
+    for cols in key_sets:
+        out = click_gaps(out, cols, source=df, **options)
+    return out
+
+
 def last_next_union(tr: DataFrame, val: DataFrame, cols, chunk_rows: int | None = None) -> DataFrame:
     """Gaps over both tables together (tagged by split), nulls where there is no neighbour."""
     cols = as_list(cols)
@@ -67,14 +76,14 @@ def _previous_group(tr: DataFrame, col: str, target: str, chunk_rows: int | None
 def expanding(
     tr: DataFrame,
     val: DataFrame | None,
-    col: str,
+    cols: Sequence[str],
     target: str = LABEL,
     stats: Sequence[str] = ("mean", "count"),
     group_shift: str = "group",
     order: Sequence[str] = TIME_ORDER,
     chunk_rows: int | None = None,
 ) -> list[DataFrame]:
-    """Mean and count of the target over the earlier rows of the key (`_expmean`, `_expcount`).
+    """Per key column, mean and count of the target over the earlier rows of the key (`_expmean`, `_expcount`).
 
     On `val` it is the statistic over all of `tr`. Fills: -1 for means, 0 for counts.
     `group_shift='global'` gives the first row of a key the final value of the previous
@@ -82,27 +91,24 @@ def expanding(
     """
     if group_shift not in ("group", "global"):
         raise ValueError(f"unknown group_shift {group_shift!r}")
+    empty = {"mean": -1.0, "count": 0}
     y = F.col(target)
-    parts = [Running("_s", y, "sum"), Running("_n", y, "count"), Running("_rows", F.lit(1), "count")]
-    out = ordered_features(tr, [col], order, parts, chunk_rows)
-    if group_shift == "global":
-        out = attach(out, _previous_group(tr, col, target, chunk_rows), [col], chunk_rows=chunk_rows)
-        first = F.col("_rows") == 0
-        s = F.when(first, F.col("_prev_s")).otherwise(F.col("_s"))
-        n = F.when(first, F.col("_prev_n")).otherwise(F.col("_n"))
-    else:
+    out = tr
+    for col in as_list(cols):
+        parts = [Running("_s", y, "sum"), Running("_n", y, "count"), Running("_rows", F.lit(1), "count")]
+        step = ordered_features(out, [col], order, parts, chunk_rows, source=tr)
         s, n = F.col("_s"), F.col("_n")
-    made = {
-        "mean": (feature_name(col, "expmean"), F.coalesce(F.try_divide(s, n), F.lit(-1.0))),
-        "count": (feature_name(col, "expcount"), F.coalesce(n, F.lit(0))),
-    }
-    outs = [out.select(*tr.columns, *[made[s][1].alias(made[s][0]) for s in stats])]
+        if group_shift == "global":
+            step = attach(step, _previous_group(tr, col, target, chunk_rows), [col], KeySample(tr, [col], chunk_rows))
+            first = F.col("_rows") == 0
+            s, n = F.when(first, F.col("_prev_s")).otherwise(s), F.when(first, F.col("_prev_n")).otherwise(n)
+        made = {"mean": F.coalesce(F.try_divide(s, n), F.lit(-1.0)), "count": F.coalesce(n, F.lit(0))}
+        out = step.select(*out.columns, *[made[stat].alias(feature_name(col, f"exp{stat}")) for stat in stats])
+    outs = [out]
     if val is not None:
-        for stat, empty in (("mean", -1.0), ("count", 0)):
-            if stat in stats:
-                val = GroupEncoder(col, target, stat, made[stat][0]).fit(tr).transform(val, chunk_rows=chunk_rows)
-                val = val.fillna({made[stat][0]: empty})
-        outs.append(val)
+        encoders = [GroupEncoder(c, target, stat, feature_name(c, f"exp{stat}")) for c in as_list(cols) for stat in stats]
+        (val,) = add_encodings([tr], [val], encoders, chunk_rows=chunk_rows)
+        outs.append(val.fillna({feature_name(c, f"exp{stat}"): empty[stat] for c in as_list(cols) for stat in stats}))
     return outs
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from clickloom.plans.splits import MIN_CHUNK_ROWS, SAMPLES_PER_PIECE, is_null_key, piece_rows
 
-_SALT, _PIECES = "_salt", "_pieces"
+_SALT, _PIECES = "__salt", "__pieces"
 
 
 class KeySample:

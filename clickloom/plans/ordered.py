@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from clickloom.plans.splits import CHUNK, SplitPoints, is_null_key, split_points
 
-_RN, _ROWS, _TAIL, _HEAD = "_rn", "_rows", "_tail", "_head"
+_RN, _ROWS, _TAIL, _HEAD = "__rn", "__rows", "__tail", "__head"
 
 
 @dataclass(frozen=True)
@@ -92,22 +92,27 @@ def ordered_features(
     features: Sequence[Feature],
     chunk_rows: int | None = None,
     splits: SplitPoints | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add `features`, computed per `keys` group in `order` (which must be unique within a group).
 
     Rows with a null key get null features. With no keys the table is one ordered group.
+    `source` has the same rows as `df` but a shorter plan (say, before other features
+    were added); split points and carried values are read from it.
     """
     keys, order = list(keys), list(order)
-    splits = splits or split_points(df, keys, order, chunk_rows)
-    values = [(F.lit(None) if f.value is None else f.value).alias(f"_v{i}") for i, f in enumerate(features)]
+    source = df if source is None else source
+    splits = splits or split_points(source, keys, order, chunk_rows)
+    values = [(F.lit(None) if f.value is None else f.value).alias(f"__v{i}") for i, f in enumerate(features)]
     base = splits.assign(df.select("*", *values))
     w = Window.partitionBy(*keys, *splits.columns).orderBy(*order)
     local = base.select(
-        "*", F.row_number().over(w).alias(_RN), *[_local(f, i, w).alias(f"_l{i}") for i, f in enumerate(features)]
+        "*", F.row_number().over(w).alias(_RN), *[_local(f, i, w).alias(f"__l{i}") for i, f in enumerate(features)]
     )
     cut = splits.table is not None
     if cut:
-        carry = _carry(base, keys, order, features)
+        narrow = source.select(*dict.fromkeys([*keys, *order]), *values)
+        carry = _carry(splits.assign(narrow, only_cut=True), keys, order, features)
         local = local.join(F.broadcast(carry), [*keys, CHUNK], "left")
     out = [(_final(f, i) if cut else _plain(f, i)) for i, f in enumerate(features)]
     if keys:
@@ -116,7 +121,7 @@ def ordered_features(
 
 
 def _local(f: Feature, i: int, w) -> Column:
-    v = F.col(f"_v{i}")
+    v = F.col(f"__v{i}")
     if isinstance(f, Running):
         return _AGG[f.how](v).over(w.rowsBetween(Window.unboundedPreceding, 0 if f.current else -1))
     if isinstance(f, Shift):
@@ -130,7 +135,7 @@ def _local(f: Feature, i: int, w) -> Column:
 
 
 def _plain(f: Feature, i: int) -> Column:
-    loc = F.col(f"_l{i}")
+    loc = F.col(f"__l{i}")
     if isinstance(f, LastN):
         return F.transform(loc, lambda s: s["v"])
     if isinstance(f, RollingMean):
@@ -142,10 +147,10 @@ def _plain(f: Feature, i: int) -> Column:
 
 def _final(f: Feature, i: int) -> Column:
     """Local value put together with what the neighbouring pieces carry in."""
-    loc, rn, rows, tail, head = (F.col(c) for c in (f"_l{i}", _RN, _ROWS, _TAIL, _HEAD))
-    item = f"_v{i}"
+    loc, rn, rows, tail, head = (F.col(c) for c in (f"__l{i}", _RN, _ROWS, _TAIL, _HEAD))
+    item = f"__v{i}"
     if isinstance(f, Running):
-        return _combine(f.how, loc, F.col(f"_c{i}"))
+        return _combine(f.how, loc, F.col(f"__c{i}"))
     if isinstance(f, Shift) and f.n > 0:
         return F.when(rn > f.n, loc).otherwise(F.try_element_at(tail, rn - (f.n + 1))[item])
     if isinstance(f, Shift):
@@ -163,23 +168,22 @@ def _final(f: Feature, i: int) -> Column:
         s = _combine("sum", loc["s"], F.aggregate(before, F.lit(0.0), lambda a, v: a + v))
         n = loc["n"] + F.size(before)
         return F.when((rn >= f.n) | tail.isNull(), F.try_divide(loc["s"], loc["n"])).otherwise(F.try_divide(s, n))
-    return (loc - 1 + F.coalesce(F.col(f"_c{i}"), F.lit(0))).cast("bigint")
+    return (loc - 1 + F.coalesce(F.col(f"__c{i}"), F.lit(0))).cast("bigint")
 
 
-def _carry(base: DataFrame, keys: list[str], order: list[str], features: Sequence[Feature]) -> DataFrame:
+def _carry(hot: DataFrame, keys: list[str], order: list[str], features: Sequence[Feature]) -> DataFrame:
     """One row per piece of a cut group: totals before it and the rows next to its edges.
 
     The rows kept per piece are limited by the largest shift, and that limit is applied
     on the map side, before the exchange.
     """
     group = [*keys, CHUNK]
-    hot = base.where(F.col(CHUNK) >= 0)
     aggs = [F.count(F.lit(1)).alias(_ROWS)]
     for i, f in enumerate(features):
         if isinstance(f, Running):
-            aggs.append(_AGG[f.how](f"_v{i}").alias(f"_t{i}"))
+            aggs.append(_AGG[f.how](f"__v{i}").alias(f"__t{i}"))
         elif isinstance(f, Position):
-            aggs.append(F.count(F.lit(1)).alias(f"_t{i}"))
+            aggs.append(F.count(F.lit(1)).alias(f"__t{i}"))
     by_piece = Window.partitionBy(*keys).orderBy(CHUNK)
     earlier = by_piece.rowsBetween(Window.unboundedPreceding, -1)
     carry = hot.groupBy(*group).agg(*aggs)
@@ -187,19 +191,19 @@ def _carry(base: DataFrame, keys: list[str], order: list[str], features: Sequenc
     for i, f in enumerate(features):
         if isinstance(f, (Running, Position)):
             how = f.how if isinstance(f, Running) else "count"
-            columns.append(_MERGE[how](f"_t{i}").over(earlier).alias(f"_c{i}"))
+            columns.append(_MERGE[how](f"__t{i}").over(earlier).alias(f"__c{i}"))
 
     back = max((_reach(f) for f in features), default=0)
     ahead = max((-f.n for f in features if isinstance(f, Shift)), default=0)
     if back:
-        carry = carry.join(_edge(hot, group, order, features, back, F.desc).withColumnRenamed("_edge", "_own_tail"), group)
-        near = F.flatten(F.collect_list("_own_tail").over(by_piece.rowsBetween(-back, -1)))
+        carry = carry.join(_edge(hot, group, order, features, back, F.desc).withColumnRenamed("__edge", "__own_tail"), group)
+        near = F.flatten(F.collect_list("__own_tail").over(by_piece.rowsBetween(-back, -1)))
         columns.append(last_of(near, back).alias(_TAIL))
     else:
         columns.append(F.lit(None).alias(_TAIL))
     if ahead > 0:
-        carry = carry.join(_edge(hot, group, order, features, ahead, F.asc).withColumnRenamed("_edge", "_own_head"), group)
-        near = F.flatten(F.collect_list("_own_head").over(by_piece.rowsBetween(1, ahead)))
+        carry = carry.join(_edge(hot, group, order, features, ahead, F.asc).withColumnRenamed("__edge", "__own_head"), group)
+        near = F.flatten(F.collect_list("__own_head").over(by_piece.rowsBetween(1, ahead)))
         columns.append(F.slice(near, 1, ahead).alias(_HEAD))
     return carry.select(*columns)
 
@@ -218,7 +222,7 @@ def _edge(hot: DataFrame, group: list[str], order: list[str], features, n: int,
     """The first or last `n` rows of each piece, in order."""
     w = Window.partitionBy(*group).orderBy(*[direction(o) for o in order])
     item = F.struct(
-        F.struct(*order).alias("at"), *[F.col(f"_v{i}") for i, f in enumerate(features) if not isinstance(f, Position)]
+        F.struct(*order).alias("at"), *[F.col(f"__v{i}") for i, f in enumerate(features) if not isinstance(f, Position)]
     )
-    kept = hot.withColumn("_edge_rn", F.row_number().over(w)).where(F.col("_edge_rn") <= n)
-    return kept.groupBy(*group).agg(F.sort_array(F.collect_list(item)).alias("_edge"))
+    kept = hot.withColumn("__edge_rn", F.row_number().over(w)).where(F.col("__edge_rn") <= n)
+    return kept.groupBy(*group).agg(F.sort_array(F.collect_list(item)).alias("__edge"))

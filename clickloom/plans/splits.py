@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK = "_chunk"
+CHUNK = "__chunk"
 UNSPLIT = -1
 MIN_CHUNK_ROWS = 1_000_000
 MIN_GLOBAL_CHUNK_ROWS = 10_000
@@ -63,26 +63,30 @@ class SplitPoints:
     def columns(self) -> list[str]:
         return [CHUNK] if self.table is not None or self.spread_nulls else []
 
-    def assign(self, df: DataFrame) -> DataFrame:
-        """Add the piece number: 0.. for cut groups in order, -1 for whole groups, below that for null keys."""
+    def assign(self, df: DataFrame, only_cut: bool = False) -> DataFrame:
+        """Add the piece number: 0.. for cut groups in order, -1 for whole groups, below that for null keys.
+
+        With `only_cut`, just the rows of cut groups are kept. Callers use it rather than
+        a filter on the number, which the optimizer would copy into every search step.
+        """
         if not self.columns:
             return df
         names = df.columns
         chunk = F.lit(UNSPLIT)
         if self.table is not None:
             if self.keys:
-                df = df.join(F.broadcast(self.table), list(self.keys), "left")
+                df = df.join(F.broadcast(self.table), list(self.keys), "inner" if only_cut else "left")
             else:
-                df = df.withColumn("_cuts", self.table.scalar())
-            df = df.select(*names, "_cuts", F.struct(*self.order).alias("_at"), F.lit(0).alias("_pos"))
+                df = df.withColumn("__cuts", self.table.scalar())
+            df = df.select(*names, "__cuts", F.struct(*self.order).alias("__at"), F.lit(0).alias("__pos"))
             # Binary search, one step per projection, so that it compiles with the rest of the stage.
             for step in (2**i for i in reversed(range(self.depth))):
-                hit = F.get("_cuts", F.col("_pos") + (step - 1)) <= F.col("_at")
+                hit = F.get("__cuts", F.col("__pos") + (step - 1)) <= F.col("__at")
                 df = df.select(
-                    *names, "_cuts", "_at", (F.col("_pos") + F.when(hit, step).otherwise(0)).alias("_pos")
+                    *names, "__cuts", "__at", (F.col("__pos") + F.when(hit, step).otherwise(0)).alias("__pos")
                 )
-            chunk = F.when(F.col("_cuts").isNotNull(), F.col("_pos")).otherwise(chunk)
-        if self.spread_nulls:
+            chunk = F.when(F.col("__cuts").isNotNull(), F.col("__pos")).otherwise(chunk)
+        if self.spread_nulls and not only_cut:
             spread = (F.lit(UNSPLIT - 1) - F.pmod(F.xxhash64(*self.order), F.lit(self.spread_nulls))).cast("int")
             chunk = F.when(is_null_key(self.keys), spread).otherwise(chunk)
         return df.select(*names, chunk.alias(CHUNK))
@@ -139,7 +143,7 @@ def split_points(
 
     point = T.StructType([T.StructField(o, df.schema[o].dataType) for o in order])
     schema = T.StructType(
-        [T.StructField(k, df.schema[k].dataType) for k in keys] + [T.StructField("_cuts", T.ArrayType(point))]
+        [T.StructField(k, df.schema[k].dataType) for k in keys] + [T.StructField("__cuts", T.ArrayType(point))]
     )
     depth = max(len(c[-1]) for c in cuts).bit_length()
     return SplitPoints(keys, order, spark.createDataFrame(cuts, schema), depth, spread_nulls)
