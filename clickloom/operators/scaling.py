@@ -45,8 +45,7 @@ class QuantileMap:
         cls, df: DataFrame, cols: Sequence[str], n_quantiles: int = 1000, chunk_rows: int | None = None
     ) -> QuantileMap:
         n = max(1, min(n_quantiles, df.count()))
-        probs = np.linspace(0, 1, n).tolist()
-        found = grouped_quantiles(melt(df, cols), ["name"], "value", probs, chunk_rows).collect()
+        found = grouped_quantiles(melt(df, cols), ["name"], "value", n, chunk_rows).collect()
         return cls({r["name"]: r["quantiles"] for r in found})
 
     def transform(self, df: DataFrame, output: str = "normal", suffix: str = "") -> DataFrame:

@@ -31,29 +31,37 @@ def running_counts(df: DataFrame, keys: Sequence[str], value: str, chunk_rows: i
 
 
 def grouped_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], chunk_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float] | int, chunk_rows: int | None = None
 ) -> DataFrame:
     """Linear-interpolated quantiles per group: `keys`, `quantiles` (array in the order of `probs`).
 
-    Null values are left out; keys must not be null. At most two ranks per probability
-    and group are gathered.
+    A number in place of `probs` means that many, evenly spaced from 0 to 1. Null values
+    are left out; keys must not be null. At most two ranks per probability and group are gathered.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias(value))
     ranked = running_counts(rows, keys, value, chunk_rows)
     totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
     ranked = ranked.join(totals, keys) if keys else ranked.withColumn("_total", totals.scalar())
-    # Keep a value for each probability whose lower or upper rank it covers.
-    wanted = F.array(
-        *[F.struct(F.lit(i).alias("i"), ((F.col("_total") - 1) * F.lit(float(p))).alias("at")) for i, p in enumerate(probs)]
-    )
+    last = F.col("_total") - 1
+    if isinstance(probs, int):
+        # The value covers ranks before .. before + n - 1, so only nearby steps of the grid can fall on it.
+        steps = max(probs - 1, 1)
+        first_step = F.greatest(F.floor((F.col("before") - 1) * steps / F.greatest(last, F.lit(1))), F.lit(0))
+        last_step = F.least(F.ceil((F.col("before") + F.col("n")) * steps / F.greatest(last, F.lit(1))), F.lit(probs - 1))
+        near = F.when(first_step <= last_step, F.sequence(first_step, last_step))
+        picked = ranked.select(*keys, value, "before", "n", last.alias("_last"), F.explode(near).alias("i"))
+        picked = picked.withColumn("_rank", F.col("_last") * F.col("i") / steps)
+    else:
+        wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+        picked = ranked.select(*keys, value, "before", "n", last.alias("_last"), F.explode(wanted).alias("w"))
+        picked = picked.select(*keys, value, "before", "n", F.col("w.i").alias("i"), (F.col("_last") * F.col("w.p")).alias("_rank"))
     covers = lambda rank: (rank >= F.col("before")) & (rank < F.col("before") + F.col("n"))
-    hits = F.filter(wanted, lambda s: covers(F.floor(s["at"])) | covers(F.ceil(s["at"])))
-    picked = ranked.select(*keys, value, "before", "n", F.explode(hits).alias("h"))
-    at = F.col("h.at")
-    low = F.max(F.when(covers(F.floor(at)), F.col(value)))
-    high = F.max(F.when(covers(F.ceil(at)), F.col(value)))
-    frac = F.max(at - F.floor(at))
-    per_prob = picked.groupBy(*keys, F.col("h.i").alias("i")).agg((low + (high - low) * frac).alias("q"))
+    rank = F.col("_rank")
+    picked = picked.where(covers(F.floor(rank)) | covers(F.ceil(rank)))
+    low = F.max(F.when(covers(F.floor(rank)), F.col(value)))
+    high = F.max(F.when(covers(F.ceil(rank)), F.col(value)))
+    frac = F.max(rank - F.floor(rank))
+    per_prob = picked.groupBy(*keys, "i").agg((low + (high - low) * frac).alias("q"))
     item = F.sort_array(F.collect_list(F.struct("i", "q")))
     return per_prob.groupBy(*keys).agg(F.transform(item, lambda s: s["q"]).alias("quantiles"))

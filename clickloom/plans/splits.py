@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 CHUNK = "__chunk"
 UNSPLIT = -1
 MIN_CHUNK_ROWS = 1_000_000
-MIN_GLOBAL_CHUNK_ROWS = 10_000
+MIN_GLOBAL_CHUNK_ROWS = 250_000
 PIECES_PER_PARTITION = 2
 SAMPLES_PER_PIECE = 20
 
@@ -108,11 +108,11 @@ def split_points(
     keys, order = tuple(keys), tuple(order)
     spark = df.sparkSession
     narrow = df.select(*dict.fromkeys([*keys, *order]))
-    if distinct:
+    floor = MIN_CHUNK_ROWS if keys else MIN_GLOBAL_CHUNK_ROWS
+    rows = df.count()
+    if distinct and rows > (chunk_rows or floor):
         rows = narrow.agg(F.approx_count_distinct(F.xxhash64(*narrow.columns))).first()[0]
-    else:
-        rows = narrow.count()
-    size = piece_rows(spark, rows, MIN_CHUNK_ROWS if keys else MIN_GLOBAL_CHUNK_ROWS, chunk_rows)
+    size = piece_rows(spark, rows, floor, chunk_rows)
     if rows <= size:
         return SplitPoints(keys, order)
 

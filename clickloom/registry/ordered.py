@@ -193,7 +193,7 @@ def win_history_split_keys(spark, sf):
     return joined(histories(clicks(spark, sf), key="app", deltas=False, chunk_rows=100), HISTORIES)
 
 
-DELTA_SQL = f"""SELECT row_id, list_transform(range(2, len(ts) + 1), i -> CAST(ts[i] - ts[i - 1] AS INTEGER)) AS d FROM (
+DELTA_SQL = f"""SELECT row_id, [CAST(ts[i] - ts[i - 1] AS INTEGER) FOR i IN range(2, len(ts) + 1)] AS d FROM (
   SELECT row_id, coalesce(list(epoch_time) OVER (PARTITION BY ip {ORDER} ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING), []) AS ts FROM clicks)"""
 
 
@@ -244,23 +244,23 @@ def win_sortedness_check(spark, sf):
 PLATEAU_SQL = """
 WITH m AS (SELECT event_type, event_id, avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS a FROM events),
 b AS (SELECT *, min(a) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM m),
-s AS (SELECT *, max(CASE WHEN p IS NULL OR round(a, 6) < round(p, 6) THEN event_id END) OVER (PARTITION BY event_type ORDER BY event_id) AS best_step FROM b)
-SELECT event_type, event_id, round(a, 6) AS avg_loss, round(least(a, p), 6) AS best_loss, best_step, event_id - best_step AS steps_since_best,
+s AS (SELECT *, max(CASE WHEN p IS NULL OR a < p THEN event_id END) OVER (PARTITION BY event_type ORDER BY event_id) AS best_step FROM b)
+SELECT event_type, event_id, round(a, 9) AS avg_loss, round(least(a, p), 9) AS best_loss, best_step, event_id - best_step AS steps_since_best,
   event_id - best_step > 500 AS should_stop FROM s"""
 
 
 @query("win_rolling_mean_best", PLATEAU_SQL)
 def win_rolling_mean_best(spark, sf):
     out = W.plateau(read_table(spark, sf, "events").select("event_type", "event_id", "value"), "event_type", "event_id", "value", 100, 500)
-    return out.select("event_type", "event_id", r6(F.col("avg_loss")).alias("avg_loss"), r6(F.col("best_loss")).alias("best_loss"),
+    return out.select("event_type", "event_id", F.round("avg_loss", 9).alias("avg_loss"), F.round("best_loss", 9).alias("best_loss"),
                       "best_step", "steps_since_best", "should_stop")
 
 
 @query("win_rolling_mean_split_keys", """
-SELECT event_type, event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS avg_loss FROM events""")
+SELECT event_type, event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) AS avg_loss FROM events""")
 def win_rolling_mean_split_keys(spark, sf):
     out = W.plateau(read_table(spark, sf, "events").select("event_type", "event_id", "value"), "event_type", "event_id", "value", 100, chunk_rows=100)
-    return out.select("event_type", "event_id", r6(F.col("avg_loss")).alias("avg_loss"))
+    return out.select("event_type", "event_id", F.round("avg_loss", 9).alias("avg_loss"))
 
 
 def daily_arrays(spark, sf):
@@ -299,8 +299,8 @@ def array_roll(spark, sf):
 
 
 @query("array_one_hot", sql("""
-SELECT row_id, array_to_string(list_transform(range(5), i -> CASE WHEN i = app THEN 1 ELSE 0 END), ',') AS app_hot,
-  array_to_string(list_transform(range(2), i -> CASE WHEN i = is_attributed THEN 1 ELSE 0 END), ',') AS label_hot FROM clicks"""))
+SELECT row_id, array_to_string([CASE WHEN i = app THEN 1 ELSE 0 END FOR i IN range(5)], ',') AS app_hot,
+  array_to_string([CASE WHEN i = is_attributed THEN 1 ELSE 0 END FOR i IN range(2)], ',') AS label_hot FROM clicks"""))
 def array_one_hot(spark, sf):
     hot = {"app_hot": A.one_hot(F.col("app"), 5), "label_hot": A.one_hot(F.col(LABEL), 2)}
     return clicks(spark, sf).select("row_id", *[F.array_join(c, ",").alias(n) for n, c in hot.items()])

@@ -118,7 +118,7 @@ def scale_l2_columns(spark, sf):
 PROBS = ", ".join(str(i / 100) for i in range(101))
 RANK_CTES = [
     f"q AS (SELECT quantile_cont(CAST(value AS DOUBLE), [{PROBS}]) AS v FROM events)",
-    """placed AS (SELECT event_id, value AS x, v, len(list_filter(v, t -> t <= value)) AS le, len(list_filter(v, t -> t < value)) AS lt FROM events, q)""",
+    """placed AS (SELECT event_id, value AS x, v, len([t FOR t IN v IF t <= value]) AS le, len([t FOR t IN v IF t < value]) AS lt FROM events, q)""",
     """p AS (SELECT event_id, x, CASE WHEN x >= v[101] THEN 1.0 WHEN x <= v[1] THEN 0.0 ELSE
   ((le - 1) / 100.0 + (x - v[le]) / (v[le + 1] - v[le]) / 100.0 + lt / 100.0 - CASE WHEN v[lt + 1] = x THEN 0 ELSE (v[lt + 1] - x) / (v[lt + 1] - v[lt]) / 100.0 END) / 2 END AS u FROM placed)""",
 ]
@@ -149,7 +149,7 @@ def scale_quantile_normal(spark, sf):
 
 
 @query("embedding_dot", """
-SELECT a.vec_id, round(list_sum(list_transform(range(1, len(a.embedding) + 1), i -> CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE))), 6) AS dot
+SELECT a.vec_id, round(list_sum([CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE) FOR i IN range(1, len(a.embedding) + 1)]), 6) AS dot
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def embedding_dot(spark, sf):
     vectors = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
