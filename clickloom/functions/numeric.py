@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import numpy as np
+from numpy.polynomial.polynomial import polyval
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,23 +43,16 @@ def log1p_twice(x: Column) -> Column:
     return F.log1p(F.log1p(x))
 
 
-def _polynomial(coefficients: Sequence[float], x: Column) -> Column:
-    out = F.lit(coefficients[-1])
-    for c in reversed(coefficients[:-1]):
-        out = out * x + F.lit(c)
-    return out
-
-
-def _ratio(region, x: Column) -> Column:
-    return _polynomial(region[0], x) / _polynomial(region[1], x)
+def _ratio(region, x: np.ndarray) -> np.ndarray:
+    return polyval(x, region[0]) / polyval(x, region[1])
 
 
-def normal_quantile(p: Column) -> Column:
-    """Inverse of the standard normal distribution function for 0 < p < 1."""
+def normal_quantile(p: np.ndarray) -> np.ndarray:
+    """Inverse of the standard normal distribution function for 0 < p < 1, on a batch of values."""
     q = p - 0.5
-    r = F.sqrt(-F.log(F.least(p, 1.0 - p)))
-    outer = F.when(r <= 5.0, _ratio(MIDDLE, r - 1.6)).otherwise(_ratio(TAIL, r - 5.0))
-    return F.when(F.abs(q) <= 0.425, q * _ratio(CENTRAL, F.lit(0.180625) - q * q)).otherwise(F.signum(q) * outer)
+    r = np.sqrt(-np.log(np.minimum(p, 1.0 - p)))
+    outer = np.where(r <= 5.0, _ratio(MIDDLE, r - 1.6), _ratio(TAIL, r - 5.0))
+    return np.where(np.abs(q) <= 0.425, q * _ratio(CENTRAL, 0.180625 - q * q), np.sign(q) * outer)
 
 
 def bucket(x: Column, low: Column, high: Column, bins: int) -> Column:

@@ -119,30 +119,34 @@ class GroupEncoder:
         cols = as_list(self.cols)
         narrow = [df.select(*dict.fromkeys([*cols, self.target])) for df in dfs]
         union = functools.reduce(DataFrame.unionByName, narrow).where(~is_null_key(cols))
+        aggregate = self._aggregate()
+        if aggregate is not None:
+            table = union.groupBy(*cols).agg(aggregate.alias(self.feature), F.count(F.lit(1)).alias("_n"))
+            table = table.where(F.col("_n") >= self.min_count) if self.min_count > 0 else table
+            return GroupModel(cols, self.feature, table.drop("_n"))
         table = self._table(union, cols)
         if self.min_count > 0:
             sizes = union.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= self.min_count)
             table = table.join(sizes, cols, "left_semi")
         return GroupModel(cols, self.feature, table)
 
+    def _aggregate(self) -> Column | None:
+        """The statistic as one aggregate expression, where it is one."""
+        if isinstance(self.func, AdditiveAggregate) or self.func in QUANTILES:
+            return None
+        if isinstance(self.func, str) and self.func not in NAMED:
+            raise ValueError(f"unknown statistic {self.func!r}; known: {sorted([*NAMED, *QUANTILES])}")
+        build = NAMED[self.func] if isinstance(self.func, str) else self.func
+        return build(F.col(self.target), **self.func_kwargs)
+
     def _table(self, df: DataFrame, cols: list[str]) -> DataFrame:
         if isinstance(self.func, AdditiveAggregate):
             return self.func.table(df, cols, self.target, self.feature, self.func_kwargs)
-        if isinstance(self.func, str) and self.func in QUANTILES:
-            q = self.func_kwargs.get("q", 0.5)
-            found = grouped_quantiles(df.withColumn("_value", F.col(self.target)), cols, "_value", [q])
-            # Keys whose targets are all null keep a row, with a null statistic.
-            return (
-                df.select(*cols).distinct().join(found, cols, "left")
-                .select(*cols, F.get("quantiles", F.lit(0)).alias(self.feature))
-            )
-        if isinstance(self.func, str):
-            if self.func not in NAMED:
-                raise ValueError(f"unknown statistic {self.func!r}; known: {sorted([*NAMED, *QUANTILES])}")
-            build = NAMED[self.func]
-        else:
-            build = self.func
-        return df.groupBy(*cols).agg(build(F.col(self.target), **self.func_kwargs).alias(self.feature))
+        q = self.func_kwargs.get("q", 0.5)
+        found = grouped_quantiles(df.withColumn("_value", F.col(self.target)), cols, "_value", [q])
+        # Keys whose targets are all null keep a row, with a null statistic.
+        every = df.select(*cols).distinct().join(found, cols, "left")
+        return every.select(*cols, F.get("quantiles", F.lit(0)).alias(self.feature))
 
 
 def add_encodings(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickloom.functions.numeric import clip, normal_quantile
+from clickloom.functions.numeric import normal_quantile
 from clickloom.plans.quantiles import grouped_quantiles, melt
 
 # Fixed value: distance within which a value counts as the lowest or highest seen.
@@ -54,23 +54,20 @@ class QuantileMap:
             raise ValueError(f"unknown output {output!r}")
         cols = [c for c in df.columns if c in self.landmarks]
         quantiles = {c: np.asarray(self.landmarks[c]) for c in cols}
-        edge = EDGE if output == "normal" else 0.0
+        place = _normal_rank if output == "normal" else _rank
         schema = T.StructType([T.StructField(c, T.DoubleType()) for c in cols])
 
         @F.pandas_udf(schema)
         def ranks(values: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({c: _rank(values[c].to_numpy(dtype=float), q, edge) for c, q in quantiles.items()})
+            return pd.DataFrame({c: place(values[c].to_numpy(dtype=float), q) for c, q in quantiles.items()})
 
+        names = df.columns
         out = df.withColumn("_ranks", ranks(F.struct(*[F.col(c).cast("double").alias(c) for c in cols])))
-        made = {}
-        for c in cols:
-            p = F.col("_ranks")[c]
-            p = F.when(~F.isnan(p), p)
-            made[f"{c}{suffix}"] = normal_quantile(clip(p, P_MIN, 1 - P_MIN)) if output == "normal" else p
-        return out.withColumns(made).drop("_ranks")
+        made = {f"{c}{suffix}": F.nanvl(F.col("_ranks")[c], F.lit(None).cast("double")) for c in cols}
+        return out.withColumns(made).select(*dict.fromkeys([*names, *made]))
 
 
-def _rank(x: np.ndarray, q: np.ndarray, edge: float) -> np.ndarray:
+def _rank(x: np.ndarray, q: np.ndarray, edge: float = 0.0) -> np.ndarray:
     """Share of the fitted values below x; a run of equal landmarks maps to the middle of its share."""
     at = np.linspace(0, 1, len(q))
     p = (np.interp(x, q, at) - np.interp(-x, -q[::-1], -at[::-1])) / 2
@@ -79,6 +76,10 @@ def _rank(x: np.ndarray, q: np.ndarray, edge: float) -> np.ndarray:
     return p
 
 
+def _normal_rank(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return normal_quantile(np.clip(_rank(x, q, EDGE), P_MIN, 1 - P_MIN))
+
+
 def normalize_splits(
     tr: DataFrame, val: DataFrame, train: DataFrame, test: DataFrame, cols: Sequence[str], n_quantiles: int = 1000
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

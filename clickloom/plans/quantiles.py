@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickloom.plans.joins import KeySample, attach
 from clickloom.plans.ordered import Running, ordered_features
 from clickloom.plans.splits import split_points
 
@@ -42,7 +43,10 @@ def grouped_quantiles(
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias(value))
     ranked = running_counts(rows, keys, value, chunk_rows)
     totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-    ranked = ranked.join(totals, keys) if keys else ranked.withColumn("_total", totals.scalar())
+    if keys:
+        ranked = attach(ranked, totals, keys, KeySample(rows, keys, chunk_rows))
+    else:
+        ranked = ranked.withColumn("_total", totals.scalar())
     last = F.col("_total") - 1
     if isinstance(probs, int):
         # The value covers ranks before .. before + n - 1, so only nearby steps of the grid can fall on it.

@@ -8,6 +8,7 @@ from clickloom.functions import arrays as A
 from clickloom.operators import timefeat as T
 from clickloom.operators import windows as W
 from clickloom.operators.sequences import HISTORY_COLUMNS, histories, next_step_input
+from clickloom.plans.ordered import LastN, ordered_features
 from clickloom.registry.base import PIECE, clicks, develop, query, r6, sql
 from clickloom.registry.groups import stacked
 from clickloom.schema import LABEL
@@ -263,39 +264,38 @@ def win_rolling_mean_split_keys(spark, sf):
     return out.select("event_type", "event_id", F.round("avg_loss", 9).alias("avg_loss"))
 
 
-def daily_arrays(spark, sf):
-    """Channels per ip and hour as short arrays of varying length."""
-    log = clicks(spark, sf)
-    pairs = F.sort_array(F.collect_list(F.struct("row_id", "channel")))
-    return log.groupBy("ip", "epoch_hour").agg(F.transform(pairs, lambda p: p["channel"]).alias("a"))
+def recent_arrays(spark, sf):
+    """The last 6 earlier channels of the ip, as arrays of 0 to 6 items."""
+    made = ordered_features(clicks(spark, sf), ["ip"], ["epoch_time", "row_id"], [LastN("a", F.col("channel"), 6)])
+    return made.select("row_id", "a")
 
 
-ARRAYS = "arrays AS (SELECT ip, epoch_hour, list(channel ORDER BY row_id) AS a FROM clicks GROUP BY ip, epoch_hour)"
+ARRAYS = f"""arrays AS (SELECT row_id, coalesce(list(channel) OVER (PARTITION BY ip {ORDER} ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), []) AS a FROM clicks)"""
 
 
 @query("array_left_pad", sql("""
-SELECT ip, epoch_hour, array_to_string(list_concat(list_resize([]::INTEGER[], greatest(3 - len(a), 0), -1), a[-3:]), ',') AS padded,
+SELECT row_id, array_to_string(list_concat(list_resize([]::INTEGER[], greatest(3 - len(a), 0), -1), a[-3:]), ',') AS padded,
   CAST(least(len(a), 3) AS INTEGER) AS kept FROM arrays""", ARRAYS))
 def array_left_pad(spark, sf):
     padded, kept = A.left_pad(F.col("a"), 3)
-    return daily_arrays(spark, sf).select("ip", "epoch_hour", F.array_join(padded, ",").alias("padded"), kept.alias("kept"))
+    return recent_arrays(spark, sf).select("row_id", F.array_join(padded, ",").alias("padded"), kept.alias("kept"))
 
 
 @query("array_left_pad_sliceparity", sql("""
-SELECT ip, epoch_hour, array_to_string(list_concat(list_resize([]::INTEGER[], 5 - keep, -1), CASE WHEN keep = 0 THEN [] ELSE a[-keep:] END), ',') AS padded,
+SELECT row_id, array_to_string(list_concat(list_resize([]::INTEGER[], 5 - keep, -1), CASE WHEN keep = 0 THEN [] ELSE a[-keep:] END), ',') AS padded,
   CAST(keep AS INTEGER) AS kept
 FROM (SELECT *, CASE WHEN len(a) * 2 > 5 AND len(a) < 5 THEN 5 - len(a) ELSE least(len(a), 5) END AS keep FROM arrays)""", ARRAYS))
 def array_left_pad_sliceparity(spark, sf):
     padded, kept = A.left_pad(F.col("a"), 5, mode="slice")
-    return daily_arrays(spark, sf).select("ip", "epoch_hour", F.array_join(padded, ",").alias("padded"), kept.alias("kept"))
+    return recent_arrays(spark, sf).select("row_id", F.array_join(padded, ",").alias("padded"), kept.alias("kept"))
 
 
 @query("array_roll", sql("""
-SELECT ip, epoch_hour, array_to_string(list_concat(a[2:], a[1:1]), ',') AS a, CAST(len(a) - 1 AS INTEGER) AS length, a[-1] - 1 AS label FROM arrays""", ARRAYS))
+SELECT row_id, array_to_string(list_concat(a[2:], a[1:1]), ',') AS a, CAST(len(a) - 1 AS INTEGER) AS length, a[-1] - 1 AS label FROM arrays WHERE len(a) > 0""", ARRAYS))
 def array_roll(spark, sf):
-    df = daily_arrays(spark, sf).withColumns({"length": F.size("a"), "label": F.element_at("a", -1)})
+    df = recent_arrays(spark, sf).where(F.size("a") > 0).withColumns({"length": F.size("a"), "label": F.element_at("a", -1)})
     out = next_step_input(df, ["a"], "label", "length")
-    return out.select("ip", "epoch_hour", F.array_join("a", ",").alias("a"), "length", "label")
+    return out.select("row_id", F.array_join("a", ",").alias("a"), "length", "label")
 
 
 @query("array_one_hot", sql("""
@@ -307,12 +307,12 @@ def array_one_hot(spark, sf):
 
 
 @query("string_series_to_array", sql("""
-SELECT ip, epoch_hour, CASE WHEN len(a) > 1 THEN array_to_string(a[:-2], ',') ELSE '-1' END AS history, a[-1] AS label,
-  array_to_string(a[:-2], ',') AS gaps FROM arrays""", ARRAYS))
+SELECT row_id, CASE WHEN len(a) > 1 THEN array_to_string(a[:-2], ',') ELSE '-1' END AS history, a[-1] AS label,
+  array_to_string(a[:-2], ',') AS gaps FROM arrays WHERE len(a) > 0""", ARRAYS))
 def string_series_to_array(spark, sf):
-    series = daily_arrays(spark, sf).withColumn("s", F.array_join("a", "_"))
+    series = recent_arrays(spark, sf).where(F.size("a") > 0).withColumn("s", F.array_join("a", "_"))
     history, label = A.split_series(F.col("s"))
-    return series.select("ip", "epoch_hour", F.array_join(history, ",").alias("history"), label.alias("label"),
+    return series.select("row_id", F.array_join(history, ",").alias("history"), label.alias("label"),
                          F.array_join(A.drop_last(F.col("s")), ",").alias("gaps"))
 
 
@@ -324,9 +324,9 @@ def array_repeat_explode(spark, sf):
 
 
 @query("array_last_valid", sql("""
-SELECT ip, epoch_hour, CASE WHEN len(a) > 1 THEN a[len(a) - 1] END AS last_valid FROM arrays""", ARRAYS))
+SELECT row_id, CASE WHEN len(a) > 1 THEN a[len(a) - 1] END AS last_valid FROM arrays""", ARRAYS))
 def array_last_valid(spark, sf):
-    return daily_arrays(spark, sf).select("ip", "epoch_hour", A.last_valid(F.col("a"), F.size("a") - 1).alias("last_valid"))
+    return recent_arrays(spark, sf).select("row_id", A.last_valid(F.col("a"), F.size("a") - 1).alias("last_valid"))
 
 
 @query("sequence_model_input", sql("""

@@ -8,7 +8,7 @@ import time
 from pathlib import Path
 
 import duckdb
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
@@ -45,9 +45,8 @@ def _rows(rows, order):
     return sorted(tuple(_cell(r[i]) for i in order) for r in rows)
 
 
-def compare(spark: SparkSession, con: duckdb.DuckDBPyConnection, fn, text: str, sf_dir: str) -> tuple[list[str], int]:
+def compare(df: DataFrame, con: duckdb.DuckDBPyConnection, text: str) -> tuple[list[str], int]:
     """(problems, rows)"""
-    df = fn(spark, sf_dir)
     got = [tuple(r) for r in df.collect()]
     found = con.execute(text)
     names = [d[0] for d in found.description]
@@ -81,7 +80,7 @@ def main() -> int:
         start = time.time()
         try:
             if name in oracle:
-                problems, rows = compare(spark, con, fn, oracle[name], sf_dir)
+                problems, rows = compare(fn(spark, sf_dir), con, oracle[name])
             else:
                 problems, rows = [], len(fn(spark, sf_dir).collect())
             note = "" if name in oracle else " (rows only)"
