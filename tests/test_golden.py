@@ -161,3 +161,15 @@ def test_sequence_metrics(spark):
     want = -(math.log(0.8) + math.log(0.6) + math.log(0.9)) / 3
     assert M.sequence_log_loss(df, "y", "p", "n").first()[0] == pytest.approx(want)
     assert M.sequence_rmse(df, "y", "p", "n").first()[0] == pytest.approx(((0.2**2 + 0.4**2 + 0.1**2) / 3) ** 0.5)
+
+
+def test_calendar_ignores_the_session_time_zone(spark):
+    rows = [(0, dt.datetime(2024, 3, 10, 2, 30)), (1, dt.datetime(2024, 3, 11, 0, 0))]
+    df = spark.createDataFrame(rows, "row_id bigint, click_time timestamp_ntz")
+    origin = dt.datetime(2024, 3, 10, 0, 0)
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        made = time_details(with_calendar(df), origin=origin)
+        assert col(made, "epoch_time") == [9000, 86400] and col(made, "hourofday") == [2, 0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
