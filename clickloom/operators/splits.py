@@ -39,9 +39,11 @@ def hash_fraction(seed: int, *cols: str) -> Column:
     return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1_000_000)) / 1_000_000
 
 
-def random_split(df: DataFrame, fraction: float, seed: int = 786, by: str = ROW_ID) -> tuple[DataFrame, DataFrame]:
-    """Seeded split by row id; the same rows whatever the partitioning."""
-    return split_complement(df, hash_fraction(seed, by) < fraction)
+def random_split(
+    df: DataFrame, fraction: float, seed: int = 786, by: str = ROW_ID, draw: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Seeded split by row id; the same rows whatever the partitioning. `draw` replaces the hash with a number in [0, 1)."""
+    return split_complement(df, (hash_fraction(seed, by) if draw is None else draw) < fraction)
 
 
 def kfold(k: int, seed: int | None = 786, by: str = ROW_ID) -> Column:
@@ -58,13 +60,16 @@ def shuffled_batches(
     keep_short: bool = False,
     shuffle: bool = True,
     by: str = ROW_ID,
+    draw: Column | None = None,
     chunk_rows: int | None = None,
 ) -> DataFrame:
     """Add `batch_id`: rows in an order drawn anew for each epoch, cut into batches of equal size.
 
-    The last batch is dropped when it is short, unless `keep_short` is set.
+    The last batch is dropped when it is short, unless `keep_short` is set. `draw`
+    replaces the hash that orders the rows.
     """
-    draw = F.xxhash64(by, F.lit(epoch), F.lit(seed)) if shuffle else F.lit(0).cast("bigint")
+    if draw is None:
+        draw = F.xxhash64(by, F.lit(epoch), F.lit(seed)) if shuffle else F.lit(0).cast("bigint")
     drawn = df.withColumn("_draw", draw)
     placed = ordered_features(drawn, [], ["_draw", by], [Position("_position")], chunk_rows)
     batch = F.floor(F.col("_position") / batch_size)
@@ -75,7 +80,8 @@ def shuffled_batches(
     return placed.drop("_draw", "_position")
 
 
-def sample_entity(df: DataFrame, key: str, seed: int = 786) -> DataFrame:
-    """All rows of one entity, drawn from the distinct entities by seed."""
-    drawn = df.select(key).where(F.col(key).isNotNull()).agg(F.min_by(key, F.xxhash64(key, F.lit(seed)))).scalar()
+def sample_entity(df: DataFrame, key: str, seed: int = 786, draw: Column | None = None) -> DataFrame:
+    """All rows of one entity: the one with the smallest draw (by default a seeded hash of the key)."""
+    draw = F.xxhash64(key, F.lit(seed)) if draw is None else draw
+    drawn = df.where(F.col(key).isNotNull()).agg(F.min_by(key, draw)).scalar()
     return df.where(F.col(key) == drawn)

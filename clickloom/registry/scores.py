@@ -11,11 +11,11 @@ from clickloom.operators import model as L
 from clickloom.operators import profile as P
 from clickloom.operators.assembly import BASE_FEATURES, COUNT_FEATURES, TIME_FEATURES, staged_features
 from clickloom.operators.counts import add_count_maps
-from clickloom.operators.encoder import GroupEncoder, add_encodings, count_features
+from clickloom.operators.encoder import count_features
 from clickloom.operators.keys import distinct_keys
-from clickloom.operators.scaling import QuantileMap, normalize_splits, scale_l2
+from clickloom.operators.scaling import P_MIN, QuantileMap, normalize_splits, scale_l2
 from clickloom.operators.sequences import histories
-from clickloom.operators.windows import click_gaps, expanding
+from clickloom.operators.windows import click_gaps
 from clickloom.registry.base import PIECE, clicks, coded, contest, develop, query, r6, sql
 from clickloom.registry.groups import stack
 from clickloom.schema import COUNT_KEYS, LABEL, TIME_KEYS, feature_name
@@ -116,11 +116,33 @@ def scale_l2_columns(spark, sf):
 
 
 PROBS = ", ".join(str(i / 100) for i in range(101))
+
+
+def rank_sql(edge: str) -> str:
+    """Rank of x among the 101 landmarks v, ties to the middle of their share."""
+    return f"""CASE WHEN x - {edge} <= v[1] THEN 0.0 WHEN x + {edge} >= v[101] THEN 1.0 ELSE
+  ((le - 1) / 100.0 + (x - v[le]) / (v[le + 1] - v[le]) / 100.0
+   + lt / 100.0 - CASE WHEN v[lt + 1] = x THEN 0 ELSE (v[lt + 1] - x) / (v[lt + 1] - v[lt]) / 100.0 END) / 2 END"""
+
+
+def polynomial_sql(coefficients, x: str) -> str:
+    out = repr(float(coefficients[-1]))
+    for c in reversed(coefficients[:-1]):
+        out = f"({out} * {x} + {float(c)!r})"
+    return out
+
+
+def ratio_sql(region, x: str) -> str:
+    return f"{polynomial_sql(region[0], x)} / {polynomial_sql(region[1], x)}"
+
+
+NORMAL_SQL = f"""CASE WHEN abs(q) <= 0.425 THEN q * {ratio_sql(X.CENTRAL, "c")}
+  ELSE sign(q) * CASE WHEN r <= 5 THEN {ratio_sql(X.MIDDLE, "(r - 1.6)")} ELSE {ratio_sql(X.TAIL, "(r - 5)")} END END"""
+PLACES = "len([t FOR t IN v IF t <= x]) AS le, len([t FOR t IN v IF t < x]) AS lt"
 RANK_CTES = [
     f"q AS (SELECT quantile_cont(CAST(value AS DOUBLE), [{PROBS}]) AS v FROM events)",
-    """placed AS (SELECT event_id, value AS x, v, len([t FOR t IN v IF t <= value]) AS le, len([t FOR t IN v IF t < value]) AS lt FROM events, q)""",
-    """p AS (SELECT event_id, x, CASE WHEN x >= v[101] THEN 1.0 WHEN x <= v[1] THEN 0.0 ELSE
-  ((le - 1) / 100.0 + (x - v[le]) / (v[le + 1] - v[le]) / 100.0 + lt / 100.0 - CASE WHEN v[lt + 1] = x THEN 0 ELSE (v[lt + 1] - x) / (v[lt + 1] - v[lt]) / 100.0 END) / 2 END AS u FROM placed)""",
+    f"placed AS (SELECT event_id, value AS x, v, {PLACES} FROM events, q)",
+    f"p AS (SELECT event_id, {rank_sql('0')} AS u FROM placed)",
 ]
 
 
@@ -131,21 +153,27 @@ def scale_quantile_uniform(spark, sf):
     return out.select("event_id", r6(F.col("value")).alias("value"))
 
 
-SCALED = ["ip_count", "app_count", "app_expmean", "ip_prev_click_1", "ip_next_click_1", "hourofday"]
+SCALED = ["ip", "channel", "epoch_time", "minutes"]
+SCALED_VALUES = "unnest([" + ", ".join(f"{{'name': '{c}', 'x': CAST({c} AS DOUBLE)}}" for c in SCALED) + "], recursive := true)"
+NORMAL_CTES = [
+    "parts AS (" + " UNION ALL ".join(
+        f"SELECT '{part}' AS part, '{fit}' AS fit, row_id, {SCALED_VALUES} FROM {part}"
+        for part, fit in (("tr", "tr"), ("val", "tr"), ("train", "train"), ("test", "train"))
+    ) + ")",
+    f"marks AS (SELECT fit, name, quantile_cont(x, [{PROBS}]) AS v FROM parts WHERE part = fit GROUP BY fit, name)",
+    f"placed AS (SELECT part, row_id, name, x, v, {PLACES} FROM parts JOIN marks USING (fit, name))",
+    f"ranked AS (SELECT part, row_id, name, least(greatest({rank_sql('1e-7')}, {P_MIN!r}), {1 - P_MIN!r}) AS p FROM placed)",
+    "n AS (SELECT part, row_id, name, p - 0.5 AS q, 0.180625 - (p - 0.5) * (p - 0.5) AS c, sqrt(-ln(least(p, 1 - p))) AS r FROM ranked)",
+]
 
 
-@query("scale_quantile_normal")
+@query("scale_quantile_normal", sql(f"SELECT part, row_id, name, round({NORMAL_SQL}, 6) AS value FROM n", *NORMAL_CTES))
 def scale_quantile_normal(spark, sf):
-    def features(fit, other):
-        means = expanding(fit, other, ["app"], stats=["mean"])
-        gaps = [click_gaps(df, "ip", prev=(1,), nxt=(1,), source=src) for df, src in zip(means, (fit, other))]
-        made = add_encodings([fit, other], gaps, [GroupEncoder(k, LABEL, "count") for k in ("ip", "app")])
-        return [roundtrip(df.select("row_id", *SCALED), "scaled") for df in made]
-
-    tr, val = develop(spark, sf)
     train, _, test = contest(spark, sf)
-    parts = zip(("tr", "val", "train", "test"), normalize_splits(*features(tr, val), *features(train, test), SCALED))
-    return stack(dict(parts))
+    tables = [df.select("row_id", *SCALED) for df in (*develop(spark, sf), train, test)]
+    done = stack(dict(zip(("tr", "val", "train", "test"), normalize_splits(*tables, SCALED, n_quantiles=101))))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), r6(F.col(c)).alias("value")) for c in SCALED]))
+    return done.select("part", "row_id", pairs.alias("p")).select("part", "row_id", "p.name", "p.value")
 
 
 @query("embedding_dot", """

@@ -238,9 +238,25 @@ def add_or_replace_column(spark, sf):
     return parts["app"].join(C.get_column(df, "app_os"), "row_id")
 
 
-@query("split_random_fraction")
+# A multiplicative draw that SQL can repeat, in place of the default hash.
+DRAW = "((row_id * 48271 + 11) % 2147483647)"
+
+
+def draw(col="row_id"):
+    return (F.col(col) * 48271 + 11) % 2147483647
+
+
+@query("split_random_fraction", sql(f"""
+SELECT row_id, CASE WHEN {DRAW} / 2147483647.0 < 0.8 THEN 'train' ELSE 'test' END AS part FROM clicks"""))
 def split_random_fraction(spark, sf):
-    first, rest = S.random_split(clicks(spark, sf), 0.8)
+    first, rest = S.random_split(clicks(spark, sf), 0.8, draw=draw() / 2147483647)
+    tagged = first.select("row_id", F.lit("train").alias("part")), rest.select("row_id", F.lit("test").alias("part"))
+    return tagged[0].unionByName(tagged[1])
+
+
+@query("split_random_fraction_hashed")
+def split_random_fraction_hashed(spark, sf):
+    first, rest = S.random_split(clicks(spark, sf), 0.9)
     tagged = first.select("row_id", F.lit("train").alias("part")), rest.select("row_id", F.lit("test").alias("part"))
     return tagged[0].unionByName(tagged[1])
 
@@ -250,18 +266,27 @@ def kfold_assign(spark, sf):
     return clicks(spark, sf).select("row_id", S.kfold(5, seed=None).alias("fold"))
 
 
-@query("shuffle_batches")
+BATCH_SQL = """
+SELECT row_id, batch_id FROM (SELECT row_id, (row_number() OVER (ORDER BY {order}) - 1) // 64 AS batch_id FROM clicks)
+WHERE batch_id < (SELECT count(*) // 64 FROM clicks)"""
+
+
+@query("shuffle_batches", sql(BATCH_SQL.format(order=f"{DRAW}, row_id")))
 def shuffle_batches(spark, sf):
+    return S.shuffled_batches(clicks(spark, sf), 64, draw=draw(), chunk_rows=PIECE).select("row_id", "batch_id")
+
+
+@query("shuffle_batches_hashed")
+def shuffle_batches_hashed(spark, sf):
     return S.shuffled_batches(clicks(spark, sf), 64, epoch=1, chunk_rows=PIECE).select("row_id", "batch_id")
 
 
-@query("ordered_batches", sql("""
-SELECT row_id, batch_id FROM (SELECT row_id, (row_number() OVER (ORDER BY row_id) - 1) // 64 AS batch_id FROM clicks)
-WHERE batch_id < (SELECT count(*) // 64 FROM clicks)"""))
+@query("ordered_batches", sql(BATCH_SQL.format(order="row_id")))
 def ordered_batches(spark, sf):
     return S.shuffled_batches(clicks(spark, sf), 64, shuffle=False, chunk_rows=PIECE).select("row_id", "batch_id")
 
 
-@query("sample_one_entity")
+@query("sample_one_entity", sql("""
+SELECT row_id, ip, epoch_time FROM clicks WHERE ip = (SELECT arg_min(ip, (ip * 48271 + 11) % 2147483647) FROM clicks)"""))
 def sample_one_entity(spark, sf):
-    return S.sample_entity(clicks(spark, sf), "ip").select("row_id", "ip", "epoch_time")
+    return S.sample_entity(clicks(spark, sf), "ip", draw=draw("ip")).select("row_id", "ip", "epoch_time")
