@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from clickloom.plans.splits import CHUNK, SplitPoints, is_null_key, split_points
 
-_RN, _ROWS, _TAIL, _HEAD = "__rn", "__rows", "__tail", "__head"
+_RN, _ROWS, _TAIL, _HEAD, _LISTS = "__rn", "__rows", "__tail", "__head", "__lists"
 
 
 @dataclass(frozen=True)
@@ -106,15 +106,19 @@ def ordered_features(
     values = [(F.lit(None) if f.value is None else f.value).alias(f"__v{i}") for i, f in enumerate(features)]
     base = splits.assign(df.select("*", *values))
     w = Window.partitionBy(*keys, *splits.columns).orderBy(*order)
+    width = max((f.n for f in features if isinstance(f, LastN)), default=0)
     local = base.select(
-        "*", F.row_number().over(w).alias(_RN), *[_local(f, i, w).alias(f"__l{i}") for i, f in enumerate(features)]
+        "*",
+        F.row_number().over(w).alias(_RN),
+        *[_local(f, i, w).alias(f"__l{i}") for i, f in enumerate(features) if not isinstance(f, LastN)],
+        *([_lists(features).over(w.rowsBetween(-width, -1)).alias(_LISTS)] if width else []),
     )
     cut = splits.table is not None
     if cut:
         narrow = source.select(*dict.fromkeys([*keys, *order]), *values)
         carry = _carry(splits.assign(narrow, only_cut=True), keys, order, features)
         local = local.join(F.broadcast(carry), [*keys, CHUNK], "left")
-    out = [(_final(f, i) if cut else _plain(f, i)) for i, f in enumerate(features)]
+    out = [(_final(f, i, width) if cut else _plain(f, i, width)) for i, f in enumerate(features)]
     if keys:
         out = [F.when(~is_null_key(keys), c) for c in out]
     return local.select(*df.columns, *[c.alias(f.name) for c, f in zip(out, features)])
@@ -126,18 +130,22 @@ def _local(f: Feature, i: int, w) -> Column:
         return _AGG[f.how](v).over(w.rowsBetween(Window.unboundedPreceding, 0 if f.current else -1))
     if isinstance(f, Shift):
         return F.lag(v, f.n).over(w) if f.n > 0 else F.lead(v, -f.n).over(w)
-    if isinstance(f, LastN):
-        return F.collect_list(F.struct(v.alias("v"))).over(w.rowsBetween(-f.n, -1))
     if isinstance(f, RollingMean):
         frame = w.rowsBetween(-(f.n - 1), 0)
         return F.struct(F.sum(v).over(frame).alias("s"), F.count(v).over(frame).alias("n"))
     return F.row_number().over(w)
 
 
-def _plain(f: Feature, i: int) -> Column:
-    loc = F.col(f"__l{i}")
+def _lists(features: Sequence[Feature]) -> Column:
+    """One list of structs for all last-n features: a sliding list costs the same for one value as for many."""
+    return F.collect_list(F.struct(*[f"__v{i}" for i, f in enumerate(features) if isinstance(f, LastN)]))
+
+
+def _plain(f: Feature, i: int, width: int) -> Column:
     if isinstance(f, LastN):
-        return F.transform(loc, lambda s: s["v"])
+        own = F.col(_LISTS)[f"__v{i}"]
+        return own if f.n == width else last_of(own, f.n)
+    loc = F.col(f"__l{i}")
     if isinstance(f, RollingMean):
         return F.try_divide(loc["s"], loc["n"])
     if isinstance(f, Position):
@@ -145,10 +153,14 @@ def _plain(f: Feature, i: int) -> Column:
     return loc
 
 
-def _final(f: Feature, i: int) -> Column:
+def _final(f: Feature, i: int, width: int) -> Column:
     """Local value put together with what the neighbouring pieces carry in."""
     loc, rn, rows, tail, head = (F.col(c) for c in (f"__l{i}", _RN, _ROWS, _TAIL, _HEAD))
     item = f"__v{i}"
+    if isinstance(f, LastN):
+        own = F.col(_LISTS)[item]
+        whole = F.when((rn > f.n) | tail.isNull(), own).otherwise(F.concat(tail[item], own))
+        return last_of(whole, f.n)
     if isinstance(f, Running):
         return _combine(f.how, loc, F.col(f"__c{i}"))
     if isinstance(f, Shift) and f.n > 0:
@@ -158,13 +170,9 @@ def _final(f: Feature, i: int) -> Column:
         return F.when(rows.isNull() | (rn + m <= rows), loc).otherwise(
             F.try_element_at(head, (m - (rows - rn)).cast("int"))[item]
         )
-    if isinstance(f, LastN):
-        own = F.transform(loc, lambda s: s["v"])
-        before = F.transform(F.coalesce(tail, F.array()), lambda s: s[item])
-        return F.when((rn > f.n) | tail.isNull(), own).otherwise(last_of(F.concat(before, own), f.n))
     if isinstance(f, RollingMean):
         missing = F.greatest(F.lit(f.n) - rn, F.lit(0))
-        before = F.filter(F.transform(last_of(tail, missing), lambda s: s[item]), lambda v: v.isNotNull())
+        before = F.filter(last_of(tail, missing)[item], lambda v: v.isNotNull())
         s = _combine("sum", loc["s"], F.aggregate(before, F.lit(0.0), lambda a, v: a + v))
         n = loc["n"] + F.size(before)
         return F.when((rn >= f.n) | tail.isNull(), F.try_divide(loc["s"], loc["n"])).otherwise(F.try_divide(s, n))
@@ -186,7 +194,6 @@ def _carry(hot: DataFrame, keys: list[str], order: list[str], features: Sequence
             aggs.append(F.count(F.lit(1)).alias(f"__t{i}"))
     by_piece = Window.partitionBy(*keys).orderBy(CHUNK)
     earlier = by_piece.rowsBetween(Window.unboundedPreceding, -1)
-    carry = hot.groupBy(*group).agg(*aggs)
     columns = [*group, _ROWS]
     for i, f in enumerate(features):
         if isinstance(f, (Running, Position)):
@@ -195,14 +202,21 @@ def _carry(hot: DataFrame, keys: list[str], order: list[str], features: Sequence
 
     back = max((_reach(f) for f in features), default=0)
     ahead = max((-f.n for f in features if isinstance(f, Shift)), default=0)
+    item = _item(order, features)
+    # A single edge row is a plain aggregate; more of them are ranked, and cut off on the map side.
+    aggs += [F.array(F.max(item)).alias("__own_tail")] if back == 1 else []
+    aggs += [F.array(F.min(item)).alias("__own_head")] if ahead == 1 else []
+    carry = hot.groupBy(*group).agg(*aggs)
     if back:
-        carry = carry.join(_edge(hot, group, order, features, back, F.desc).withColumnRenamed("__edge", "__own_tail"), group)
+        if back > 1:
+            carry = carry.join(_edge(hot, group, order, item, back, F.desc, "__own_tail"), group)
         near = F.flatten(F.collect_list("__own_tail").over(by_piece.rowsBetween(-back, -1)))
         columns.append(last_of(near, back).alias(_TAIL))
     else:
         columns.append(F.lit(None).alias(_TAIL))
     if ahead > 0:
-        carry = carry.join(_edge(hot, group, order, features, ahead, F.asc).withColumnRenamed("__edge", "__own_head"), group)
+        if ahead > 1:
+            carry = carry.join(_edge(hot, group, order, item, ahead, F.asc, "__own_head"), group)
         near = F.flatten(F.collect_list("__own_head").over(by_piece.rowsBetween(1, ahead)))
         columns.append(F.slice(near, 1, ahead).alias(_HEAD))
     return carry.select(*columns)
@@ -218,11 +232,14 @@ def _reach(f: Feature) -> int:
     return 0
 
 
-def _edge(hot: DataFrame, group: list[str], order: list[str], features, n: int, direction) -> DataFrame:
+def _item(order: list[str], features: Sequence[Feature]) -> Column:
+    """A row as carried across an edge: its place in the order, then its values."""
+    values = [F.col(f"__v{i}") for i, f in enumerate(features) if _reach(f) or isinstance(f, Shift)]
+    return F.struct(F.struct(*order).alias("at"), *values)
+
+
+def _edge(hot: DataFrame, group: list[str], order: list[str], item: Column, n: int, direction, name: str) -> DataFrame:
     """The first or last `n` rows of each piece, in order."""
     w = Window.partitionBy(*group).orderBy(*[direction(o) for o in order])
-    item = F.struct(
-        F.struct(*order).alias("at"), *[F.col(f"__v{i}") for i, f in enumerate(features) if not isinstance(f, Position)]
-    )
     kept = hot.withColumn("__edge_rn", F.row_number().over(w)).where(F.col("__edge_rn") <= n)
-    return kept.groupBy(*group).agg(F.sort_array(F.collect_list(item)).alias("__edge"))
+    return kept.groupBy(*group).agg(F.sort_array(F.collect_list(item)).alias(name))

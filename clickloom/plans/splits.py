@@ -27,7 +27,7 @@ UNSPLIT = -1
 MIN_CHUNK_ROWS = 1_000_000
 MIN_GLOBAL_CHUNK_ROWS = 250_000
 PIECES_PER_PARTITION = 2
-SAMPLES_PER_PIECE = 20
+SAMPLES_PER_PIECE = 60
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
