@@ -80,8 +80,14 @@ def attach_all(
     tables: Sequence[tuple[Sequence[str], DataFrame]],
     chunk_rows: int | None = None,
 ) -> DataFrame:
-    """Attach several tables using one sample of `df` for all their key sets."""
+    """Attach several tables using one sample of `df` for all their key sets.
+
+    Key sets that extend one another are joined one after the other, shortest first, so
+    that they can share one shuffle of the log (see `clickloom.session`).
+    """
     sample = KeySample(df, [k for keys, _ in tables for k in keys], chunk_rows)
-    for keys, table in tables:
-        df = attach(df, table, keys, sample)
-    return df
+    made = [c for keys, table in tables for c in table.columns if c not in keys]
+    out = df
+    for keys, table in sorted(tables, key=lambda t: list(t[0])):
+        out = attach(out, table, keys, sample)
+    return out.select(*df.columns, *made)

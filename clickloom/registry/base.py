@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clickloom.operators.keys import encode_all
 from clickloom.schema import DICTIONARY_KEYS, VALID_HOURS_SHORT
+from clickloom.session import tune
 from clickloom.sources.scans import load_clicks
 from clickloom.sources.store import roundtrip
 
@@ -80,7 +81,7 @@ def r6(c: Column) -> Column:
 
 
 def clicks(spark: SparkSession, sf: str) -> DataFrame:
-    return load_clicks(spark, sf).withColumn("epoch_hour", F.floor(F.col("epoch_time") / HOUR))
+    return load_clicks(tune(spark), sf).withColumn("epoch_hour", F.floor(F.col("epoch_time") / HOUR))
 
 
 def develop(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

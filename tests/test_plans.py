@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickloom.operators import windows as W
+from clickloom.operators.counts import add_count_maps
 from clickloom.operators.keys import key_dictionary
 from clickloom.operators.metrics import roc_auc
 from clickloom.registry.base import clicks
@@ -37,6 +38,20 @@ def test_nested_key_sets_share_one_exchange(spark, sf):
     assert len(re.findall(r"Exchange hashpartitioning", plan(out))) == 1
 
 
+def test_nested_count_maps_share_one_shuffle_of_the_log(spark, sf):
+    log = clicks(spark, sf)
+    out = add_count_maps(log, [log], [["ip", "app", "hourofday"], ["ip"], ["ip", "app"]])
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        text = plan(out)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    joins = re.findall(r"SortMergeJoin \[(ip#\d+L)", text)
+    assert len(joins) == 3 and len(set(joins)) == 1
+    assert re.findall(rf"Exchange hashpartitioning\(({joins[0]}[^)]*)\)", text) == [f"{joins[0]}, 8"]
+
+
 def test_features_of_one_key_share_one_sort(spark, sf):
     text = plan(W.click_gaps(clicks(spark, sf), "ip", prev=(1, 2), nxt=(1, 2)))
     assert text.count("Sort [") == 1 and len(re.findall(r"\+- Window \[", text)) == 1
