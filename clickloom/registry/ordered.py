@@ -127,14 +127,14 @@ def win_gaps_split_keys(spark, sf):
 
 
 @query("win_prev_shipdate", """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE) AS shipdate,
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y-%m-%d') AS shipdate,
   coalesce(epoch(l_shipdate)::BIGINT - lag(epoch(l_shipdate)::BIGINT) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice), -1) AS l_suppkey_prev_click_1
 FROM lineitem""")
 def win_prev_shipdate(spark, sf):
     items = read_table(spark, sf, "lineitem").withColumn("t", F.datediff("l_shipdate", F.lit("1970-01-01")).cast("bigint") * 86400)
     order = ["t", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
     out = W.click_gaps(items, "l_suppkey", time="t", order=order)
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.to_date("l_shipdate").alias("shipdate"), "l_suppkey_prev_click_1")
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipdate"), "l_suppkey_prev_click_1")
 
 
 TIMES_SQL = sql("""

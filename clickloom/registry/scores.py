@@ -167,7 +167,7 @@ NORMAL_CTES = [
 ]
 
 
-@query("scale_quantile_normal", sql(f"SELECT part, row_id, name, round({NORMAL_SQL}, 6) AS value FROM n", *NORMAL_CTES))
+@query("scale_quantile_normal", sql(f"SELECT part, row_id, name, round({NORMAL_SQL}, 6) + 0.0 AS value FROM n", *NORMAL_CTES))
 def scale_quantile_normal(spark, sf):
     train, _, test = contest(spark, sf)
     tables = [df.select("row_id", *SCALED) for df in (*develop(spark, sf), train, test)]
@@ -177,7 +177,7 @@ def scale_quantile_normal(spark, sf):
 
 
 @query("embedding_dot", """
-SELECT a.vec_id, round(list_sum([CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE) FOR i IN range(1, len(a.embedding) + 1)]), 6) AS dot
+SELECT a.vec_id, round(list_sum([CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE) FOR i IN range(1, len(a.embedding) + 1)]), 6) + 0.0 AS dot
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def embedding_dot(spark, sf):
     vectors = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
