@@ -119,6 +119,29 @@ def batches(frames: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield b.slice(i, rows)
 
 
+def by_bytes(frames: Iterator[pa.RecordBatch], column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Slices whose texts add up to about `most` bytes; a longer text is a slice of its own."""
+    for b in frames:
+        _, offsets = utf8(b.column(column))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+            yield b.slice(at, end - at)
+            at = end
+
+
+def sums(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sum of `mask` in each row."""
+    total = np.zeros(len(mask) + 1, np.int64)
+    np.cumsum(mask, out=total[1:])
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def bucket(column: str, n: int):
+    """crc32 of an id's decimal text, modulo n. A null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
+
+
 def components(edges: DataFrame, name: str = "cc", most: int = 60) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b): the least node it can reach.
 
