@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from clickloom.llm import chat, packing, warc
+from clickloom.llm import chat, langid, packing, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1,
     "op2_chat_format": chat.op2,
     "op3_best_fit_packing": packing.op3,
+    "op6_language_id": langid.op6,
     "op9_warc": warc.op9,
 }
 ORACLE = {"op2_chat_format": chat.SQL, "op9_warc": warc.SQL}
