@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from clickloom.llm import chat, langid, packing, toxicity, warc
+from clickloom.llm import chat, jaccard, langid, packing, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op2_chat_format": chat.op2,
     "op3_best_fit_packing": packing.op3,
+    "op4_ngram_jaccard_join": jaccard.op4,
     "op6_language_id": langid.op6,
     "op9_warc": warc.op9,
 }
