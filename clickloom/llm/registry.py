@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clickloom.llm import chat, jaccard, langid, packing, toxicity, warc
+from clickloom.llm import chat, jaccard, langid, packing, toxicity, vectors, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -11,5 +11,6 @@ QUERIES = {
     "op4_ngram_jaccard_join": jaccard.op4,
     "op6_language_id": langid.op6,
     "op9_warc": warc.op9,
+    "op10_embedding_near_dedup": vectors.op10,
 }
 ORACLE = {"op2_chat_format": chat.SQL, "op9_warc": warc.SQL}
