@@ -13,7 +13,7 @@
    found make components. What is left are pairs of different components that share a signature. A class may
    leave out as many signatures as it has spare ones, and leaves out those that meet the most components
    (cost-based allocation); all other such pairs are checked, so no link between components is lost.
-5. Checks compare whole sets.
+5. Checks compare whole sets: pair by pair, or, for signatures that meet many components, block by block.
 
 Defined cases: null or empty texts and texts of spaces have an empty set and link with nothing; fewer words
 than n: the whole sequence is one shingle; null ids link with nothing; repeated rows give repeated results; an empty table gives no rows; only
@@ -34,9 +34,11 @@ from clickloom.llm.common import LOWER, by_bytes, components, mix, partitions, r
 
 N, PERCENT = 4, 85
 #: Share of spare segments, and the greatest H for which one-deletion neighbourhoods are used.
-SPARE, SHORT = 0.1, 3
+SPARE, SHORT = 0.2, 3
 #: Text bytes per run, and signatures per reading task aimed at.
 RUN_BYTES, TASK_SIGNATURES = 1 << 24, 4_000_000
+#: Signatures that meet this many components are compared in blocks of so many sets, others pair by pair.
+MANY, BLOCK = 16, 128
 #: Bits of the filter that thins texts before a join; its size is fixed, its answers are checked by the join.
 FILTER_BITS = 1 << 23
 
@@ -220,9 +222,8 @@ def thinned(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.withColumn("__at", spot(names[0])).mapInArrow(keep, schema)
 
 
-def checked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-ids")
+def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(id, items): the whole sets of the texts named by `ids` (a written table)."""
 
     def sets(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(frames, 1):
@@ -230,7 +231,57 @@ def checked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["id", "items"])
 
     of = thinned(docs, ids).mapInArrow(sets, "id long, items binary")
-    of = written(of.join(ids, "id", "left_semi").dropDuplicates(["id"]), "jaccard-sets")
+    return written(of.join(ids, "id", "left_semi").dropDuplicates(["id"]), "jaccard-sets")
+
+
+def checked_blocks(docs: DataFrame, entries: DataFrame, n: int, percent: int) -> DataFrame:
+    """Edges (a, b) that connect the linked sets within each signature of entries (signature, class).
+
+    A signature's sets are dealt into blocks by hash, and every two blocks meet in a task of their own, where one
+    product of 0/1 matrices counts all intersections. Only one edge per set comes back.
+    """
+    sizes = written(entries.groupBy("signature").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")), "jaccard-sizes")
+    ids = written(entries.select(F.col("class").alias("id")).distinct(), "jaccard-ids")
+    rows = entries.join(sets_of(docs, ids, n).withColumnRenamed("id", "class"), "class")
+    rows = rows.join(sizes, "signature").withColumn("own", F.pmod(F.xxhash64("class", "signature"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("signature", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "items")
+
+    def meet(table: pa.Table) -> pa.Table:
+        own, ids = table.column("own").to_numpy(), table.column("class").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in table.column("items").chunks for x in c]
+        size = np.array([len(x) for x in sets])
+        values, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        doc = np.repeat(np.arange(len(sets)), size)
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        shared = np.cumsum(times > 1) - 1  # column of each value that two sets hold
+        keep = times[where] > 1
+        doc, where = doc[keep], shared[where[keep]]
+        order = np.argsort(where, kind="stable")
+        doc, where = doc[order], where[order]
+        for first in range(0, int(shared[-1]) + 1 if len(shared) else 0, 4096):
+            a, z = np.searchsorted(where, [first, first + 4096])
+            part = np.zeros((len(sets), 4096), np.float32)
+            part[doc[a:z], where[a:z] - first] = 1
+            common += part @ part.T
+        near = 100 * common >= percent * (size[:, None] + size[None] - common)
+        np.fill_diagonal(near, True)  # values of one set alone are not in the product
+        low = ids.copy()
+        while True:
+            new = np.where(near, low[:, None], np.iinfo(np.int64).max).min(0)
+            if (new == low).all():
+                break
+            low = new
+        some = low != ids
+        return pa.table([pa.array(low[some]), pa.array(ids[some])], ["a", "b"])
+
+    return written(rows.groupBy("signature", "i", "j").applyInArrow(meet, "a long, b long").distinct(), "jaccard-links")
+
+
+def checked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold."""
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-ids")
+    of = sets_of(docs, ids, n)
     both = pairs.join(of.select(F.col("id").alias("b"), F.col("items").alias("of_b")), "b")
     both = both.join(of.select(F.col("id").alias("a"), F.col("items").alias("of_a")), "a").select("a", "b", "of_a", "of_b")
 
@@ -286,11 +337,13 @@ def near_copies(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
     priced = entries.join(spare, "class").withColumn("next", (F.pmod("signature", F.lit(2)) != F.col("parity")))
     rank = F.row_number().over(Window.partitionBy("class", "next").orderBy(F.desc("cost"), "signature"))
     kept = priced.withColumn("rank", rank).where(F.col("rank") > F.when(F.col("next"), F.col("spare1")).otherwise(F.col("spare0")))
-    kept = written(kept.select("signature", F.col("class").alias("x"), F.col("part").alias("px")), "jaccard-kept")
-    pairs = kept.join(entries.select("signature", F.col("class").alias("y"), F.col("part").alias("py")), "signature").where("px <> py")
+    kept = written(kept.select("signature", F.col("class").alias("x"), F.col("part").alias("px"), "cost"), "jaccard-kept")
+    many = kept.where(F.col("cost") >= MANY).select("signature").distinct()
+    blocks = checked_blocks(known, entries.join(many, "signature", "left_semi").select("signature", "class"), n, percent)
+    pairs = kept.where(F.col("cost") < MANY).join(entries.select("signature", F.col("class").alias("y"), F.col("part").alias("py")), "signature").where("px <> py")
     pairs = written(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "jaccard-pairs")
     more = checked(known, pairs, n, percent)
-    edges = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").unionByName(more)
+    edges = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").unionByName(more).unionByName(blocks)
     parts = written(components(edges, "jaccard-cc"), "jaccard-parts")
 
     placed = of_doc.join(parts.withColumnRenamed("node", "class"), "class", "left")
