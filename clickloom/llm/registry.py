@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clickloom.llm import chat, jaccard, langid, packing, toxicity, vectors, warc
+from clickloom.llm import chat, jaccard, langid, packing, suffixes, toxicity, vectors, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_best_fit_packing": packing.op3,
     "op4_ngram_jaccard_join": jaccard.op4,
     "op6_language_id": langid.op6,
+    "op8_suffix_array_dedup": suffixes.op8,
     "op9_warc": warc.op9,
     "op10_embedding_near_dedup": vectors.op10,
 }
