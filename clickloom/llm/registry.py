@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from clickloom.llm import chat, jaccard, langid, packing, suffixes, toxicity, vectors, warc
+from clickloom.llm import chat, decontaminate, jaccard, langid, packing, suffixes, toxicity, vectors, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op2_chat_format": chat.op2,
     "op3_best_fit_packing": packing.op3,
     "op4_ngram_jaccard_join": jaccard.op4,
+    "op5_benchmark_decontamination": decontaminate.op5,
     "op6_language_id": langid.op6,
     "op8_suffix_array_dedup": suffixes.op8,
     "op9_warc": warc.op9,
