@@ -133,8 +133,11 @@ def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def repeated_signatures(docs: DataFrame, n: int, percent: int, tasks: int) -> DataFrame:
-    """(signature, doc_id) of all signatures that occur in more than one text."""
+def repeated_signatures(docs: DataFrame, sign, tasks: int) -> DataFrame:
+    """(signature, doc_id) of all signatures that occur in more than one text.
+
+    `sign` gets the bytes and offsets of a batch of texts and returns signatures and the row of each.
+    """
 
     def emit(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, turn = [], 0, 0
@@ -160,14 +163,14 @@ def repeated_signatures(docs: DataFrame, n: int, percent: int, tasks: int) -> Da
             # What repeats within the run is known already; it goes to any task, in parts.
             s, ids = s[local], ids[local]
             for i in range(0, len(s), 100_000):
-                rows.append((int(mix(np.array([low + turn + i], np.uint64))[0] % np.uint64(tasks)), True, s[i : i + 100_000].tobytes(),
+                rows.append((int(mix(np.array([(low + turn + i) % (1 << 64)], np.uint64))[0] % np.uint64(tasks)), True, s[i : i + 100_000].tobytes(),
                              pack(ids[i : i + 100_000]), low, bool(narrow)))
             kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.bool_())
             for r in rows:
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(r, kinds)], ["task", "known", "s", "ids", "low", "narrow"])
 
         for b in by_bytes(frames, 1):
-            s, of, _ = signatures(shingles(*utf8(b.column(1)), n), percent)
+            s, of = sign(*utf8(b.column(1)))
             held.append((s, b.column(0).to_numpy()[of]))
             size += b.nbytes
             if size >= RUN_BYTES:
@@ -301,23 +304,13 @@ def checked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFram
     return written(both.mapInArrow(compare, "a long, b long").distinct(), "jaccard-links")
 
 
-def near_copies(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = docs.where("doc_id IS NOT NULL")
-    rows = written(describe(docs, n, percent), "jaccard-rows")
-    full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(full.groupBy("key1", "key2").agg(F.min("doc_id").alias("class"), F.first("n_shingles").alias("n"),
-                                                       F.first("spare0").alias("spare0"), F.first("spare1").alias("spare1")), "jaccard-classes")
-    of_doc = written(full.select("doc_id", "key1", "key2").join(classes.select("key1", "key2", "class"), ["key1", "key2"])
-                     .select("doc_id", "class").distinct(), "jaccard-members")
-
-    total = full.agg(F.sum(F.col("n_shingles"))).first()[0] or 0
-    tasks = max(partitions(spark), -(-int(total * 0.4) // TASK_SIGNATURES))
-    found = repeated_signatures(known, n, percent, tasks)
-    entries = written(found.join(of_doc, "doc_id").select("signature", "class").distinct(), "jaccard-entries")
+def link_classes(known: DataFrame, entries: DataFrame, spare: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, component) of the classes that link.
 
+    known: the texts (id first, then text); entries: (signature, class), a written table of the signatures that several
+    classes may share; spare: (class, spare0, spare1, parity), the signatures a class may leave out among those
+    of its own band (last bit = parity) and of the next.
+    """
     # Each class against the class that is most often the least of its signatures.
     least = written(entries.groupBy("signature").agg(F.min("class").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "jaccard-least")
     shared = entries.join(least, "signature").where("class <> least").groupBy("class", "least").agg(F.count("*").alias("n"))
@@ -331,9 +324,6 @@ def near_copies(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
     entries = written(entries.select("signature", "class", F.coalesce("component", "class").alias("part")), "jaccard-left")
     cost = entries.groupBy("signature", "part").agg(F.lit(1).alias("one")).groupBy("signature").agg(F.count("*").alias("cost")).where("cost > 1")
     entries = written(entries.join(written(cost, "jaccard-cost"), "signature"), "jaccard-open")
-    upper = F.array(*[F.lit(int(u)) for u in bands(percent)[0]])
-    own = F.size(F.filter(upper, lambda u: u < F.col("n")))
-    spare = classes.select("class", "spare0", "spare1", (own % 2).alias("parity"))
     priced = entries.join(spare, "class").withColumn("next", (F.pmod("signature", F.lit(2)) != F.col("parity")))
     rank = F.row_number().over(Window.partitionBy("class", "next").orderBy(F.desc("cost"), "signature"))
     kept = priced.withColumn("rank", rank).where(F.col("rank") > F.when(F.col("next"), F.col("spare1")).otherwise(F.col("spare0")))
@@ -344,7 +334,29 @@ def near_copies(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
     pairs = written(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "jaccard-pairs")
     more = checked(known, pairs, n, percent)
     edges = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").unionByName(more).unionByName(blocks)
-    parts = written(components(edges, "jaccard-cc"), "jaccard-parts")
+    return written(components(edges, "jaccard-cc"), "jaccard-parts")
+
+
+def near_copies(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = docs.where("doc_id IS NOT NULL")
+    rows = written(describe(docs, n, percent), "jaccard-rows")
+    full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = written(full.groupBy("key1", "key2").agg(F.min("doc_id").alias("class"), F.first("n_shingles").alias("n"),
+                                                       F.first("spare0").alias("spare0"), F.first("spare1").alias("spare1")), "jaccard-classes")
+    of_doc = written(full.select("doc_id", "key1", "key2").join(classes.select("key1", "key2", "class"), ["key1", "key2"])
+                     .select("doc_id", "class").distinct(), "jaccard-members")
+
+    total = full.agg(F.sum(F.col("n_shingles"))).first()[0] or 0
+    tasks = max(partitions(spark), -(-int(total * 0.4) // TASK_SIGNATURES))
+    sign = lambda data, offsets: signatures(shingles(data, offsets, n), percent)[:2]
+    found = repeated_signatures(known, sign, tasks)
+    entries = written(found.join(of_doc, "doc_id").select("signature", "class").distinct(), "jaccard-entries")
+    upper = F.array(*[F.lit(int(u)) for u in bands(percent)[0]])
+    own = F.size(F.filter(upper, lambda u: u < F.col("n")))
+    parts = link_classes(known, entries, classes.select("class", "spare0", "spare1", (own % 2).alias("parity")), n, percent)
 
     placed = of_doc.join(parts.withColumnRenamed("node", "class"), "class", "left")
     placed = written(placed.select("doc_id", F.coalesce("component", "class").alias("component_id")), "jaccard-placed")

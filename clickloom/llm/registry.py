@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clickloom.llm import chat, decontaminate, jaccard, langid, packing, suffixes, toxicity, vectors, warc
+from clickloom.llm import chat, decontaminate, jaccard, langid, packing, paragraphs, suffixes, toxicity, vectors, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_ngram_jaccard_join": jaccard.op4,
     "op5_benchmark_decontamination": decontaminate.op5,
     "op6_language_id": langid.op6,
+    "op7_substring_dedup": paragraphs.op7,
     "op8_suffix_array_dedup": suffixes.op8,
     "op9_warc": warc.op9,
     "op10_embedding_near_dedup": vectors.op10,
