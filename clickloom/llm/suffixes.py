@@ -412,10 +412,12 @@ def cover(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def removed_masks(docs: DataFrame, run, schema: str) -> DataFrame:
-    """run(batch, data, offsets, mask) for every document that loses bytes, and for all others with an empty mask."""
-    found = removals(docs)
+    """run(batch, data, offsets, mask) for all documents; a batch has doc_id, text, two columns of hashes, then the others."""
+    found = removals(docs.select("doc_id", "text"))
     empty = F.array().cast("array<bigint>")
-    joined = docs.join(found, "doc_id", "left").select(*docs.columns, F.coalesce("gone", empty).alias("gone"), F.coalesce("suffixes", empty).alias("suffixes"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    joined = docs.join(found, "doc_id", "left").select(
+        "doc_id", "text", F.coalesce(found["gone"], empty).alias("gone"), F.coalesce(found["suffixes"], empty).alias("suffixes"), *[docs[c] for c in others])
 
     def each(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(frames, 1, 1 << 20):
@@ -440,13 +442,17 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) of what is left; bytes of a cut character are dropped, so that the text stays valid."""
+    """docs with the rest of every text; bytes of a cut character are dropped, so that the text stays valid."""
+    names = ["doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
+    kinds = dict(docs.dtypes)
 
     def run(b, data, offsets, mask):
         texts = [data[a:z][~mask[a:z]].tobytes().decode(errors="ignore") for a, z in zip(offsets[:-1], offsets[1:])]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+        texts = pa.array(texts, pa.string(), mask=b.column(1).is_null().to_numpy(zero_copy_only=False))
+        return pa.RecordBatch.from_arrays([b.column(0), texts, *b.columns[4:]], names)
 
-    return removed_masks(docs, run, "doc_id long, text string")
+    out = removed_masks(docs, run, ", ".join(f"`{c}` {kinds[c]}" for c in names))
+    return out.select(*docs.columns)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

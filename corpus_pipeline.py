@@ -9,6 +9,10 @@ from clickloom.llm.common import read, written
 
 #: Each takes (spark, docs, sf_dir). All but the last return the columns of documents.
 STAGES = [
+    ("toxicity", stages.not_toxic),
+    ("ngram_jaccard_join", stages.first_of_near_copies),
+    ("suffix_array_dedup", stages.deduplicated),
+    ("benchmark_decontamination", stages.decontaminated),
     ("best_fit_packing", stages.packed),
 ]
 
