@@ -119,7 +119,7 @@ def batches(frames: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield b.slice(i, rows)
 
 
-def by_bytes(frames: Iterator[pa.RecordBatch], column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def by_bytes(frames: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices whose texts add up to about `most` bytes; a longer text is a slice of its own."""
     for b in frames:
         _, offsets = utf8(b.column(column))

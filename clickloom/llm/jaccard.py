@@ -36,7 +36,7 @@ N, PERCENT = 4, 85
 #: Share of spare segments, and the greatest H for which one-deletion neighbourhoods are used.
 SPARE, SHORT = 0.2, 3
 #: Text bytes per run, and signatures per reading task aimed at.
-RUN_BYTES, TASK_SIGNATURES = 1 << 24, 4_000_000
+RUN_BYTES, TASK_SIGNATURES = 1 << 23, 2_000_000
 #: Signatures that meet this many components are compared in blocks of so many sets, others pair by pair.
 MANY, BLOCK = 16, 128
 #: Bits of the filter that thins texts before a join; its size is fixed, its answers are checked by the join.

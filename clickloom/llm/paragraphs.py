@@ -26,7 +26,7 @@ from clickloom.llm.common import LOWER, by_bytes, mix, partitions, read, small_b
 from clickloom.llm.jaccard import link_classes, repeated_signatures, shingles
 
 N, PERCENT, LEAST, RECALL, HASHES = 5, 80, 10, 0.995, 96
-TASK_SIGNATURES = 4_000_000
+TASK_SIGNATURES = 2_000_000
 
 
 def tune(percent: int = PERCENT, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:

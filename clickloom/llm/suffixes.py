@@ -35,7 +35,7 @@ from clickloom.llm.jaccard import thinned
 
 WIDTH, GRAM = 50, 24
 #: Bytes of text per part, suffixes per run, text bytes per exchange task aimed at.
-PART_BYTES, RUN_SUFFIXES, TASK_BYTES = 1 << 25, 1 << 20, 1 << 24
+PART_BYTES, RUN_SUFFIXES, TASK_BYTES = 1 << 23, 1 << 18, 1 << 23
 
 
 def gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
