@@ -35,7 +35,9 @@ from clickloom.llm.jaccard import thinned
 
 WIDTH, GRAM = 50, 24
 #: Bytes of text per part, suffixes per run, text bytes per exchange task aimed at.
-PART_BYTES, RUN_SUFFIXES, TASK_BYTES = 1 << 23, 1 << 18, 1 << 23
+PART_BYTES, RUN_SUFFIXES, TASK_BYTES = 1 << 23, 1 << 19, 1 << 23
+#: Suffixes that begin with the same bytes of this number go to one task, so that neighbours share long prefixes.
+HEAD = 8
 
 
 def gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
@@ -229,6 +231,8 @@ class LoserTree:
         h, g = self.shared[a], self.shared[b]
         if h != g:  # the one closer to the last winner is smaller, and they part where the other left it
             return (a, b) if h > g else (b, a)
+        while h + 8 <= WIDTH and x[h : h + 8] == y[h : h + 8]:
+            h += 8
         while h < WIDTH and x[h] == y[h]:
             h += 1
         if h == WIDTH or x[h] < y[h]:
@@ -252,7 +256,12 @@ class LoserTree:
             self._next(r)
             node = (r + size) // 2
             while node:
-                r, loser[node] = less(r, loser[node])
+                other = loser[node]
+                if now[r] is not None and now[other] is not None and shared[r] != shared[other]:
+                    if shared[r] < shared[other]:
+                        r, loser[node] = other, r
+                else:
+                    r, loser[node] = less(r, other)
                 node //= 2
             self.top = r
 
@@ -314,7 +323,8 @@ def settle_suffixes(docs: DataFrame, tasks: int) -> DataFrame:
                     h = row_hashes(rows[at])
                     yield _one((int(h[0] % np.uint64(tasks)), True, b"", h.tobytes(), *pack_ids(ids[at])), kinds, names)
             rows, ids = rows[new], ids[new]
-            task = (row_hashes(rows) >> np.uint64(20)) % np.uint64(tasks)
+            at = np.arange(len(rows)) * WIDTH
+            task = (span_hashes(rows.reshape(-1), at, at + HEAD) >> np.uint64(20)) % np.uint64(tasks)
             for k in range(tasks):
                 at = np.flatnonzero(task == k)
                 if len(at):
@@ -391,7 +401,18 @@ def removals(docs: DataFrame) -> DataFrame:
 
 
 def cover(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, offsets and the mask of removed bytes of rows (doc_id, text, gone, suffixes)."""
+    """Bytes, offsets and the mask of removed bytes of rows (doc_id, text, gone, suffixes); rows without hashes lose none."""
+    data, offsets = utf8(b.column(1))
+    out = np.zeros(len(data), bool)
+    some = np.flatnonzero(sum(np.diff(b.column(i).offsets.to_numpy()) for i in (2, 3))) if b.num_rows else np.zeros(0, np.int64)
+    if len(some):
+        _, parts, mask = _cover(b.select([0, 1, 2, 3]).take(pa.array(some)))
+        for i, x, y in zip(some, parts[:-1], parts[1:]):
+            out[offsets[i] : offsets[i + 1]] = mask[x:y]
+    return data, offsets, out
+
+
+def _cover(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = utf8(b.column(1))
     row, first, end, _, own = stretches(data, offsets)
     mark = np.zeros(len(data) + 1, np.int64)
