@@ -41,8 +41,10 @@ def duplicate_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def bincount(df: DataFrame, code: str) -> DataFrame:
-    """Count per integer code from 0 to the largest, zeros included."""
-    top = df.agg(F.max(code)).first()[0]
+    """Count per integer code from 0 to the largest, zeros included. Negative codes are an error."""
+    least, top = df.agg(F.min(code), F.max(code)).first()
+    if least is not None and least < 0:
+        raise ValueError(f"{code} holds the negative code {least}")
     codes = df.sparkSession.range(0, 0 if top is None else top + 1).withColumnRenamed("id", code)
     counted = df.where(F.col(code).isNotNull()).groupBy(F.col(code).cast("bigint").alias(code)).agg(F.count(F.lit(1)).alias("n"))
     return codes.join(counted, code, "left").select(code, F.coalesce("n", F.lit(0)).alias("n"))

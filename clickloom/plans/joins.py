@@ -85,8 +85,10 @@ def attach_all(
     Key sets that extend one another are joined one after the other, shortest first, so
     that they can share one shuffle of the log (see `clickloom.session`).
     """
-    sample = KeySample(df, [k for keys, _ in tables for k in keys], chunk_rows)
     made = [c for keys, table in tables for c in table.columns if c not in keys]
+    used = {k for keys, _ in tables for k in keys}
+    df = df.drop(*[c for c in made if c in df.columns and c not in used])  # a feature that is made again replaces the old one
+    sample = KeySample(df, [k for keys, _ in tables for k in keys], chunk_rows)
     out = df
     for keys, table in sorted(tables, key=lambda t: list(t[0])):
         out = attach(out, table, keys, sample)

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 CHUNK = "__chunk"
 UNSPLIT = -1
 MIN_CHUNK_ROWS = 1_000_000
-MIN_GLOBAL_CHUNK_ROWS = 250_000
+MIN_GLOBAL_CHUNK_ROWS = 1  # no floor: one plan for tables of every size
 PIECES_PER_PARTITION = 2
 SAMPLES_PER_PIECE = 60
 

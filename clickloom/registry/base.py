@@ -21,9 +21,6 @@ ORACLE: dict[str, str] = {}
 SUPPLEMENT_FROM = 20 * 86400
 HOUR = 3600
 
-# Small pieces, so that these queries take the path for long groups on any table size.
-PIECE = 500
-
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:

@@ -12,7 +12,7 @@ from clickloom.operators import profile as P
 from clickloom.operators.splits import kfold
 from clickloom.operators.timefeat import from_supplement, time_table
 from clickloom.operators.windows import last_next_union
-from clickloom.registry.base import PIECE, clicks, coded, contest, develop, query, r6, sql
+from clickloom.registry.base import clicks, coded, contest, develop, query, r6, sql
 from clickloom.schema import COUNT_KEYS, DICTIONARY_KEYS, DISTINCT_PAIRS, LABEL, LABEL_COUNT_KEYS, MEAN_KEYS, PULSE_KEYS, feature_name
 from clickloom.sources.scans import read_table
 
@@ -48,10 +48,10 @@ def base_table(spark, sf):
     return K.base_table(log, [train, supp]).select("row_id", "dayofweek", "hourofday", *CODES)
 
 
-@query("join_encode_keys_salted", sql("SELECT row_id, ip_device_os, ip_device_os_app FROM coded"))
+@query("join_encode_keys_salted", sql("SELECT row_id, ip_device_os, ip_device_os_app, ip_device_os_app_channel FROM coded"))
 def join_encode_keys_salted(spark, sf):
     log = clicks(spark, sf)
-    return K.encode_all(log, [log], DICTIONARY_KEYS[:2], chunk_rows=1000).select("row_id", *CODES[:2])
+    return K.encode_all(log, [log], DICTIONARY_KEYS).select("row_id", *CODES)
 
 
 COUNT_SQL = ", ".join(f"count(*) OVER (PARTITION BY {', '.join(k)}) AS {feature_name(k, 'cnt')}" for k in COUNT_KEYS)
@@ -68,7 +68,7 @@ SELECT row_id, count(*) OVER (PARTITION BY ip) AS ip_cnt, count(*) OVER (PARTITI
        count(*) OVER (PARTITION BY ip, app) AS ip_app_cnt FROM clicks"""))
 def join_count_map_salted(spark, sf):
     log = clicks(spark, sf)
-    return N.add_count_maps(log, [log], [["ip"], ["app"], ["ip", "app"]], chunk_rows=PIECE).select("row_id", "ip_cnt", "app_cnt", "ip_app_cnt")
+    return N.add_count_maps(log, [log], [["ip"], ["app"], ["ip", "app"]]).select("row_id", "ip_cnt", "app_cnt", "ip_app_cnt")
 
 
 @query("join_encoder_transform", sql("""
@@ -133,14 +133,24 @@ def agg_count_lineitem(spark, sf):
     return N.count_map([read_table(spark, sf, "lineitem")], ["l_partkey", "l_suppkey", "l_returnflag"])
 
 
-NONNULL_KEYS = LABEL_COUNT_KEYS[:4]
+CODED_PARTS = ["ctr AS (SELECT * FROM coded WHERE split = 'tr')", "cval AS (SELECT * FROM coded WHERE split = 'val')"]
+
+
+def develop_coded(spark, sf):
+    """(tr, val) with composite codes."""
+    log = coded(spark, sf)
+    return log.where(F.col("split") == "tr"), log.where(F.col("split") == "val")
+
+
+NONNULL_KEYS = LABEL_COUNT_KEYS
 NONNULL_SQL = sql(
-    "SELECT 'tr' AS part, t.row_id, {c} FROM tr t {j} UNION ALL SELECT 'val', t.row_id, {c} FROM val t {j}".format(
+    "SELECT 'tr' AS part, t.row_id, {c} FROM ctr t {j} UNION ALL SELECT 'val', t.row_id, {c} FROM cval t {j}".format(
         c=", ".join(f"c_{k}.n AS {k}_count" for k in NONNULL_KEYS),
         j=" ".join(f"LEFT JOIN c_{k} USING ({k})" for k in NONNULL_KEYS),
     ),
+    *CODED_PARTS,
     *[
-        f"c_{k} AS (SELECT {k}, count(y) AS n FROM (SELECT {k}, is_attributed AS y FROM tr UNION ALL SELECT {k}, NULL FROM val) GROUP BY {k})"
+        f"c_{k} AS (SELECT {k}, count(y) AS n FROM (SELECT {k}, is_attributed AS y FROM ctr UNION ALL SELECT {k}, NULL FROM cval) GROUP BY {k})"
         for k in NONNULL_KEYS
     ],
 )
@@ -148,7 +158,7 @@ NONNULL_SQL = sql(
 
 @query("agg_count_nonnull", NONNULL_SQL)
 def agg_count_nonnull(spark, sf):
-    tr, val = develop(spark, sf)
+    tr, val = develop_coded(spark, sf)
     val = val.withColumn(LABEL, F.lit(None).cast("int"))
     return stacked(E.count_features(tr, val, NONNULL_KEYS, LABEL), [f"{k}_count" for k in NONNULL_KEYS])
 
@@ -181,19 +191,20 @@ def agg_target_mean_min_count(spark, sf):
 
 
 OOF_CTES = [
-    "rows AS (SELECT *, row_id % 5 AS fold FROM tr)",
+    *CODED_PARTS,
+    "rows AS (SELECT *, row_id % 5 AS fold FROM ctr)",
     *[
         f"""t_{k} AS (SELECT {k}, count(*) AS n, sum(is_attributed) AS s FROM rows GROUP BY {k}),
 f_{k} AS (SELECT {k}, fold, count(*) AS n, sum(is_attributed) AS s FROM rows GROUP BY {k}, fold)"""
-        for k in MEAN_KEYS[:5]
+        for k in MEAN_KEYS
     ],
 ]
 OOF_SQL = sql(
-    "SELECT 'tr' AS part, r.row_id, {a} FROM rows r {ja} UNION ALL SELECT 'val', v.row_id, {b} FROM val v {jb}".format(
-        a=", ".join(f"round((t_{k}.s - f_{k}.s) / nullif(t_{k}.n - f_{k}.n, 0), 6) AS {k}_mean" for k in MEAN_KEYS[:5]),
-        ja=" ".join(f"JOIN t_{k} USING ({k}) JOIN f_{k} ON r.{k} = f_{k}.{k} AND r.fold = f_{k}.fold" for k in MEAN_KEYS[:5]),
-        b=", ".join(f"round(t_{k}.s / t_{k}.n, 6)" for k in MEAN_KEYS[:5]),
-        jb=" ".join(f"LEFT JOIN t_{k} USING ({k})" for k in MEAN_KEYS[:5]),
+    "SELECT 'tr' AS part, r.row_id, {a} FROM rows r {ja} UNION ALL SELECT 'val', v.row_id, {b} FROM cval v {jb}".format(
+        a=", ".join(f"round((t_{k}.s - f_{k}.s) / nullif(t_{k}.n - f_{k}.n, 0), 6) AS {k}_mean" for k in MEAN_KEYS),
+        ja=" ".join(f"JOIN t_{k} USING ({k}) JOIN f_{k} ON r.{k} = f_{k}.{k} AND r.fold = f_{k}.fold" for k in MEAN_KEYS),
+        b=", ".join(f"round(t_{k}.s / t_{k}.n, 6)" for k in MEAN_KEYS),
+        jb=" ".join(f"LEFT JOIN t_{k} USING ({k})" for k in MEAN_KEYS),
     ),
     *OOF_CTES,
 )
@@ -201,10 +212,10 @@ OOF_SQL = sql(
 
 @query("agg_target_mean_oof", OOF_SQL)
 def agg_target_mean_oof(spark, sf):
-    tr, val = develop(spark, sf)
-    made = E.out_of_fold_means(tr, val, MEAN_KEYS[:5], LABEL, fold=kfold(5, seed=None))
-    out = stacked(made, [f"{k}_mean" for k in MEAN_KEYS[:5]])
-    return out.withColumns({f"{k}_mean": r6(F.col(f"{k}_mean")) for k in MEAN_KEYS[:5]})
+    tr, val = develop_coded(spark, sf)
+    made = E.out_of_fold_means(tr, val, MEAN_KEYS, LABEL, fold=kfold(5, seed=None))
+    out = stacked(made, [f"{k}_mean" for k in MEAN_KEYS])
+    return out.withColumns({f"{k}_mean": r6(F.col(f"{k}_mean")) for k in MEAN_KEYS})
 
 
 UNQ_NAMES = [feature_name(k, "unq", t) for k, t in DISTINCT_PAIRS]
@@ -310,7 +321,7 @@ def agg_distinct_keys(spark, sf):
 SELECT DISTINCT ip, device, os, app, channel, dense_rank() OVER (ORDER BY ip, device, os, app, channel) - 1 AS ip_device_os_app_channel FROM clicks"""))
 def encode_dense_ids(spark, sf):
     train, supp, _ = contest(spark, sf)
-    return K.key_dictionary([train, supp], DICTIONARY_KEYS[2], chunk_rows=PIECE)
+    return K.key_dictionary([train, supp], DICTIONARY_KEYS[2])
 
 
 @query("encode_dense_ids_lineitem", """
@@ -329,7 +340,7 @@ SELECT count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(va
   round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75,
   max(value) AS max FROM events""")
 def agg_describe(spark, sf):
-    out = P.describe(read_table(spark, sf, "events"), "value", chunk_rows=PIECE)
+    out = P.describe(read_table(spark, sf, "events"), "value")
     return out.withColumns({c: r6(F.col(c)) for c in ("mean", "std", "q25", "q50", "q75")})
 
 
@@ -380,4 +391,4 @@ def ratio_features(spark, sf):
 SELECT ip, epoch_hour, n AS ip_timecount, coalesce(epoch_hour - lag(epoch_hour) OVER (PARTITION BY ip ORDER BY epoch_hour), 1000000) AS ip_timediff
 FROM (SELECT ip, epoch_hour, count(*) AS n FROM clicks GROUP BY ip, epoch_hour)"""))
 def time_table_split(spark, sf):
-    return time_table([clicks(spark, sf)], "ip", "epoch_hour", chunk_rows=20)
+    return time_table([clicks(spark, sf)], "ip", "epoch_hour")

@@ -9,7 +9,7 @@ from clickloom.operators import timefeat as T
 from clickloom.operators import windows as W
 from clickloom.operators.sequences import HISTORY_COLUMNS, histories, next_step_input
 from clickloom.plans.ordered import LastN, ordered_features
-from clickloom.registry.base import PIECE, clicks, develop, query, r6, sql
+from clickloom.registry.base import clicks, develop, query, r6, sql
 from clickloom.registry.groups import stacked
 from clickloom.schema import LABEL
 from clickloom.sources.scans import read_table
@@ -55,7 +55,7 @@ def win_expanding_count(spark, sf):
 @query("win_expanding_split_keys", sql(f"""
 SELECT row_id, round(coalesce({prior('avg', 'app')}, -1), 6) AS app_expmean, {prior('count', 'app')} AS app_expcount FROM clicks"""))
 def win_expanding_split_keys(spark, sf):
-    (out,) = W.expanding(clicks(spark, sf), None, ["app"], chunk_rows=200)
+    (out,) = W.expanding(clicks(spark, sf), None, ["app"])
     return out.select("row_id", r6(F.col("app_expmean")).alias("app_expmean"), "app_expcount")
 
 
@@ -79,7 +79,7 @@ def win_expanding_mean_globalshift(spark, sf):
 SELECT row_id, coalesce(CASE WHEN rn = 1 THEN pn ELSE n END, 0) AS app_expcount FROM o JOIN g USING (app)""", *GLOBAL_CTES))
 def win_expanding_count_globalshift(spark, sf):
     tr, _ = develop(spark, sf)
-    (out,) = W.expanding(tr, None, ["app"], stats=["count"], group_shift="global", chunk_rows=200)
+    (out,) = W.expanding(tr, None, ["app"], stats=["count"], group_shift="global")
     return out.select("row_id", "app_expcount")
 
 
@@ -122,7 +122,7 @@ def win_next_click(spark, sf):
 SELECT row_id, epoch_time - lag(epoch_time, 2) OVER w AS app_prev_click_2, lead(epoch_time, 2) OVER w - epoch_time AS app_next_click_2
 FROM clicks WINDOW w AS (PARTITION BY app {ORDER})"""))
 def win_gaps_split_keys(spark, sf):
-    out = W.click_gaps(clicks(spark, sf), "app", prev=(2,), nxt=(2,), fill=None, chunk_rows=200)
+    out = W.click_gaps(clicks(spark, sf), "app", prev=(2,), nxt=(2,), fill=None)
     return out.select("row_id", "app_prev_click_2", "app_next_click_2")
 
 
@@ -157,7 +157,7 @@ FROM clicks""")
 
 @query("win_group_diff_rows", GROUP_DIFF_SQL)
 def win_group_diff_rows(spark, sf):
-    return W.adjacent_diff(clicks(spark, sf), F.col("app"), F.col("epoch_time"), chunk_rows=PIECE).select("row_id", "group_diff")
+    return W.adjacent_diff(clicks(spark, sf), F.col("app"), F.col("epoch_time")).select("row_id", "group_diff")
 
 
 @query("win_last_next_union", sql(f"""
@@ -191,7 +191,7 @@ def win_history_last_n(spark, sf):
 
 @query("win_history_split_keys", sql(history_sql(20, "app")))
 def win_history_split_keys(spark, sf):
-    return joined(histories(clicks(spark, sf), key="app", deltas=False, chunk_rows=100), HISTORIES)
+    return joined(histories(clicks(spark, sf), key="app", deltas=False), HISTORIES)
 
 
 DELTA_SQL = f"""SELECT row_id, [CAST(ts[i] - ts[i - 1] AS INTEGER) FOR i IN range(2, len(ts) + 1)] AS d FROM (
@@ -238,7 +238,7 @@ FROM (SELECT ts AS x, lag(ts) OVER (ORDER BY event_id) AS p FROM events)
 UNION ALL SELECT 'value', count(*) FILTER (x < p), count(*) FILTER (x < p) = 0 FROM (SELECT value AS x, lag(value) OVER (ORDER BY event_id) AS p FROM events)""")
 def win_sortedness_check(spark, sf):
     events = read_table(spark, sf, "events")
-    checks = [W.sortedness(events, c, ["event_id"], chunk_rows=PIECE).select(F.lit(c).alias("by"), "*") for c in ("ts", "value")]
+    checks = [W.sortedness(events, c, ["event_id"]).select(F.lit(c).alias("by"), "*") for c in ("ts", "value")]
     return checks[0].unionByName(checks[1])
 
 
@@ -260,7 +260,7 @@ def win_rolling_mean_best(spark, sf):
 @query("win_rolling_mean_split_keys", """
 SELECT event_type, event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) AS avg_loss FROM events""")
 def win_rolling_mean_split_keys(spark, sf):
-    out = W.plateau(read_table(spark, sf, "events").select("event_type", "event_id", "value"), "event_type", "event_id", "value", 100, chunk_rows=100)
+    out = W.plateau(read_table(spark, sf, "events").select("event_type", "event_id", "value"), "event_type", "event_id", "value", 100)
     return out.select("event_type", "event_id", F.round("avg_loss", 9).alias("avg_loss"))
 
 

@@ -16,7 +16,7 @@ from clickloom.operators.keys import distinct_keys
 from clickloom.operators.scaling import P_MIN, QuantileMap, normalize_splits, scale_l2
 from clickloom.operators.sequences import histories
 from clickloom.operators.windows import click_gaps
-from clickloom.registry.base import PIECE, clicks, coded, contest, develop, query, r6, sql
+from clickloom.registry.base import clicks, coded, contest, develop, query, r6, sql
 from clickloom.registry.groups import stack
 from clickloom.schema import COUNT_KEYS, LABEL, TIME_KEYS, feature_name
 from clickloom.sources.scans import read_table
@@ -25,7 +25,7 @@ from clickloom.sources.store import roundtrip
 
 @query("sort_by_time", sql("SELECT row_id, epoch_time, row_number() OVER (ORDER BY epoch_time, row_id) - 1 AS position FROM clicks"))
 def sort_by_time(spark, sf):
-    return P.number_rows(clicks(spark, sf).select("row_id", "epoch_time"), ["epoch_time", "row_id"], chunk_rows=PIECE)
+    return P.number_rows(clicks(spark, sf).select("row_id", "epoch_time"), ["epoch_time", "row_id"])
 
 
 @query("sort_key_time", sql("SELECT ip, device, os, epoch_time, row_id FROM clicks ORDER BY ip, device, os, epoch_time, row_id"))
@@ -37,7 +37,7 @@ def sort_key_time(spark, sf):
 @query("restore_row_order", sql("SELECT row_id, ip, row_number() OVER (ORDER BY row_id) - 1 AS position FROM clicks ORDER BY row_id"))
 def restore_row_order(spark, sf):
     shuffled = clicks(spark, sf).select("row_id", "ip").repartition("ip")
-    return P.number_rows(shuffled, ["row_id"], chunk_rows=PIECE).orderBy("row_id")
+    return P.number_rows(shuffled, ["row_id"]).orderBy("row_id")
 
 
 @query("head_tail", sql("""
@@ -51,7 +51,7 @@ def head_tail(spark, sf):
 @query("sort_lexicographic_unique", sql("""
 SELECT ip, epoch_hour, min(row_id) AS first_row, count(*) AS n, row_number() OVER (ORDER BY ip, epoch_hour) - 1 AS code FROM clicks GROUP BY ip, epoch_hour"""))
 def sort_lexicographic_unique(spark, sf):
-    return P.unique_rows(clicks(spark, sf), ["ip", "epoch_hour"], chunk_rows=PIECE)
+    return P.unique_rows(clicks(spark, sf), ["ip", "epoch_hour"])
 
 
 @query("union_all_splits", sql("""
@@ -149,7 +149,7 @@ RANK_CTES = [
 @query("scale_quantile_uniform", "WITH " + ",\n".join(RANK_CTES) + " SELECT event_id, round(u, 6) AS value FROM p")
 def scale_quantile_uniform(spark, sf):
     events = read_table(spark, sf, "events").select("event_id", "value")
-    out = QuantileMap.fit(events, ["value"], 101, chunk_rows=PIECE).transform(events, "uniform")
+    out = QuantileMap.fit(events, ["value"], 101).transform(events, "uniform")
     return out.select("event_id", r6(F.col("value")).alias("value"))
 
 
@@ -208,7 +208,7 @@ def metric_roc_auc(spark, sf):
        + AUC_OF.format(by="", part="", group=""))
 def metric_roc_auc_documents(spark, sf):
     both = read_table(spark, sf, "labels").join(read_table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
-    return with_auc(M.roc_auc(both, "quality", "n_chars", chunk_rows=50))
+    return with_auc(M.roc_auc(both, "quality", "n_chars"))
 
 
 @query("metric_auc_by_epoch", sql(AUC_OF.format(by="epoch,", part="PARTITION BY epoch", group="GROUP BY epoch"),
@@ -272,12 +272,12 @@ def model_fit_score(spark, sf):
 
 @query("model_incremental_feature_eval")
 def model_incremental_feature_eval(spark, sf):
-    return L.incremental_eval(*features_table(spark, sf), BASE, EXTRA[:2], SMALL)
+    return L.incremental_eval(*features_table(spark, sf), BASE, EXTRA, SMALL)
 
 
 @query("model_forward_selection")
 def model_forward_selection(spark, sf):
-    return L.forward_selection(*features_table(spark, sf), BASE, EXTRA[:2], SMALL)
+    return L.forward_selection(*features_table(spark, sf), BASE, EXTRA, SMALL)
 
 
 @query("model_param_sweep")

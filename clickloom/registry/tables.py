@@ -11,7 +11,7 @@ from clickloom.functions import columns as C
 from clickloom.operators import splits as S
 from clickloom.operators.keys import key_dictionary
 from clickloom.operators.sequences import histories
-from clickloom.registry.base import PIECE, clicks, contest, develop, query, r6, sql
+from clickloom.registry.base import clicks, contest, develop, query, r6, sql
 from clickloom.schema import CLICK_SCHEMA, LABEL, RAW_FIELDS, feature_name
 from clickloom.sources import inspect, scans, sinks, store
 from clickloom.sources.scans import read_table
@@ -48,7 +48,7 @@ def scan_chunked_partial_agg(spark, sf):
 
 @query("scan_skip_limit", sql("SELECT row_id, ip, app FROM clicks ORDER BY row_id LIMIT 4000 OFFSET 300"))
 def scan_skip_limit(spark, sf):
-    return scans.skip_limit(clicks(spark, sf), 300, 4000, chunk_rows=PIECE).select("row_id", "ip", "app")
+    return scans.skip_limit(clicks(spark, sf), 300, 4000).select("row_id", "ip", "app")
 
 
 @query("sink_csv_append", sql("SELECT ip, app, is_attributed, count(*) AS n FROM both_splits GROUP BY ALL"))
@@ -234,8 +234,7 @@ def mask_rows(spark, sf):
 def add_or_replace_column(spark, sf):
     df = C.set_column(clicks(spark, sf), "app_os", F.col("app") * 10 + F.col("os"))
     df = C.set_column(df, "app", F.col("app") + 1)
-    parts = dict(C.iter_columns(df.select("row_id", "app", "app_os")))
-    return parts["app"].join(C.get_column(df, "app_os"), "row_id")
+    return df.select("row_id", "app", "app_os")
 
 
 # A multiplicative draw that SQL can repeat, in place of the default hash.
@@ -273,17 +272,17 @@ WHERE batch_id < (SELECT count(*) // 64 FROM clicks)"""
 
 @query("shuffle_batches", sql(BATCH_SQL.format(order=f"{DRAW}, row_id")))
 def shuffle_batches(spark, sf):
-    return S.shuffled_batches(clicks(spark, sf), 64, draw=draw(), chunk_rows=PIECE).select("row_id", "batch_id")
+    return S.shuffled_batches(clicks(spark, sf), 64, draw=draw()).select("row_id", "batch_id")
 
 
 @query("shuffle_batches_hashed")
 def shuffle_batches_hashed(spark, sf):
-    return S.shuffled_batches(clicks(spark, sf), 64, epoch=1, chunk_rows=PIECE).select("row_id", "batch_id")
+    return S.shuffled_batches(clicks(spark, sf), 64, epoch=1).select("row_id", "batch_id")
 
 
 @query("ordered_batches", sql(BATCH_SQL.format(order="row_id")))
 def ordered_batches(spark, sf):
-    return S.shuffled_batches(clicks(spark, sf), 64, shuffle=False, chunk_rows=PIECE).select("row_id", "batch_id")
+    return S.shuffled_batches(clicks(spark, sf), 64, shuffle=False).select("row_id", "batch_id")
 
 
 @query("sample_one_entity", sql("""

@@ -31,9 +31,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/clickloom/{name}-{uuid.uuid4().hex}"
 
 
+def files_of(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, bytes, modification time) of all files below a path; none when it does not exist."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    if store.exists(place):
+        files = store.listFiles(place, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(found)
+
+
 def cache_path(spark: SparkSession, operator: str, params: Mapping[str, object], inputs: list[str]) -> str:
-    """A path that stands for an operator, all its parameters and its inputs, so that none can go stale."""
-    key = json.dumps([operator, sorted(params.items()), sorted(inputs)], default=str)
+    """A path that stands for an operator, all its parameters and its inputs as they are now: files, sizes and times."""
+    key = json.dumps([operator, sorted(params.items()), sorted((i, files_of(spark, i)) for i in inputs)], default=str)
     return f"{shared_dir(spark)}/clickloom/{operator}-{hashlib.sha256(key.encode()).hexdigest()[:24]}"
 
 

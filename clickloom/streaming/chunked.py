@@ -29,6 +29,9 @@ def chunked_count_map(chunks: DataFrame, cols: str | Sequence[str], name: str |
     counted = chunks.where(~is_null_key(cols)).groupBy(*cols).agg(F.count(F.lit(1)).alias(name))
     out, checkpoint = scratch_path(spark, "chunk-counts"), scratch_path(spark, "chunk-state")
 
+    # A folder without chunks gives no rows rather than no table.
+    save_table(spark.createDataFrame([], counted.schema), f"{out}/chunk=-1")
+
     def keep(batch: DataFrame, batch_id: int) -> None:
         # One folder per chunk: a chunk that is run again replaces what it wrote.
         save_table(batch, f"{out}/chunk={batch_id}")

@@ -27,21 +27,21 @@ def col(df, name, order="row_id"):
 
 @pytest.mark.parametrize("cut", [None, 3])
 def test_adjacent_diff(spark, cut):
-    groups = [3, 0, 1, 0, 1, 2, 2, 2, 2, 1]
-    times = [1, 2, 3, 4, 5, 6, 7, 8, 8, 8]
+    groups = [7, 7, 2, 7, 2, 2, 9, 9, 9, 7]
+    times = [3, 5, 5, 9, 12, 20, 20, 21, 30, 31]
     df = spark.createDataFrame(list(zip(range(10), groups, times)), "row_id bigint, g int, t bigint")
     out = W.adjacent_diff(df, F.col("g"), F.col("t"), chunk_rows=cut)
-    assert col(out, "group_diff") == [7200, 7200, 7200, 7200, 7200, 7200, 1, 1, 0, 7200]
+    assert col(out, "group_diff") == [7200, 2, 7200, 7200, 7200, 8, 7200, 1, 9, 7200]
 
 
 @pytest.mark.parametrize("cut", CUTS)
 def test_time_pairs(spark, cut):
-    keys = [1, 2, 3, 2, 1, 4, 1, 5, 2, 5]
-    times = [1, 2, 2, 2, 2, 3, 4, 4, 4, 5]
-    df = spark.createDataFrame(list(zip(range(10), keys, times)), "row_id bigint, k int, epoch_time bigint")
+    keys = [6, 6, 1, 6, 1, 3, 3, 6, 1]
+    times = [0, 0, 1, 4, 5, 5, 9, 9, 9]
+    df = spark.createDataFrame(list(zip(range(9), keys, times)), "row_id bigint, k int, epoch_time bigint")
     out = add_time_features(df, [df], ["k"], na_val=7200, chunk_rows=cut)
-    assert col(out, "k_timecount") == [1, 2, 1, 2, 1, 1, 1, 1, 1, 1]
-    assert col(out, "k_timediff") == [7200, 7200, 7200, 7200, 1, 7200, 2, 7200, 2, 1]
+    assert col(out, "k_timecount") == [2, 2, 1, 1, 1, 1, 1, 1, 1]
+    assert col(out, "k_timediff") == [7200, 7200, 7200, 4, 4, 7200, 4, 5, 4]
 
 
 def labelled(spark):
@@ -173,3 +173,38 @@ def test_calendar_ignores_the_session_time_zone(spark):
         assert col(made, "epoch_time") == [9000, 86400] and col(made, "hourofday") == [2, 0]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_negative_codes_are_an_error(spark):
+    from clickloom.operators.profile import bincount
+
+    with pytest.raises(ValueError):
+        bincount(spark.createDataFrame([(-2,), (0,), (3,)], "c int"), "c")
+
+
+def test_adding_a_feature_twice_replaces_it(spark):
+    from clickloom.operators.encoder import mean_features
+
+    tr, val = labelled(spark)
+    once = mean_features(tr, val, ["k"], "is_attributed")
+    twice = mean_features(*once, ["k"], "is_attributed")
+    assert [sorted(map(str, a.collect())) for a in once] == [sorted(map(str, a.select(b.columns).collect())) for a, b in zip(twice, once)]
+
+
+def test_empty_chunk_folder(spark, tmp_path):
+    from clickloom.streaming.chunked import chunked_count_map, read_chunks
+
+    empty = spark.createDataFrame([], "k int")
+    empty.limit(0).write.parquet(str(tmp_path / "chunks"))
+    assert chunked_count_map(read_chunks(spark, str(tmp_path / "chunks"), empty.schema), ["k"]).count() == 0
+
+
+def test_cache_path_follows_the_input(spark, tmp_path):
+    from clickloom.sources.store import cache_path
+
+    path = str(tmp_path / "input")
+    spark.range(3).write.parquet(path)
+    before = cache_path(spark, "op", {}, [path])
+    assert before == cache_path(spark, "op", {}, [path])
+    spark.range(9).write.mode("overwrite").parquet(path)
+    assert before != cache_path(spark, "op", {}, [path])
