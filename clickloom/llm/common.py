@@ -86,6 +86,15 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: i
     return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
+def row_hashes(rows: np.ndarray) -> np.ndarray:
+    """`span_hashes` of whole rows of a byte matrix."""
+    width = rows.shape[1]
+    total = np.full(len(rows), width, np.uint64)
+    for k, power in enumerate(_powers(_BASE, width)):
+        total += _BYTE[rows[:, k]] * power
+    return mix(total)
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)

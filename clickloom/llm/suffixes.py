@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import by_bytes, mix, partitions, read, small_batches, span_hashes, utf8, written
+from clickloom.llm.common import by_bytes, mix, partitions, ragged, read, row_hashes, small_batches, span_hashes, utf8, written
 from clickloom.llm.jaccard import thinned
 
 WIDTH, GRAM = 50, 24
@@ -38,6 +38,8 @@ WIDTH, GRAM = 50, 24
 PART_BYTES, RUN_SUFFIXES, TASK_BYTES = 1 << 23, 1 << 19, 1 << 23
 #: Suffixes that begin with the same bytes of this number go to one task, so that neighbours share long prefixes.
 HEAD = 8
+#: Bytes of texts whose windows are worked out at once.
+BLOCK_BYTES = 1 << 15
 
 
 def gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
@@ -76,14 +78,22 @@ def window_anchors(data: np.ndarray) -> np.ndarray:
 def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all rows: row, first window, end (exclusive), anchor hash and hash of the bytes of every stretch."""
     row, first, end, anchor = [], [], [], []
-    for i, (a, z) in enumerate(zip(offsets[:-1], offsets[1:])):
-        w = window_anchors(data[a:z])
-        if len(w):
-            cut = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-            row.append(np.full(len(cut), i))
-            first.append(cut + a)
-            end.append(np.append(cut[1:], len(w)) + a)
+    i = 0
+    while i < len(offsets) - 1:
+        # Short texts are looked at together; only windows that lie within one text count.
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK_BYTES, "right")) - 1)
+        a = offsets[i]
+        w = window_anchors(data[a : offsets[j]])
+        n = np.maximum(np.diff(offsets[i : j + 1]) - WIDTH + 1, 0)
+        if n.any():
+            at, of = ragged(offsets[i:j], n), np.repeat(np.arange(i, j), n)
+            w = w[at - a]
+            cut = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (of[1:] != of[:-1])]))
+            row.append(of[cut])
+            first.append(at[cut])
+            end.append(at[np.append(cut[1:], len(w)) - 1] + 1)
             anchor.append(w[cut])
+        i = j
     if not row:
         return *(np.zeros(0, np.int64) for _ in range(3)), *(np.zeros(0, np.uint64) for _ in range(2))
     row, first, end, anchor = map(np.concatenate, (row, first, end, anchor))
@@ -136,10 +146,9 @@ def settle_stretches(docs: DataFrame, tasks: int) -> DataFrame:
             task = (a >> np.uint64(20)) % np.uint64(tasks)
             by = np.argsort(task, kind="stable")
             cuts = np.searchsorted(task[by], np.arange(tasks + 1, dtype=np.uint64))
-            for k in range(tasks):
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
                 at = by[cuts[k] : cuts[k + 1]]
-                if len(at):
-                    yield _one((k, False, a[at].tobytes(), c[at].tobytes(), *pack_ids(ids[at])), kinds, names)
+                yield _one((k, False, a[at].tobytes(), c[at].tobytes(), *pack_ids(ids[at])), kinds, names)
 
         for b in by_bytes(frames, 1):
             data, offsets = utf8(b.column(1))
@@ -296,11 +305,6 @@ def merge_runs(runs: list[tuple[bytes, bytes, np.ndarray]]) -> tuple[np.ndarray,
     return np.frombuffer(b"".join(out), np.uint8).reshape(-1, WIDTH), np.array(ids, np.int64)
 
 
-def row_hashes(rows: np.ndarray) -> np.ndarray:
-    at = np.arange(len(rows)) * WIDTH
-    return span_hashes(rows.reshape(-1), at, at + WIDTH)
-
-
 def settle_suffixes(docs: DataFrame, tasks: int) -> DataFrame:
     """Answers SUFFIX for docs (doc_id, text, open: hashes of their open stretches); h is the hash of a window."""
     fields = "task int, final boolean, shared binary, rests binary, ids binary, low long, narrow boolean"
@@ -323,13 +327,13 @@ def settle_suffixes(docs: DataFrame, tasks: int) -> DataFrame:
                     h = row_hashes(rows[at])
                     yield _one((int(h[0] % np.uint64(tasks)), True, b"", h.tobytes(), *pack_ids(ids[at])), kinds, names)
             rows, ids = rows[new], ids[new]
-            at = np.arange(len(rows)) * WIDTH
-            task = (span_hashes(rows.reshape(-1), at, at + HEAD) >> np.uint64(20)) % np.uint64(tasks)
-            for k in range(tasks):
-                at = np.flatnonzero(task == k)
+            head = np.ascontiguousarray(rows[:, :HEAD]).view("<u8").ravel()
+            task = (mix(head) >> np.uint64(20)) % np.uint64(tasks)
+            by = np.argsort(task, kind="stable")  # stays sorted within a task
+            for at in np.split(by, np.flatnonzero(np.diff(task[by])) + 1):
                 if len(at):
                     shared, rests = front_code(rows[at])
-                    yield _one((k, False, shared.tobytes(), rests.tobytes(), *pack_ids(ids[at])), kinds, names)
+                    yield _one((int(task[at[0]]), False, shared.tobytes(), rests.tobytes(), *pack_ids(ids[at])), kinds, names)
 
         for b in by_bytes(frames, 1, 1 << 20):
             data, offsets = utf8(b.column(1))
