@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickloom.llm import chat, decontaminate, jaccard, langid, packing, paragraphs, suffixes, toxicity, vectors, warc
-from clickloom.llm.common import components, small_batches
+from clickloom.llm.common import components, row_hashes, small_batches, span_hashes
 
 WORDS = "alpha beta gamma delta river stone window garden yellow quiet seven letter market paper morning silver".split()
 
@@ -218,6 +218,25 @@ def test_loser_tree():
 # --- paragraphs ------------------------------------------------------------------------------------------------
 
 
+def test_stretches_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 100, n, dtype=np.uint8)) for n in (0, 49, 50, 51, 0, 3000, 7, 200, 40_000, 50, 120, 33_000, 0)]
+    offsets = np.cumsum([0, *map(len, texts)])
+    row, first, end, anchor, own = suffixes.stretches(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    for i, text in enumerate(texts):
+        _, *alone = suffixes.stretches(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        mine = row == i
+        for x, y in zip((first - offsets[i], end - offsets[i], anchor, own), alone):
+            assert (x[mine] == y).all()
+        assert (end - first)[mine].sum() == max(len(text) - suffixes.WIDTH + 1, 0)
+
+
+def test_row_hashes_are_span_hashes():
+    rows = np.random.default_rng(5).integers(0, 256, (40, suffixes.WIDTH), dtype=np.uint8)
+    at = np.arange(len(rows)) * suffixes.WIDTH
+    assert (row_hashes(rows) == span_hashes(rows.reshape(-1), at, at + suffixes.WIDTH)).all()
+
+
 def test_paragraphs(docs):
     gone = {(r.doc_id, r.place): (r.kept_doc, r.kept_place) for r in paragraphs.repeats(docs).collect()}
     assert gone[(24, 1)] == (1, 0) and gone[(10, 0)] == (0, 0) and gone[(11, 0)] == (0, 0)
