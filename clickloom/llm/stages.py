@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from clickloom.llm import decontaminate, jaccard, packing, suffixes, toxicity
 from clickloom.llm.common import read, small_batches, written
 
+#: Words of a shingle and the Jaccard similarity in percent from which documents link; op4's own defaults are its query's.
+SHINGLE, PERCENT = 5, 80
+
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on the labelled ones, does not reject."""
@@ -18,7 +21,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose shingle sets link, directly or through others, the one with the least id."""
     small_batches(spark)
-    groups = jaccard.near_copies(docs.select("doc_id", "text"))
+    groups = jaccard.near_copies(docs.select("doc_id", "text"), n=SHINGLE, percent=PERCENT)
     gone = written(groups.where("component_id <> doc_id").select("doc_id").distinct(), "stage-copies")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
