@@ -261,6 +261,18 @@ def test_decontamination(spark, docs):
     assert decontaminate.contaminated(empty(both), bench).count() == 0 and decontaminate.contaminated(both, empty(bench)).count() == 0
 
 
+def test_decontamination_of_many_items(spark):
+    """Every verbatim item is found, however many items there are for the basis."""
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{k}" for k in range(6000)])
+    items = [" ".join(rng.choice(words, 30)) for _ in range(800)]
+    rows = [(i, " ".join(rng.choice(words, 9)) + " " + t + " " + " ".join(rng.choice(words, 9))) for i, t in enumerate(items)]
+    rows += [(5000 + i, " ".join(rng.choice(words, 60))) for i in range(100)]
+    both = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = decontaminate.contaminated(both, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), rank=64)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(i, i) for i in range(len(items))}
+
+
 def test_lcs():
     rng = np.random.default_rng(3)
     for _ in range(20):
