@@ -273,6 +273,54 @@ def test_decontamination_of_many_items(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(i, i) for i in range(len(items))}
 
 
+def accepted(text, item):
+    """The rule alone: every passage with its surroundings against the item, nothing left out before the checks."""
+    def length(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    words, own = decontaminate.tokens(text), decontaminate.tokens(item)
+    last, n = set(decontaminate.tokens(item.split(". ")[-1])), len(own)
+    for start in range(0, max(len(words) - 48, 0) + 16, 16):
+        near = words[max(0, start - n) : start + 48 + n]
+        if n < 8:
+            share = float(any(near[j : j + n] == own for j in range(len(near))))
+        else:
+            share = length(own, near) / n
+            if share >= 0.5:
+                share = max(length(own, near[j : j + 2 * n]) for j in range(0, max(len(near) - n, 1), max(n // 2, 1))) / n
+        if share >= 0.8 or share >= 0.5 and len(last & set(near)) >= 0.6 * len(last):
+            return True
+    return False
+
+
+def test_decontamination_leaves_out_only_what_the_checks_refuse(spark):
+    rng = np.random.default_rng(8)
+    other = lambda n: [f"o{k}" for k in rng.integers(0, 3000, n)]
+    long = [f"a{k}" for k in range(40)]
+    short = [f"b{k}" for k in range(15)]
+    same = [f"c{k}" for k in range(10)] + ["again"] * 20
+    items = {1: " ".join(long[:20]) + ". " + " ".join(long[20:]), 2: " ".join(short[:6]) + ". " + " ".join(short[6:]), 3: " ".join(same[:10]) + ". " + " ".join(same[10:]),
+             4: "short but whole item", 5: "one", 6: " ".join(f"a{k}" for k in range(0, 60, 3)), 7: " ... "}
+    kept = [[*long[:3], *long[23:]], short[6:], same[10:26], ["Short", "but", "whole", "item"], ["short", "but", "item", "whole"], ["one"], short[:8], [*long[:2], *long[24:]]]
+    rows = [(i, " ".join([*other(70), *k, *other(70)])) for i, k in enumerate(kept)] + [(20, "short but whole, item!"), (21, ""), (22, None)]
+    for i in range(40):
+        own = decontaminate.tokens(items[1 + i % 3])
+        some = [x for x in own if rng.random() < 0.45 + 0.01 * i]
+        rows.append((100 + i, " ".join([*other(rng.integers(0, 60)), *[x.decode() for x in some], *other(rng.integers(0, 60))])))
+    both = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(both, bench).collect()}
+    want = {(i, k) for i, t in rows for k, item in items.items() if decontaminate.tokens(item) and accepted(t or "", item)}
+    assert {(0, 1), (1, 2), (2, 3), (3, 4), (5, 5), (20, 4)} <= want and (4, 4) not in want
+    assert found == want
+
+
 def test_lcs():
     rng = np.random.default_rng(3)
     for _ in range(20):
