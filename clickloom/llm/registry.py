@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clickloom.llm import centroids, chat, decontaminate, jaccard, langid, packing, paragraphs, suffixes, toxicity, vectors, warc
+from clickloom.llm import centroids, chat, decontaminate, jaccard, langid, packing, paragraphs, suffixes, topk, toxicity, vectors, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_suffix_array_dedup": suffixes.op8,
     "op9_warc": warc.op9,
     "op10_embedding_near_dedup": vectors.op10,
+    "op12_exact_top_k_search": topk.op12,
     "op13_centroid_clustering": centroids.op13,
 }
-ORACLE = {"op2_chat_format": chat.SQL, "op9_warc": warc.SQL, "op13_centroid_clustering": centroids.SQL}
+ORACLE = {"op2_chat_format": chat.SQL, "op9_warc": warc.SQL, "op12_exact_top_k_search": topk.SQL,
+          "op13_centroid_clustering": centroids.SQL}
