@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clickloom.llm import centroids, chat, decontaminate, jaccard, langid, packing, paragraphs, suffixes, topk, toxicity, vectors, warc
+from clickloom.llm import centroids, chat, decontaminate, jaccard, langid, packing, paragraphs, repair, suffixes, topk, toxicity, vectors, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_array_dedup": suffixes.op8,
     "op9_warc": warc.op9,
     "op10_embedding_near_dedup": vectors.op10,
+    "op11_conversation_structure_repair": repair.op11,
     "op12_exact_top_k_search": topk.op12,
     "op13_centroid_clustering": centroids.op13,
 }

@@ -182,7 +182,7 @@ def packs_of(points: DataFrame, keys: list[str], most: int) -> DataFrame:
         for b in frames:
             cols = [b.column(i).to_pylist() for i in range(len(keys) + 5)]
             for r in zip(*cols):
-                k, size_now = r[: len(keys)], len(r[-1])
+                k, size_now = r[: len(keys)], len(r[-1]) + 32  # the row's numbers count too
                 if held and (k != key or size + size_now > most):
                     yield pack()
                     held, size = [], 0
