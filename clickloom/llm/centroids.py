@@ -40,25 +40,27 @@ class Clustering:
 
 
 def integer_vectors(vectors: DataFrame, scale: int = SCALE, width: int = DIMENSIONS) -> DataFrame:
-    """(vec_id, q, small): floor(scale * x) of the vectors that take part."""
+    """(vec_id, q, norm): floor(scale * x) of the vectors that take part; their squared norm, null if a sum might leave a long."""
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select("vec_id", v.alias("v")).where(F.size("v") == width)
     rows = rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))))
     held = lambda x: F.floor(F.greatest(F.least(x * float(scale), F.lit(float(MOST))), F.lit(float(-MOST))))
     rows = rows.select("vec_id", F.transform("v", held).alias("q"))
     small = F.lit(width <= SAFE_WIDTH) & ~F.exists("q", lambda x: F.abs(x) > SAFE)
-    return rows.withColumn("small", small)
+    return rows.withColumn("norm", F.when(small, F.aggregate("q", F.lit(0).cast("bigint"), lambda total, x: total + x * x)))
 
 
 def distance(centroid: list[int]) -> Column:
     """Squared distance of q to a centroid, exact where a long holds it."""
     literal = F.array(*[F.lit(c) for c in centroid]).cast("array<bigint>")
-    squares = F.zip_with("q", literal, lambda x, c: (x - c) * (x - c))
     zero = F.lit(0).cast("bigint")
+    squares = F.zip_with("q", literal, lambda x, c: (x - c) * (x - c))
     careful = F.aggregate(squares, zero, lambda total, s: F.coalesce(F.try_add(total, s), F.lit(LONGEST)))
     if max(map(abs, centroid), default=0) > SAFE:
         return careful
-    return F.when(F.col("small"), F.aggregate(squares, zero, lambda total, s: total + s)).otherwise(careful)
+    inner = F.aggregate(F.zip_with("q", literal, lambda x, c: x * c), zero, lambda total, p: total + p)
+    own = F.lit(sum(c * c for c in centroid)).cast("bigint")
+    return F.when(F.col("norm").isNotNull(), F.col("norm") - 2 * inner + own).otherwise(careful)
 
 
 def nearest(centroids: list[list[int]]) -> Column:
