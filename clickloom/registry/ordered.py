@@ -12,7 +12,9 @@ from clickloom.plans.ordered import LastN, ordered_features
 from clickloom.registry.base import clicks, develop, query, r6, sql
 from clickloom.registry.groups import stacked
 from clickloom.schema import LABEL
+from clickloom.sources import store
 from clickloom.sources.scans import read_table
+from clickloom.streaming.history import History, read_arriving
 
 ORDER = "ORDER BY epoch_time, row_id"
 
@@ -335,3 +337,30 @@ FROM (SELECT row_id, coalesce(list(is_attributed) OVER (PARTITION BY ip ORDER BY
 def sequence_model_input(spark, sf):
     out = histories(clicks(spark, sf), values=[LABEL], width=6, deltas=False).withColumnRenamed(f"{LABEL}_history", "ip_attributed_history")
     return joined(out, ["ip_attributed_history"])
+
+
+STREAMED = History(("ip",))
+#: The log arrives in two parts, cut here (seconds), and the stream is started anew for the second one.
+ARRIVES = (15 * 86400,)
+
+
+def streamed(spark, sf):
+    """Features of all rows: those the watermark has passed, and those still waiting in state when the log ends."""
+    log = clicks(spark, sf).select("row_id", "ip", "epoch_time", LABEL)
+    folder, out, state = (store.scratch_path(spark, f"stream-{part}") for part in ("clicks", "features", "state"))
+    for low, high in zip((None, *ARRIVES), (*ARRIVES, None)):
+        part = log if low is None else log.where(F.col("epoch_time") >= low)
+        (part if high is None else part.where(F.col("epoch_time") < high)).write.mode("append").parquet(folder)
+        STREAMED.run(read_arriving(spark, folder, log.schema), out, state)
+    return STREAMED.final(spark, out).unionByName(STREAMED.waiting(spark, state))
+
+
+@query("stream_expanding", sql(f"""
+SELECT row_id, ip, round(coalesce({prior('avg', 'ip')}, -1), 6) AS ip_expmean, {prior('count', 'ip')} AS ip_expcount FROM clicks"""))
+def stream_expanding(spark, sf):
+    return streamed(spark, sf).select("row_id", "ip", r6(F.col("ip_expmean")).alias("ip_expmean"), "ip_expcount")
+
+
+@query("stream_gaps", sql(gap_sql("prev", {"ip": "ip"}, "clicks", "")))
+def stream_gaps(spark, sf):
+    return streamed(spark, sf).select("row_id", "ip_prev_click_1", "ip_prev_click_2")
