@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from clickloom.functions.numeric import clip_probability
 from clickloom.plans.ordered import Running, ordered_features
-from clickloom.plans.splits import split_points
 from clickloom.schema import LABEL
+from clickloom.sources.store import roundtrip
 
 
 def roc_auc(
@@ -18,16 +18,15 @@ def roc_auc(
 ) -> DataFrame:
     """Area under the ROC curve, ties counted half; null when a class is missing.
 
-    Rows are first counted per distinct score; running counts over the sorted scores
-    then give the negatives ranked below each positive.
+    Rows are first counted per distinct score and that small table is written; running counts over its sorted
+    scores then give the negatives ranked below each positive.
     """
     by = list(by)
     known = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(*by, label, score)
-    splits = split_points(known, by, [score], chunk_rows, distinct=True)
-    per_score = known.groupBy(*by, score).agg(
+    per_score = roundtrip(known.groupBy(*by, score).agg(
         F.sum(F.col(label).cast("bigint")).alias("_pos"), F.sum(1 - F.col(label).cast("bigint")).alias("_neg")
-    )
-    ranked = ordered_features(per_score, by, [score], [Running("_below", F.col("_neg"), "sum")], splits=splits)
+    ), "per-score")
+    ranked = ordered_features(per_score, by, [score], [Running("_below", F.col("_neg"), "sum")], chunk_rows)
     below = F.coalesce("_below", F.lit(0)) + F.col("_neg") / 2
     pos, neg = F.sum("_pos").cast("double"), F.sum("_neg").cast("double")
     return ranked.groupBy(*by).agg(F.try_divide(F.sum(F.col("_pos") * below), pos * neg).alias("auc"))

@@ -261,7 +261,7 @@ def features_table(spark, sf):
 
 BASE = ["ip", "app", "device", "os", "channel", "hourofday"]
 EXTRA = ["ip_count", "app_count", "ip_prev_click_1"]
-SMALL = L.BoostParams(trees=4, depth=3, pos_weight=4.0, bins=32)
+SMALL = L.BoostParams(trees=12, depth=4, pos_weight=4.0, bins=32, patience=6)
 
 
 @query("model_fit_score")
@@ -283,8 +283,9 @@ def model_forward_selection(spark, sf):
 @query("model_param_sweep")
 def model_param_sweep(spark, sf):
     sets = {
-        "shallow": L.BoostParams(trees=3, depth=2, pos_weight=4.0, min_rows=10),
-        "deep": L.BoostParams(trees=3, depth=4, pos_weight=2.0, row_share=0.8, feature_share="0.8"),
+        "shallow": L.BoostParams(trees=16, depth=2, pos_weight=4.0, min_rows=10, patience=6),
+        "middle": L.BoostParams(trees=12, depth=3, step=0.2, pos_weight=4.0, patience=6),
+        "deep": L.BoostParams(trees=8, depth=4, pos_weight=2.0, row_share=0.8, feature_share="0.8", patience=6),
     }
     return L.param_sweep(*features_table(spark, sf), [*BASE, *EXTRA], sets)
 
