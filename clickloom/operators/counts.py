@@ -11,6 +11,7 @@ from clickloom.functions.columns import ratio
 from clickloom.plans.joins import attach, attach_all
 from clickloom.plans.splits import is_null_key
 from clickloom.schema import COUNT_KEYS, TIME, as_list, feature_name
+from clickloom.sources.store import roundtrip
 
 
 def union_logs(dfs: Sequence[DataFrame], cols: Sequence[str]) -> DataFrame:
@@ -27,9 +28,34 @@ def count_map(dfs: Sequence[DataFrame], cols, name: str | None = None) -> DataFr
     return rows.groupBy(*cols).agg(F.count(F.lit(1)).alias(name or feature_name(cols, "cnt")))
 
 
+def grouped_counts(dfs: Sequence[DataFrame], key_sets: Sequence[Sequence[str]]) -> DataFrame:
+    """Rows per tuple of every key set, told apart by `_set`: one scan, one expansion, one aggregate and one exchange."""
+    cols = list(dict.fromkeys(c for keys in key_sets for c in keys))
+    sets = list(dict.fromkeys(tuple(c for c in cols if c in keys) for keys in key_sets))
+    counted = union_logs(dfs, cols).groupingSets(sets, *cols).agg(F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("_rows"))
+    return counted.select("_set", *cols, "_rows")
+
+
+def set_id(cols: Sequence[str], keys: Sequence[str]) -> int:
+    """What `grouping_id` says of a key set among `cols`: a bit per column, set where the column is not a key."""
+    return sum((c not in keys) << i for i, c in enumerate(reversed(cols)))
+
+
 def count_maps(dfs: Sequence[DataFrame], key_sets: Sequence[Sequence[str]] = COUNT_KEYS) -> list[tuple[list[str], DataFrame]]:
-    """(keys, count map) per key set."""
-    return [(as_list(cols), count_map(dfs, cols)) for cols in key_sets]
+    """(keys, count map) per key set, from one pass over the logs.
+
+    The maps are written by key set, so that each is read alone, and a join sees its size.
+    """
+    key_sets = [as_list(cols) for cols in key_sets]
+    counted = grouped_counts(dfs, key_sets)
+    cols = counted.columns[1:-1]
+    stored = roundtrip(counted, "count-maps", partition_by="_set")
+
+    def one(keys: list[str]) -> DataFrame:
+        rows = stored.where((F.col("_set") == set_id(cols, keys)) & ~is_null_key(keys))
+        return rows.select(*keys, F.col("_rows").alias(feature_name(keys, "cnt")))
+
+    return [(keys, one(keys)) for keys in key_sets]
 
 
 def add_count_maps(
@@ -39,11 +65,36 @@ def add_count_maps(
     return attach_all(df, count_maps(fit_on, key_sets), chunk_rows)
 
 
+def add_counts_in_place(
+    log: DataFrame, by: str, determines: Sequence[str], key_sets: Sequence[Sequence[str]] = COUNT_KEYS, chunk_rows: int | None = None
+) -> DataFrame:
+    """`add_count_maps` of a log over itself, for a log stored in buckets by `by`.
+
+    A key set that holds `by`, or a column whose value determines that of `by` (such as a code of a tuple with
+    it), is grouped and joined with `by` in front: equal keys are in one bucket, so neither the log nor the map
+    moves. The other key sets are counted in one pass, as `add_count_maps` does.
+    """
+    local = [as_list(keys) for keys in key_sets if {by, *determines} & set(as_list(keys))]
+    rest = [as_list(keys) for keys in key_sets if as_list(keys) not in local]
+    made = [feature_name(keys, "cnt") for keys in key_sets]
+    log = log.drop(*made)
+    out = log
+    # Longer key sets last: the sort of one join is the beginning of the next one's.
+    for keys in sorted(local):
+        ahead, name = [by, *[k for k in keys if k != by]], feature_name(keys, "cnt")
+        out = out.join(count_map([log], ahead, name), ahead, "left").select(*out.columns, name)
+    if rest:
+        out = attach_all(out, count_maps([log], rest), chunk_rows)
+    return out.select(*log.columns, *made)
+
+
 def add_named_counts(
     df: DataFrame, fit_on: Sequence[DataFrame], key_sets: Mapping[str, Sequence[str]], chunk_rows: int | None = None
 ) -> DataFrame:
     """Attach row counts under given names."""
-    return attach_all(df, [(cols, count_map(fit_on, cols, name)) for name, cols in key_sets.items()], chunk_rows)
+    maps = count_maps(fit_on, list(key_sets.values()))
+    named = [(keys, m.withColumnRenamed(feature_name(keys, "cnt"), name)) for name, (keys, m) in zip(key_sets, maps)]
+    return attach_all(df, named, chunk_rows)
 
 
 def time_pair_counts(dfs: Sequence[DataFrame], cols, time: str = TIME) -> DataFrame:

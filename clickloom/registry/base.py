@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.operators.keys import encode_all
+from clickloom.plans.joins import KeySample
+from clickloom.plans.splits import shuffle_partitions
 from clickloom.schema import DICTIONARY_KEYS, VALID_HOURS_SHORT
 from clickloom.session import tune
 from clickloom.sources.scans import load_clicks
-from clickloom.sources.store import roundtrip
+from clickloom.sources.store import cache_path, is_written, load_bucketed, load_table, save_bucketed, save_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,6 +22,8 @@ ORACLE: dict[str, str] = {}
 # First second of the scoring period: 20 days after the origin.
 SUPPLEMENT_FROM = 20 * 86400
 HOUR = 3600
+#: Part of the name of the stored base table; raise it when its columns change.
+BASE_VERSION = 2
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -94,7 +98,26 @@ def contest(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFra
     return log.where(F.col("epoch_time") < SUPPLEMENT_FROM), supp, supp.where(F.col("hourofday").isin(VALID_HOURS_SHORT))
 
 
+#: Codes of tuples that begin with ip, by which the base table is stored in buckets.
+BUCKETED_BY, DETERMINE_IT = "ip", ["_".join(keys) for keys in DICTIONARY_KEYS]
+
+
 def coded(spark: SparkSession, sf: str) -> DataFrame:
-    """The base table with composite codes, written once per job as the feature steps read it many times."""
-    log = clicks(spark, sf)
-    return roundtrip(encode_all(log, [log], DICTIONARY_KEYS), "base")
+    """The base table with composite codes, computed once per state of the events and loaded from then on.
+
+    It is stored in buckets by ip, unless one ip has so many rows that its bucket would be a task too long.
+    """
+    buckets = shuffle_partitions(spark)
+    params = {"keys": DICTIONARY_KEYS, "by": BUCKETED_BY, "buckets": buckets, "version": BASE_VERSION}
+    path = cache_path(spark, "base", params, [f"{sf}/events.parquet"])
+    plain = f"{path}-plain"
+    if is_written(spark, plain):
+        return load_table(spark, plain)
+    if not is_written(spark, path):
+        log = clicks(spark, sf)
+        base = encode_all(log, [log], DICTIONARY_KEYS)
+        if KeySample(log, [BUCKETED_BY]).hot([BUCKETED_BY]):
+            save_table(base, plain)
+            return load_table(spark, plain)
+        save_bucketed(base, path, BUCKETED_BY, buckets)
+    return load_bucketed(spark, path, BUCKETED_BY, buckets)

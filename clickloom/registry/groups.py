@@ -12,7 +12,7 @@ from clickloom.operators import profile as P
 from clickloom.operators.splits import kfold
 from clickloom.operators.timefeat import from_supplement, time_table
 from clickloom.operators.windows import last_next_union
-from clickloom.registry.base import clicks, coded, contest, develop, query, r6, sql
+from clickloom.registry.base import BUCKETED_BY, DETERMINE_IT, clicks, coded, contest, develop, query, r6, sql
 from clickloom.schema import COUNT_KEYS, DICTIONARY_KEYS, DISTINCT_PAIRS, LABEL, LABEL_COUNT_KEYS, MEAN_KEYS, PULSE_KEYS, feature_name
 from clickloom.sources.scans import read_table
 
@@ -59,8 +59,8 @@ COUNT_SQL = ", ".join(f"count(*) OVER (PARTITION BY {', '.join(k)}) AS {feature_
 
 @query("join_count_map", sql(f"SELECT row_id, {COUNT_SQL} FROM coded"))
 def join_count_map(spark, sf):
-    log = coded(spark, sf)
-    return N.add_count_maps(log, [log]).select("row_id", *[feature_name(k, "cnt") for k in COUNT_KEYS])
+    out = N.add_counts_in_place(coded(spark, sf), BUCKETED_BY, DETERMINE_IT)
+    return out.select("row_id", *[feature_name(k, "cnt") for k in COUNT_KEYS])
 
 
 @query("join_count_map_salted", sql("""
@@ -123,7 +123,8 @@ COUNT_KEYS_SQL = "\nUNION ALL ".join(
 @query("agg_count_keys", sql(COUNT_KEYS_SQL))
 def agg_count_keys(spark, sf):
     log = coded(spark, sf)
-    maps = {feature_name(k, "cnt"): N.count_map([log], k, "n").select(F.concat_ws("|", *k).alias("key"), "n") for k in COUNT_KEYS}
+    names = [(feature_name(k, "cnt"), k) for k in COUNT_KEYS]
+    maps = {name: m.select(F.concat_ws("|", *k).alias("key"), F.col(name).alias("n")) for (name, k), (_, m) in zip(names, N.count_maps([log]))}
     return stack(maps).select("part", "key", "n")
 
 

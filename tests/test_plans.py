@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickloom.operators import windows as W
-from clickloom.operators.counts import add_count_maps
-from clickloom.operators.keys import key_dictionary
+from clickloom.operators.counts import add_count_maps, add_counts_in_place, count_map, count_maps, grouped_counts
+from clickloom.operators.keys import encode_all, encode_keys, key_dictionary
 from clickloom.operators.metrics import roc_auc
-from clickloom.registry.base import clicks
+from clickloom.registry.base import BUCKETED_BY, DETERMINE_IT, clicks, coded
+from clickloom.schema import COUNT_KEYS
 from clickloom.sources import store
 from clickloom.sources.scans import read_table
 from clickloom.streaming.chunked import chunked_count_map, read_chunks
@@ -95,3 +96,69 @@ def test_cache_path_depends_on_parameters(spark):
     base = store.cache_path(spark, "op", {"seed": 1}, ["x"])
     assert base == store.cache_path(spark, "op", {"seed": 1}, ["x"])
     assert len({base, store.cache_path(spark, "op", {"seed": 2}, ["x"]), store.cache_path(spark, "op", {"seed": 1}, ["y"])}) == 3
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"]
+    before = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, ("-1", "false")):
+        spark.conf.set(n, v)
+    yield
+    for n, v in zip(names, before):
+        spark.conf.set(n, v)
+
+
+def test_all_count_maps_come_from_one_scan(spark, sf):
+    log = coded(spark, sf)
+    text = plan(grouped_counts([log], COUNT_KEYS))
+    assert text.count("FileScan") == 1 and text.count("Expand") == 1 and text.count("Exchange hashpartitioning") == 1
+    for keys, got in count_maps([log]):
+        want = count_map([log], keys)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_count_maps_of_nulls_repeats_and_nothing(spark):
+    log = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (None, 2, "y"), (1, 2, None)], "a int, b int, c string")
+    sets = [["a"], ["b", "a"], ["a", "b"], ["c", "b"], ["a"]]
+    for keys, got in count_maps([log, log], sets):
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, count_map([log, log], keys).collect()), key=str)
+    assert all(m.count() == 0 for _, m in count_maps([log.where("false")], sets))
+
+
+def test_counts_in_buckets_move_nothing(spark, sf, no_broadcast):
+    log = coded(spark, sf)
+    local = [k for k in COUNT_KEYS if "ip" in k or any(c.startswith("ip_") for c in k)]
+    assert len(local) == 7
+    out = add_counts_in_place(log, BUCKETED_BY, DETERMINE_IT, local)
+    assert "Exchange" not in plan(out)
+    want = add_count_maps(log, [log], local)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.select(*out.columns).collect()))
+
+
+def test_bucketed_table_of_another_session(spark, sf):
+    log = clicks(spark, sf).select("row_id", "ip", "app")
+    path = store.scratch_path(spark, "test-buckets")
+    store.save_bucketed(log, path, "ip", 4)
+    spark.sql(f"DROP TABLE {store._bucket_table(path)}")
+    back = store.load_bucketed(spark, path, "ip", 4)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, log.collect()))
+    assert "Exchange" not in plan(back.groupBy("ip", "app").count())
+
+
+@pytest.mark.parametrize("cut", [None, 2])
+def test_nested_dictionaries_equal_single_ones(spark, cut):
+    rows = [(i, i % 4 if i % 9 else None, i % 3, "abc"[i % 2] if i % 5 else None, None if i % 7 == 0 else i % 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "row_id int, p int, q int, r string, s int")
+    sets = [["p", "q"], ["p", "q", "r"], ["p", "q", "r", "s"]]
+    got = {tuple(r) for r in encode_all(df, [df], sets, cut).select("row_id", "p_q", "p_q_r", "p_q_r_s").collect()}
+    want = df
+    for keys in sets:
+        want = encode_keys(want, key_dictionary([df], keys, chunk_rows=cut), keys)
+    assert got == {tuple(r) for r in want.select("row_id", "p_q", "p_q_r", "p_q_r_s").collect()}
+    # Fitted on other rows: beginnings that are known have a code, whatever follows.
+    half = encode_all(df, [df.where("row_id < 9")], sets, cut)
+    for keys in sets:
+        one = encode_keys(df, key_dictionary([df.where("row_id < 9")], keys, chunk_rows=cut), keys)
+        assert {tuple(r) for r in half.select("row_id", "_".join(keys)).collect()} == {tuple(r) for r in one.select("row_id", "_".join(keys)).collect()}
+    assert encode_all(df.where("false"), [df.where("false")], sets, cut).count() == 0
