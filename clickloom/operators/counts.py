@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.columns import ratio
@@ -28,12 +28,15 @@ def count_map(dfs: Sequence[DataFrame], cols, name: str | None = None) -> DataFr
     return rows.groupBy(*cols).agg(F.count(F.lit(1)).alias(name or feature_name(cols, "cnt")))
 
 
-def grouped_counts(dfs: Sequence[DataFrame], key_sets: Sequence[Sequence[str]]) -> DataFrame:
-    """Rows per tuple of every key set, told apart by `_set`: one scan, one expansion, one aggregate and one exchange."""
+def grouped(dfs: Sequence[DataFrame], key_sets: Sequence[Sequence[str]], aggs: Sequence[Column], more: Sequence[str] = ()) -> DataFrame:
+    """`aggs` per tuple of every key set, told apart by `_set`: one scan, one expansion, one aggregate and one exchange.
+
+    `more` names the columns that the aggregates read.
+    """
     cols = list(dict.fromkeys(c for keys in key_sets for c in keys))
     sets = list(dict.fromkeys(tuple(c for c in cols if c in keys) for keys in key_sets))
-    counted = union_logs(dfs, cols).groupingSets(sets, *cols).agg(F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("_rows"))
-    return counted.select("_set", *cols, "_rows")
+    rows = union_logs(dfs, list(dict.fromkeys([*cols, *more])))
+    return rows.groupingSets(sets, *cols).agg(F.grouping_id().alias("_set"), *aggs)
 
 
 def set_id(cols: Sequence[str], keys: Sequence[str]) -> int:
@@ -41,21 +44,23 @@ def set_id(cols: Sequence[str], keys: Sequence[str]) -> int:
     return sum((c not in keys) << i for i, c in enumerate(reversed(cols)))
 
 
-def count_maps(dfs: Sequence[DataFrame], key_sets: Sequence[Sequence[str]] = COUNT_KEYS) -> list[tuple[list[str], DataFrame]]:
-    """(keys, count map) per key set, from one pass over the logs.
+class GroupedMaps:
+    """`grouped` written by key set, so that each map is read alone and a join sees its size."""
 
-    The maps are written by key set, so that each is read alone, and a join sees its size.
-    """
-    key_sets = [as_list(cols) for cols in key_sets]
-    counted = grouped_counts(dfs, key_sets)
-    cols = counted.columns[1:-1]
-    stored = roundtrip(counted, "count-maps", partition_by="_set")
+    def __init__(self, dfs: Sequence[DataFrame], key_sets: Sequence[Sequence[str]], aggs: Sequence[Column], more: Sequence[str] = ()):
+        self.cols = list(dict.fromkeys(c for keys in key_sets for c in keys))
+        self.stored = roundtrip(grouped(dfs, key_sets, aggs, more), "grouped-maps", partition_by="_set")
+
+    def of(self, keys: Sequence[str]) -> DataFrame:
+        """The rows of one key set, without null keys."""
+        return self.stored.where((F.col("_set") == set_id(self.cols, keys)) & ~is_null_key(keys))
 
-    def one(keys: list[str]) -> DataFrame:
-        rows = stored.where((F.col("_set") == set_id(cols, keys)) & ~is_null_key(keys))
-        return rows.select(*keys, F.col("_rows").alias(feature_name(keys, "cnt")))
 
-    return [(keys, one(keys)) for keys in key_sets]
+def count_maps(dfs: Sequence[DataFrame], key_sets: Sequence[Sequence[str]] = COUNT_KEYS) -> list[tuple[list[str], DataFrame]]:
+    """(keys, count map) per key set, from one pass over the logs."""
+    key_sets = [as_list(cols) for cols in key_sets]
+    maps = GroupedMaps(dfs, key_sets, [F.count(F.lit(1)).alias("_rows")])
+    return [(keys, maps.of(keys).select(*keys, F.col("_rows").alias(feature_name(keys, "cnt")))) for keys in key_sets]
 
 
 def add_count_maps(

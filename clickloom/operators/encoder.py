@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clickloom.operators.counts import GroupedMaps
 from clickloom.operators.splits import kfold
 from clickloom.plans.joins import attach, attach_all
 from clickloom.plans.quantiles import grouped_quantiles
@@ -173,8 +174,10 @@ def count_features(
     tr: DataFrame, val: DataFrame, key_sets: KeySets, target: str, supp: DataFrame | None = None, chunk_rows: int | None = None
 ) -> list[DataFrame]:
     """Non-null targets per key, fitted on both tables, or on `tr` and the supplement when one is given."""
-    encoders = [GroupEncoder(cols, target, "count", feature_name(cols, "count")) for cols in key_sets]
-    return add_encodings([tr, val if supp is None else supp], [tr, val], encoders, chunk_rows=chunk_rows)
+    sets = [as_list(cols) for cols in key_sets]
+    maps = GroupedMaps([tr, val if supp is None else supp], sets, [F.count(target).alias("_n")], [target])
+    tables = [(keys, maps.of(keys).select(*keys, F.col("_n").alias(feature_name(keys, "count")))) for keys in sets]
+    return [attach_all(df, tables, chunk_rows) for df in (tr, val)]
 
 
 def distinct_features(
@@ -184,10 +187,18 @@ def distinct_features(
     approximate: bool = False,
     chunk_rows: int | None = None,
 ) -> list[DataFrame]:
-    """Distinct targets per key over both tables, for (keys, target) pairs; 0 where the key is null."""
-    func = "approx_nunique" if approximate else "nunique"
-    encoders = [GroupEncoder(cols, target, func, feature_name(cols, "unq", target)) for cols, target in pairs]
-    return add_encodings([tr, val], [tr, val], encoders, 0, chunk_rows)
+    """Distinct targets per key over both tables, for (keys, target) pairs; 0 where the key is null.
+
+    The exact counts come from the distinct (keys, target) tuples of all pairs, found in one pass and combined before
+    the shuffle. A tuple is a few bytes; a bitmap per key would be 4 KB, also for the many keys with few targets.
+    """
+    if approximate:
+        encoders = [GroupEncoder(cols, target, "approx_nunique", feature_name(cols, "unq", target)) for cols, target in pairs]
+        return add_encodings([tr, val], [tr, val], encoders, 0, chunk_rows)
+    pairs = [(as_list(cols), target, feature_name(cols, "unq", target)) for cols, target in pairs]
+    maps = GroupedMaps([tr, val], [[*cols, target] for cols, target, _ in pairs], [F.count(F.lit(1)).alias("_n")])
+    tables = [(cols, maps.of([*cols, target]).groupBy(*cols).agg(F.count(F.lit(1)).alias(name))) for cols, target, name in pairs]
+    return [attach_all(df, tables, chunk_rows).fillna({name: 0 for *_, name in pairs}) for df in (tr, val)]
 
 
 def std_features(
@@ -205,13 +216,9 @@ def mean_features(
     return add_encodings([tr], [tr, val], encoders, chunk_rows=chunk_rows)
 
 
-def _fold_means(tr: DataFrame, cols: list[str], target: str, min_count: int) -> tuple[DataFrame, DataFrame]:
+def _fold_means(per_fold: DataFrame, cols: list[str], min_count: int) -> tuple[DataFrame, DataFrame]:
     """(mean over the other folds per key and fold, mean over all folds per key)."""
     name = feature_name(cols, "mean")
-    per_fold = (
-        tr.where(~is_null_key(cols)).groupBy(*cols, "_fold")
-        .agg(F.sum(target).alias("_s"), F.count(target).alias("_n"), F.count(F.lit(1)).alias("_rows"))
-    )
     # At most k rows per key meet in a window of this small table.
     key = Window.partitionBy(*cols)
     rest = lambda c: F.sum(c).over(key) - F.coalesce(F.col(c), F.lit(0))
@@ -239,7 +246,9 @@ def out_of_fold_means(
     """
     tr = tr.withColumn("_fold", kfold(k, seed) if fold is None else fold)
     sets = [as_list(c) for c in key_sets]
-    tables = [_fold_means(tr, cols, target, min_count) for cols in sets]
+    sums = [F.sum(target).alias("_s"), F.count(target).alias("_n"), F.count(F.lit(1)).alias("_rows")]
+    maps = GroupedMaps([tr], [[*cols, "_fold"] for cols in sets], sums, [target])
+    tables = [_fold_means(maps.of([*cols, "_fold"]), cols, min_count) for cols in sets]
     tr_out = attach_all(tr, [([*cols, "_fold"], folds) for cols, (folds, _) in zip(sets, tables)], chunk_rows)
     val_out = attach_all(val, [(cols, totals) for cols, (_, totals) in zip(sets, tables)], chunk_rows)
     return [tr_out.drop("_fold"), val_out]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickloom.operators import windows as W
-from clickloom.operators.counts import add_count_maps, add_counts_in_place, count_map, count_maps, grouped_counts
+from clickloom.operators.counts import add_count_maps, add_counts_in_place, count_map, count_maps, grouped
 from clickloom.operators.keys import encode_all, encode_keys, key_dictionary
 from clickloom.operators.metrics import roc_auc
 from clickloom.registry.base import BUCKETED_BY, DETERMINE_IT, clicks, coded
@@ -111,7 +111,7 @@ def no_broadcast(spark):
 
 def test_all_count_maps_come_from_one_scan(spark, sf):
     log = coded(spark, sf)
-    text = plan(grouped_counts([log], COUNT_KEYS))
+    text = plan(grouped([log], COUNT_KEYS, [F.count(F.lit(1))]))
     assert text.count("FileScan") == 1 and text.count("Expand") == 1 and text.count("Exchange hashpartitioning") == 1
     for keys, got in count_maps([log]):
         want = count_map([log], keys)
