@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,13 @@ def epoch_seconds(ts: Column, origin: dt.datetime = CONTEST_ORIGIN) -> Column:
     return days.cast("bigint") * 86400 + second - origin_second
 
 
+def epoch_between(ts: Column, low: int | None = None, high: int | None = None, origin: dt.datetime = CONTEST_ORIGIN) -> Column:
+    """True where the whole seconds since `origin` are in [low, high]: a range of the time itself, which scans take as a filter."""
+    at = lambda s: F.lit((origin + dt.timedelta(seconds=s)).isoformat(sep=" ")).cast("timestamp_ntz")
+    bounds = ([ts >= at(low)] if low is not None else []) + ([ts < at(high + 1)] if high is not None else [])
+    return reduce(lambda a, b: a & b, bounds, F.lit(True))
+
+
 def with_calendar(df: DataFrame, ts: str = "click_time") -> DataFrame:
     return df.withColumns({"dayofweek": day_of_week(F.col(ts)), "hourofday": hour_of_day(F.col(ts))})
 

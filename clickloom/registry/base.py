@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickloom.functions.calendar import epoch_between
 from clickloom.operators.keys import encode_all
 from clickloom.plans.joins import KeySample
 from clickloom.plans.splits import shuffle_partitions
 from clickloom.schema import DICTIONARY_KEYS, VALID_HOURS_SHORT
 from clickloom.session import tune
-from clickloom.sources.scans import load_clicks
+from clickloom.sources.scans import EVENTS_ORIGIN, load_clicks
 from clickloom.sources.store import cache_path, is_written, load_bucketed, load_table, save_bucketed, save_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +82,14 @@ def r6(c: Column) -> Column:
     return F.round(c, 6)
 
 
+def stack(parts: dict[str, DataFrame]) -> DataFrame:
+    out = None
+    for name, df in parts.items():
+        tagged = df.withColumn("part", F.lit(name))
+        out = tagged if out is None else out.unionByName(tagged)
+    return out
+
+
 def clicks(spark: SparkSession, sf: str) -> DataFrame:
     return load_clicks(tune(spark), sf).withColumn("epoch_hour", F.floor(F.col("epoch_time") / HOUR))
 
@@ -93,9 +102,9 @@ def develop(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def contest(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(train, supplement, test): the scoring period is the supplement, some of its hours the test."""
-    log = clicks(spark, sf)
-    supp = log.where(F.col("epoch_time") >= SUPPLEMENT_FROM)
-    return log.where(F.col("epoch_time") < SUPPLEMENT_FROM), supp, supp.where(F.col("hourofday").isin(VALID_HOURS_SHORT))
+    log, at = clicks(spark, sf), F.col("click_time")
+    supp = log.where(epoch_between(at, SUPPLEMENT_FROM, None, EVENTS_ORIGIN))
+    return log.where(epoch_between(at, None, SUPPLEMENT_FROM - 1, EVENTS_ORIGIN)), supp, supp.where(F.col("hourofday").isin(VALID_HOURS_SHORT))
 
 
 #: Codes of tuples that begin with ip, by which the base table is stored in buckets.

@@ -12,19 +12,11 @@ from clickloom.operators import profile as P
 from clickloom.operators.splits import kfold
 from clickloom.operators.timefeat import from_supplement, time_table
 from clickloom.operators.windows import last_next_union
-from clickloom.registry.base import BUCKETED_BY, DETERMINE_IT, clicks, coded, contest, develop, query, r6, sql
+from clickloom.registry.base import BUCKETED_BY, DETERMINE_IT, clicks, coded, contest, develop, query, r6, sql, stack
 from clickloom.schema import COUNT_KEYS, DICTIONARY_KEYS, DISTINCT_PAIRS, LABEL, LABEL_COUNT_KEYS, MEAN_KEYS, PULSE_KEYS, feature_name
 from clickloom.sources.scans import read_table
 
 
-def stack(parts: dict[str, DataFrame]) -> DataFrame:
-    out = None
-    for name, df in parts.items():
-        tagged = df.withColumn("part", F.lit(name))
-        out = tagged if out is None else out.unionByName(tagged)
-    return out
-
-
 def stacked(dfs, cols) -> DataFrame:
     return stack({name: df.select("row_id", *cols) for name, df in zip(("tr", "val"), dfs)})
 

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickloom.functions import columns as C
+from clickloom.functions.calendar import epoch_between
 from clickloom.operators import splits as S
 from clickloom.operators.keys import key_dictionary
 from clickloom.operators.sequences import histories
-from clickloom.registry.base import clicks, contest, develop, query, r6, sql
+from clickloom.registry.base import clicks, contest, develop, query, r6, sql, stack
 from clickloom.schema import CLICK_SCHEMA, LABEL, RAW_FIELDS, feature_name
 from clickloom.sources import inspect, scans, sinks, store
-from clickloom.sources.scans import read_table
+from clickloom.sources.scans import EVENTS_ORIGIN, read_table
 from clickloom.streaming.chunked import chunked_count_map, read_chunks
 
 RAW = [f.name for f in RAW_FIELDS]
@@ -33,9 +34,12 @@ def scan_typed_csv(spark, sf):
     return read.select(*RAW[:-1], second_text("click_time"), LABEL)
 
 
-@query("scan_pruned", "SELECT event_id, user_id FROM events")
+@query("scan_pruned", sql("\nUNION ALL ".join(f"SELECT '{part}' AS part, row_id, ip FROM {part}" for part in ("train", "supp", "test"))))
 def scan_pruned(spark, sf):
-    return scans.read_pruned(spark, {"train": f"{sf}/events.parquet"}, ["event_id", "user_id"])["train"]
+    paths = {part: store.scratch_path(spark, f"pruned-{part}") for part in ("train", "supp", "test")}
+    for df, path in zip(contest(spark, sf), paths.values()):
+        store.save_table(df, path)
+    return stack(scans.read_pruned(spark, paths, ["row_id", "ip"])).select("part", "row_id", "ip")
 
 
 @query("scan_chunked_partial_agg", "SELECT user_id, event_type, count(*) AS user_id_event_type_cnt FROM events GROUP BY ALL")
@@ -204,8 +208,9 @@ def filter_point_lookup(spark, sf):
 @query("filter_time_range", sql("""
 SELECT row_id, epoch_time, epoch_time <= 349200 AS early FROM clicks WHERE epoch_time BETWEEN 309600 AND 349200 OR epoch_time >= 2000000"""))
 def filter_time_range(spark, sf):
-    t = F.col("epoch_time")
-    return clicks(spark, sf).where(t.between(309600, 349200) | (t >= 2000000)).select("row_id", "epoch_time", (t <= 349200).alias("early"))
+    at, t = F.col("click_time"), F.col("epoch_time")
+    wanted = epoch_between(at, 309600, 349200, EVENTS_ORIGIN) | epoch_between(at, 2000000, None, EVENTS_ORIGIN)
+    return clicks(spark, sf).where(wanted).select("row_id", "epoch_time", (t <= 349200).alias("early"))
 
 
 @query("missing_indicator", """

@@ -5,13 +5,13 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickloom.functions.calendar import time_details, with_calendar
 from clickloom.operators.splits import tag_split
-from clickloom.plans.ordered import Position, ordered_features
+from clickloom.plans.splits import CHUNK, split_points
 from clickloom.schema import CLICK_SCHEMA, LABEL, ROW_ID
 
 EVENTS_ORIGIN = dt.datetime(2024, 1, 1)
@@ -39,12 +39,36 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def skip_limit(
     df: DataFrame, skip: int, limit: int | None = None, order: Sequence[str] = (ROW_ID,), chunk_rows: int | None = None
 ) -> DataFrame:
-    """Rows after the first `skip`, at most `limit` of them, in `order`. No task sees more than one piece of the order."""
-    placed = ordered_features(df, [], order, [Position("_position")], chunk_rows)
-    keep = F.col("_position") >= skip
-    if limit is not None:
-        keep = keep & (F.col("_position") < skip + limit)
-    return placed.where(keep).drop("_position")
+    """Rows after the first `skip`, at most `limit` of them, in `order`.
+
+    Rows are counted per piece of the order; only pieces that overlap the slice are then read, by a range of the
+    first order column, and sorted. No task sees more than one piece.
+    """
+    order = list(order)
+    splits = split_points(df, [], order, chunk_rows)
+    pieces = splits.assign(df) if splits.columns else df.withColumn(CHUNK, F.lit(0))
+    end, kept, before = None if limit is None else skip + limit, {}, 0
+    for r in sorted(pieces.groupBy(CHUNK).count().collect(), key=lambda r: r[CHUNK]):  # one row per piece
+        if before + r["count"] > skip and (end is None or before < end):
+            kept[r[CHUNK]] = before
+        before += r["count"]
+    if not kept:
+        return df.where(F.lit(False))
+    if splits.columns:
+        cuts, low, high = splits.table.first()["__cuts"], min(kept), max(kept)
+        first = F.col(order[0])
+        near = df
+        if low > 0 and cuts[low - 1][0] is not None:
+            near = near.where(first >= cuts[low - 1][0])
+        if high < len(cuts) and cuts[high][0] is not None:
+            near = near.where(first.isNull() | (first <= cuts[high][0]) if low == 0 else first <= cuts[high][0])
+        pieces = splits.assign(near).where(F.col(CHUNK).isin(*kept))
+    starts = F.create_map(*[F.lit(x) for pair in kept.items() for x in pair])
+    place = F.row_number().over(Window.partitionBy(CHUNK).orderBy(*order)) - 1 + F.element_at(starts, F.col(CHUNK))
+    wanted = F.col("_position") >= skip
+    if end is not None:
+        wanted = wanted & (F.col("_position") < end)
+    return pieces.withColumn("_position", place).where(wanted).select(*df.columns)
 
 
 def clicks_from_events(events: DataFrame, origin: dt.datetime = EVENTS_ORIGIN) -> DataFrame:

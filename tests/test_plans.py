@@ -14,7 +14,8 @@ from clickloom.operators.metrics import roc_auc
 from clickloom.registry.base import BUCKETED_BY, DETERMINE_IT, clicks, coded
 from clickloom.schema import COUNT_KEYS
 from clickloom.sources import store
-from clickloom.sources.scans import read_table
+from clickloom.functions.calendar import epoch_between
+from clickloom.sources.scans import EVENTS_ORIGIN, read_table, skip_limit
 from clickloom.streaming.chunked import chunked_count_map, read_chunks
 
 def plan(df) -> str:
@@ -162,3 +163,37 @@ def test_nested_dictionaries_equal_single_ones(spark, cut):
         one = encode_keys(df, key_dictionary([df.where("row_id < 9")], keys, chunk_rows=cut), keys)
         assert {tuple(r) for r in half.select("row_id", "_".join(keys)).collect()} == {tuple(r) for r in one.select("row_id", "_".join(keys)).collect()}
     assert encode_all(df.where("false"), [df.where("false")], sets, cut).count() == 0
+
+
+@pytest.mark.parametrize("skip, limit", [(0, 5), (300, 40), (995, 100), (0, None), (990, None), (2000, 3), (999, 1)])
+@pytest.mark.parametrize("cut", [None, 64])
+def test_slice_equals_limit_offset(spark, skip, limit, cut):
+    rows = [(i * 7 % 1000, i % 3, None if i % 50 == 0 else i % 40) for i in range(1000)]
+    df = spark.createDataFrame(rows, "row_id long, app int, x int").repartition(4)
+    for order in (["row_id"], ["x", "row_id"]):
+        want = sorted(rows, key=lambda r: r[0]) if order == ["row_id"] else sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+        got = sorted(map(tuple, skip_limit(df, skip, limit, order, cut).collect()), key=str)
+        assert got == sorted(want[skip : None if limit is None else skip + limit], key=str)
+
+
+def test_slice_reads_and_sorts_only_its_pieces(spark, sf):
+    path = store.scratch_path(spark, "test-slice")
+    clicks(spark, sf).select("row_id", "ip").write.parquet(path)
+    out = skip_limit(spark.read.parquet(path), 300, 40, chunk_rows=50)
+    text = plan(out)
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(row_id,\d+\)[^\]]*LessThanOrEqual\(row_id,\d+\)", text)
+    low, high = (int(re.search(rf"{name}\(row_id,(\d+)\)", text)[1]) for name in ("GreaterThanOrEqual", "LessThanOrEqual"))
+    ids = sorted(r.row_id for r in spark.read.parquet(path).collect())
+    assert sum(low <= i <= high for i in ids) <= 40 + 2 * 2 * 50  # pieces are about 50 rows, by sample
+    assert sorted(r.row_id for r in out.collect()) == ids[300:340]
+
+
+def test_epoch_range_reaches_the_scan(spark, sf):
+    at = F.col("click_time")
+    log = clicks(spark, sf)
+    for low, high in ((309600, 349200), (None, 1000000), (2000000, None)):
+        got = log.where(epoch_between(at, low, high, EVENTS_ORIGIN))
+        assert re.search(r"PushedFilters: \[[^\]]*(GreaterThanOrEqual|LessThan)\(ts,", plan(got))
+        t = F.col("epoch_time")
+        want = log.where(F.lit(True) if low is None else t >= low).where(F.lit(True) if high is None else t <= high)
+        assert sorted(r.row_id for r in got.collect()) == sorted(r.row_id for r in want.collect())
