@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,11 +11,13 @@ from clickloom.operators import encoder as E
 from clickloom.operators import keys as K
 from clickloom.operators import profile as P
 from clickloom.operators.splits import kfold
+from clickloom.operators.stage import GroupStatistic
 from clickloom.operators.timefeat import from_supplement, time_table
 from clickloom.operators.windows import last_next_union
 from clickloom.registry.base import BUCKETED_BY, DETERMINE_IT, clicks, coded, contest, develop, query, r6, sql, stack
 from clickloom.schema import COUNT_KEYS, DICTIONARY_KEYS, DISTINCT_PAIRS, LABEL, LABEL_COUNT_KEYS, MEAN_KEYS, PULSE_KEYS, feature_name
 from clickloom.sources.scans import read_table
+from clickloom.sources.store import scratch_path
 
 
 def stacked(dfs, cols) -> DataFrame:
@@ -279,6 +282,18 @@ def encoder_estimator(spark, sf):
     return E.GroupEncoder("channel", LABEL, "count", "channel_cnt").fit(train).transform(test, add_to_orig=False)
 
 
+@query("encoder_ml_pipeline", sql("""
+SELECT v.row_id, round(a.y, 6) AS app_mean, h.y AS ip_app_median FROM val v
+LEFT JOIN (SELECT app, avg(is_attributed) AS y FROM tr GROUP BY app) a USING (app)
+LEFT JOIN (SELECT ip, app, median(channel)::DOUBLE AS y FROM tr GROUP BY ip, app HAVING count(*) >= 2) h USING (ip, app)"""))
+def encoder_ml_pipeline(spark, sf):
+    tr, val = develop(spark, sf)
+    stages = [GroupStatistic(keyCols=["app"], targetCol=LABEL), GroupStatistic(keyCols=["ip", "app"], targetCol="channel", statistic="median", minCount=2)]
+    path = scratch_path(spark, "encoder-pipeline")
+    Pipeline(stages=stages).fit(tr).write().save(path)
+    return PipelineModel.load(path).transform(val).select("row_id", r6(F.col("app_mean")).alias("app_mean"), "ip_app_median")
+
+
 @query("agg_time_pair_count", sql("SELECT ip, epoch_hour, count(*) AS ip_timecount FROM clicks GROUP BY ip, epoch_hour"))
 def agg_time_pair_count(spark, sf):
     train, supp, _ = contest(spark, sf)
