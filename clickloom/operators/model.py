@@ -177,7 +177,7 @@ def side_by_side(spark: SparkSession, jobs: Sequence[Callable[[], Made]], at_onc
         return job()
 
     with ThreadPoolExecutor(at_once) as pool:
-        futures = [pool.submit(inheritable_thread_target(run), i, job) for i, job in enumerate(jobs)]
+        futures = [pool.submit(inheritable_thread_target(spark)(run), i, job) for i, job in enumerate(jobs)]
         try:
             return [f.result() for f in futures]
         except BaseException:
