@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickloom.functions.numeric import normal_quantile
-from clickloom.plans.quantiles import grouped_quantiles, melt
+from clickloom.plans.quantiles import grouped_quantiles, melt, sketch_quantiles
 
 # Fixed value: distance within which a value counts as the lowest or highest seen.
 EDGE = 1e-7
@@ -35,16 +35,21 @@ def scale_l2(df: DataFrame, cols: Sequence[str], suffix: str = "_normalized") ->
 class QuantileMap:
     """Monotone map of each column through its own quantiles.
 
-    Fitting is exact and gathers only the landmarks: `n_quantiles` numbers per column.
+    Fitting gathers only the landmarks: `n_quantiles` numbers per column. It is exact (values are counted and
+    ranked) or, with a `rank_error`, reads all columns in one scan into sketches that merge.
     """
 
     landmarks: dict[str, list[float]]
 
     @classmethod
     def fit(
-        cls, df: DataFrame, cols: Sequence[str], n_quantiles: int = 1000, chunk_rows: int | None = None
+        cls, df: DataFrame, cols: Sequence[str], n_quantiles: int = 1000, chunk_rows: int | None = None,
+        rank_error: float | None = None,
     ) -> QuantileMap:
         n = max(1, min(n_quantiles, df.count()))
+        if rank_error is not None:
+            found = sketch_quantiles(df, cols, n, rank_error).collect()
+            return cls({r["name"]: r["quantiles"] for r in found if r["quantiles"]})
         found = grouped_quantiles(melt(df, cols), ["name"], "value", n, chunk_rows).collect()
         return cls({r["name"]: r["quantiles"] for r in found})
 
@@ -81,8 +86,9 @@ def _normal_rank(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def normalize_splits(
-    tr: DataFrame, val: DataFrame, train: DataFrame, test: DataFrame, cols: Sequence[str], n_quantiles: int = 1000
+    tr: DataFrame, val: DataFrame, train: DataFrame, test: DataFrame, cols: Sequence[str], n_quantiles: int = 1000,
+    rank_error: float | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Map to normal: fitted on `tr` for tr/val, and again on `train` for train/test."""
-    develop, final = QuantileMap.fit(tr, cols, n_quantiles), QuantileMap.fit(train, cols, n_quantiles)
+    develop, final = (QuantileMap.fit(df, cols, n_quantiles, rank_error=rank_error) for df in (tr, train))
     return develop.transform(tr), develop.transform(val), final.transform(train), final.transform(test)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from clickloom.functions import arrays as A
 from clickloom.operators import timefeat as T
 from clickloom.operators import windows as W
+from clickloom.operators.eventlists import sequence_input, store_lists
 from clickloom.operators.sequences import HISTORY_COLUMNS, histories, next_step_input
+from clickloom.plans.grouped import Carried, apply_ordered
 from clickloom.plans.ordered import LastN, ordered_features
 from clickloom.registry.base import clicks, develop, query, r6, sql
 from clickloom.registry.groups import stacked
@@ -227,11 +230,51 @@ def win_group_time_diff(spark, sf):
     return W.click_gaps(clicks(spark, sf), ["ip", "device"], fill=None, names=["click_diff"]).select("row_id", "click_diff")
 
 
+def time_diff() -> Carried:
+    """Seconds since the row before, as a function of a group: the state is the last time seen."""
+
+    def step(last, part):
+        diff = part["epoch_time"].diff().astype("Int64")
+        if last is not None:
+            diff.iloc[0] = part["epoch_time"].iloc[0] - last
+        return pd.DataFrame({"row_id": part["row_id"], "click_diff": diff}), int(part["epoch_time"].iloc[-1])
+
+    return Carried(lambda: None, step, lambda earlier, later: earlier if later is None else later)
+
+
 @query("udf_grouped_apply", sql(f"""
 SELECT row_id, epoch_time - lag(epoch_time) OVER (PARTITION BY ip, device, os {ORDER}) AS click_diff FROM clicks"""))
 def udf_grouped_apply(spark, sf):
-    out = W.click_gaps(clicks(spark, sf), ["ip", "device", "os"], fill=None, names=["click_diff"])
-    return out.select("row_id", "click_diff")
+    log = clicks(spark, sf).select("row_id", "ip", "device", "os", "epoch_time")
+    return apply_ordered(log, ["ip", "device", "os"], ["epoch_time", "row_id"], time_diff(), "row_id long, click_diff long")
+
+
+def sequence_sql(width: int) -> str:
+    earlier = f"(PARTITION BY ip {ORDER} ROWS BETWEEN {{n}} PRECEDING AND 1 PRECEDING)"
+    pad = lambda v: f"md5(array_to_string(list_concat(list_resize([]::INTEGER[], {width} - len({v}), -1), {v}), ','))"
+    return f"""SELECT row_id, ip AS ip_id, {pad('labels')} AS attributed_md5, {pad('gaps')} AS time_delta_md5,
+  CAST(greatest(len(labels), 1) AS INTEGER) AS ip_history_length, is_attributed AS ip_next_download
+FROM (SELECT *, [CAST(ts[i] - ts[i - 1] AS INTEGER) FOR i IN range(2, len(ts) + 1)] AS gaps FROM (
+  SELECT row_id, ip, is_attributed, coalesce(list(is_attributed) OVER {earlier.format(n=width)}, []) AS labels,
+    coalesce(list(epoch_time) OVER {earlier.format(n=width + 1)}, []) AS ts FROM clicks))"""
+
+
+def sequences_of(spark, sf, width: int):
+    lists = store_lists(clicks(spark, sf), store.scratch_path(spark, "event-lists"))
+    digest = lambda c: F.md5(F.array_join(c, ","))
+    return sequence_input(lists, width).select(
+        "row_id", "ip_id", digest("ip_attributed_history").alias("attributed_md5"), digest("ip_time_delta_history").alias("time_delta_md5"),
+        "ip_history_length", "ip_next_download")
+
+
+@query("sequence_input_20", sql(sequence_sql(20)))
+def sequence_input_20(spark, sf):
+    return sequences_of(spark, sf, 20)
+
+
+@query("sequence_input_1000", sql(sequence_sql(1000)))
+def sequence_input_1000(spark, sf):
+    return sequences_of(spark, sf, 1000)
 
 
 @query("win_sortedness_check", """

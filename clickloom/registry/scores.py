@@ -11,13 +11,13 @@ from clickloom.operators import model as L
 from clickloom.operators import profile as P
 from clickloom.operators.assembly import BASE_FEATURES, COUNT_FEATURES, TIME_FEATURES, staged_features
 from clickloom.operators.counts import add_count_maps
-from clickloom.operators.encoder import count_features
+from clickloom.operators.encoder import count_features, distinct_features
 from clickloom.operators.keys import distinct_keys
 from clickloom.operators.scaling import P_MIN, QuantileMap, normalize_splits, scale_l2
 from clickloom.operators.sequences import histories
-from clickloom.operators.windows import click_gaps
+from clickloom.operators.windows import click_gaps, expanding
 from clickloom.registry.base import clicks, coded, contest, develop, query, r6, sql
-from clickloom.registry.groups import stack
+from clickloom.registry.groups import CODED_PARTS, develop_coded, stack
 from clickloom.schema import COUNT_KEYS, LABEL, TIME_KEYS, feature_name
 from clickloom.sources.scans import read_table
 from clickloom.sources.store import roundtrip
@@ -91,28 +91,53 @@ def math_clip(spark, sf):
     return read_table(spark, sf, "events").select("event_id", X.clip_probability(F.col("value") / 100, 0.05).alias("clipped"))
 
 
-L2_KEYS = ["app", "channel", "ip", "os"]
-L2_GAPS = [f"ip_{kind}_click_{n}" for kind in ("prev", "next") for n in (1, 2)]
+# The 17 columns scaled to length one, and the 23 mapped to a normal distribution.
+L2_COUNTS = ["app", "channel", "ip", "os", "ip_device_os_app_channel", "ip_device_os_app", "ip_device_os"]
+L2_RUNNING = ["app", "channel", "ip"]
+L2_GAPS = {"ip_device_os_app_channel": {"next": (1, 2), "prev": (1, 2)}, "ip_device_os_app": {"next": (1, 2), "prev": (1,)}}
+L2_GAP_NAMES = [f"{k}_{kind}_click_{n}" for k, kinds in L2_GAPS.items() for kind, ns in kinds.items() for n in ns]
+L2_COLUMNS = [f"{k}_count" for k in L2_COUNTS] + [f"{k}_expcount" for k in L2_RUNNING] + L2_GAP_NAMES
+NORMAL_GAPS = {"ip": (1,), "ip_device_os": (1,), "ip_device_os_app": (1, 2)}
+NORMAL_GAP_NAMES = [f"{k}_{kind}_click_{n}" for k, ns in NORMAL_GAPS.items() for kind in ("prev", "next") for n in ns]
+NORMAL_COLUMNS = (
+    ["hourofday", *[f"{k}_expmean" for k in L2_RUNNING], *NORMAL_GAP_NAMES, *[f"{k}_count" for k in L2_COUNTS]]
+    + [f"{k}_expcount" for k in L2_RUNNING] + ["ip_unq_app"]
+)
+
+
+def gap_column(name: str) -> str:
+    """SQL of a gap named `<key>_prev_click_<n>` or `<key>_next_click_<n>`."""
+    key, kind, _, n = name.rsplit("_", 3)
+    w = f"(PARTITION BY {key} ORDER BY epoch_time, row_id)"
+    return f"coalesce({f'epoch_time - lag(epoch_time, {n}) OVER {w}' if kind == 'prev' else f'lead(epoch_time, {n}) OVER {w} - epoch_time'}, -1) AS {name}"
+
+
+def earlier_labels(agg: str, key: str) -> str:
+    return f"{agg}(is_attributed) OVER (PARTITION BY {key} ORDER BY epoch_time, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
 L2_SQL = sql(
-    "SELECT row_id, {c} FROM f, n".format(c=", ".join(f"round(f.{c} / n.{c}, 9) AS {c}_normalized" for c in [f"{k}_count" for k in L2_KEYS] + L2_GAPS)),
-    "f AS (SELECT row_id, {counts}, {prev}, {nxt} FROM tr WINDOW w AS (PARTITION BY ip ORDER BY epoch_time, row_id))".format(
-        counts=", ".join(f"count(is_attributed) OVER (PARTITION BY {k}) AS {k}_count" for k in L2_KEYS),
-        prev=", ".join(f"coalesce(epoch_time - lag(epoch_time, {n}) OVER w, -1) AS ip_prev_click_{n}" for n in (1, 2)),
-        nxt=", ".join(f"coalesce(lead(epoch_time, {n}) OVER w - epoch_time, -1) AS ip_next_click_{n}" for n in (1, 2)),
-    ),
-    "n AS (SELECT {c} FROM f)".format(
-        c=", ".join(f"sqrt(sum(CAST({c} AS DOUBLE) * {c})) AS {c}" for c in [f"{k}_count" for k in L2_KEYS] + L2_GAPS)
+    "SELECT row_id, {c} FROM f, n".format(c=", ".join(f"round(f.{c} / n.{c}, 9) AS {c}_normalized" for c in L2_COLUMNS)),
+    *CODED_PARTS,
+    "f AS (SELECT row_id, {counts}, {running}, {gaps} FROM ctr)".format(
+        counts=", ".join(f"count(is_attributed) OVER (PARTITION BY {k}) AS {k}_count" for k in L2_COUNTS),
+        running=", ".join(f"{earlier_labels('count', k)} AS {k}_expcount" for k in L2_RUNNING),
+        gaps=", ".join(gap_column(c) for c in L2_GAP_NAMES),
     ),
+    "n AS (SELECT {c} FROM f)".format(c=", ".join(f"coalesce(nullif(sqrt(sum(CAST({c} AS DOUBLE) * {c})), 0), 1) AS {c}" for c in L2_COLUMNS)),
 )
 
 
 @query("scale_l2", L2_SQL)
 def scale_l2_columns(spark, sf):
-    tr, _ = develop(spark, sf)
-    tr, _ = count_features(tr, tr.where(F.lit(False)), L2_KEYS, LABEL)
-    tr = click_gaps(tr, "ip", prev=(1, 2), nxt=(1, 2))
-    cols = [f"{k}_count" for k in L2_KEYS] + L2_GAPS
-    return scale_l2(tr, cols).select("row_id", *[F.round(f"{c}_normalized", 9).alias(f"{c}_normalized") for c in cols])
+    tr, _ = develop_coded(spark, sf)
+    tr, _ = count_features(tr, tr.where(F.lit(False)), L2_COUNTS, LABEL)
+    (tr,) = expanding(tr, None, L2_RUNNING, stats=["count"])
+    for key, kinds in L2_GAPS.items():
+        tr = click_gaps(tr, key, prev=kinds["prev"], nxt=kinds["next"])
+    # The norms need all rows before the first one can be scaled, so the features are written once.
+    tr = roundtrip(tr.select("row_id", *L2_COLUMNS), "scaled-l2")
+    return scale_l2(tr, L2_COLUMNS).select("row_id", *[F.round(f"{c}_normalized", 9).alias(f"{c}_normalized") for c in L2_COLUMNS])
 
 
 PROBS = ", ".join(str(i / 100) for i in range(101))
@@ -176,6 +201,79 @@ def scale_quantile_normal(spark, sf):
     return done.select("part", "row_id", pairs.alias("p")).select("part", "row_id", "p.name", "p.value")
 
 
+def wide_features(spark, sf):
+    """(tr, val) with the 23 columns, written once: fitting a map and applying it both read them."""
+    base = develop_coded(spark, sf)
+    made = count_features(*base, L2_COUNTS, LABEL)
+    made = distinct_features(*made, [(["ip"], "app")])
+    made = expanding(*made, L2_RUNNING)
+    out = []
+    for part in made:
+        for key, ns in NORMAL_GAPS.items():
+            part = click_gaps(part, key, prev=ns, nxt=ns)
+        out.append(roundtrip(part.select("row_id", *NORMAL_COLUMNS), "scaled-wide"))
+    return out
+
+
+def wide_sql(part: str) -> str:
+    """The 23 columns of `ctr` or `cval`; val gets statistics of all of tr where tr gets those of its earlier rows."""
+    if part == "ctr":
+        running = [f"coalesce({earlier_labels('avg', k)}, -1) AS {k}_expmean, {earlier_labels('count', k)} AS {k}_expcount" for k in L2_RUNNING]
+        joins = []
+    else:
+        running = [f"coalesce(e_{k}.y, -1) AS {k}_expmean, coalesce(e_{k}.n, 0) AS {k}_expcount" for k in L2_RUNNING]
+        joins = [f"LEFT JOIN e_{k} USING ({k})" for k in L2_RUNNING]
+    counts = [f"c_{k}.n AS {k}_count" for k in L2_COUNTS]
+    joins += [f"LEFT JOIN c_{k} USING ({k})" for k in L2_COUNTS] + ["LEFT JOIN u_ip USING (ip)"]
+    cols = ", ".join(["hourofday", *running, *[gap_column(c) for c in NORMAL_GAP_NAMES], *counts, "u_ip.n AS ip_unq_app"])
+    return f"SELECT '{part[1:]}' AS part, row_id, {cols} FROM {part} {' '.join(joins)}"
+
+
+WIDE_VALUES = "unnest([" + ", ".join(f"{{'name': '{c}', 'x': CAST({c} AS DOUBLE)}}" for c in NORMAL_COLUMNS) + "], recursive := true)"
+WIDE_CTES = [
+    *CODED_PARTS,
+    "cboth AS (SELECT * FROM ctr UNION ALL SELECT * FROM cval)",
+    *[f"c_{k} AS (SELECT {k}, count(is_attributed) AS n FROM cboth GROUP BY {k})" for k in L2_COUNTS],
+    *[f"e_{k} AS (SELECT {k}, avg(is_attributed) AS y, count(is_attributed) AS n FROM ctr GROUP BY {k})" for k in L2_RUNNING],
+    "u_ip AS (SELECT ip, count(DISTINCT app) AS n FROM cboth GROUP BY ip)",
+    f"wide AS ({wide_sql('ctr')} UNION ALL BY NAME {wide_sql('cval')})",
+    f"melted AS (SELECT part, row_id, {WIDE_VALUES} FROM wide)",
+    "steps AS (SELECT least(1000, count(*)) - 1 AS s FROM ctr)",
+    "sorted AS (SELECT name, list_sort(list(x)) AS l FROM melted WHERE part = 'tr' GROUP BY name)",
+    "places AS (SELECT name, l, s, i, (len(l) - 1) * i / s AS pos FROM sorted, steps, range(1000) r(i) WHERE i <= s)",
+    "marks AS (SELECT name, i, s, l[CAST(floor(pos) AS BIGINT) + 1] + (l[CAST(ceil(pos) AS BIGINT) + 1] - l[CAST(floor(pos) AS BIGINT) + 1]) * (pos - floor(pos)) AS t FROM places)",
+    "g AS (SELECT name, t, min(s) AS s, min(i) AS i1, max(i) AS i2 FROM marks GROUP BY name, t)",
+    "ends AS (SELECT name, min(t) AS t1, max(t) AS t2 FROM marks GROUP BY name)",
+    "below AS (SELECT v.name, v.x, g.t AS b, g.i1, g.i2, g.s FROM (SELECT DISTINCT name, x FROM melted) v ASOF LEFT JOIN g ON v.name = g.name AND v.x >= g.t)",
+    "around AS (SELECT below.*, g.t AS a FROM below ASOF LEFT JOIN g ON below.name = g.name AND below.x <= g.t)",
+    """wide_ranks AS (SELECT name, x, CASE WHEN x - 1e-7 <= t1 THEN 0.0 WHEN x + 1e-7 >= t2 THEN 1.0
+  WHEN b = x THEN (i1 + i2) / 2 / s ELSE (i2 + (x - b) / (a - b)) / s END AS u FROM around JOIN ends USING (name))""",
+    f"clipped AS (SELECT name, x, least(greatest(u, {P_MIN!r}), {1 - P_MIN!r}) AS p FROM wide_ranks)",
+    "n AS (SELECT name, x, p - 0.5 AS q, 0.180625 - (p - 0.5) * (p - 0.5) AS c, sqrt(-ln(least(p, 1 - p))) AS r FROM clipped)",
+    f"mapped AS (SELECT name, x, round({NORMAL_SQL}, 6) + 0.0 AS value FROM n)",
+]
+WIDE_SQL = sql("SELECT part, row_id, name, value FROM melted JOIN mapped USING (name, x)", *WIDE_CTES)
+
+
+def melted_normal(tr, val, landmarks: QuantileMap):
+    done = stack({"tr": landmarks.transform(tr), "val": landmarks.transform(val)})
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), r6(F.col(c)).alias("value")) for c in NORMAL_COLUMNS]))
+    return done.select("part", "row_id", pairs.alias("p")).select("part", "row_id", "p.name", "p.value")
+
+
+@query("scale_quantile_normal_wide", WIDE_SQL)
+def scale_quantile_normal_wide(spark, sf):
+    tr, val = wide_features(spark, sf)
+    return melted_normal(tr, val, QuantileMap.fit(tr, NORMAL_COLUMNS, 1000))
+
+
+@query("scale_quantile_normal_sketch")
+def scale_quantile_normal_sketch(spark, sf):
+    """As `scale_quantile_normal_wide`, from sketches of one scan; ranks may be off by 0.0005, so it has no SQL."""
+    tr, val = wide_features(spark, sf)
+    return melted_normal(tr, val, QuantileMap.fit(tr, NORMAL_COLUMNS, 1000, rank_error=0.0005))
+
+
 @query("embedding_dot", """
 SELECT a.vec_id, round(list_sum([CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE) FOR i IN range(1, len(a.embedding) + 1)]), 6) + 0.0 AS dot
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
