@@ -15,8 +15,8 @@
    links, never the pairs.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor
-do vectors of another length than the most common one, nor rows with a null id; equal vectors with other ids are copies and link; an empty table gives
-no rows; only the id and vector columns are read.
+do rows with a null id; vectors link only with others of their own length, and each length has a grid and a pass of its own;
+equal vectors with other ids are copies and link; an empty table gives no rows; only the id and vector columns are read.
 """
 
 from __future__ import annotations
@@ -100,14 +100,13 @@ class Grid:
 
 
 def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid members: vec_id and vector), (classes: class, n, vector)."""
+    """(valid members: vec_id and vector), (classes: class, n, vector, length)."""
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND size(v) > 0")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(math.inf)))
     rows = rows.where(~bad & F.exists("v", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    rows = written(rows.where(F.size("v") == (sizes[0]["d"] if sizes else 0)), "vectors")
-    return rows, written(rows.groupBy("v").agg(F.min("vec_id").alias("class"), F.count("*").alias("n")), "vector-classes")
+    rows = written(rows, "vectors")
+    return rows, written(rows.groupBy("v").agg(F.min("vec_id").alias("class"), F.count("*").alias("n")).withColumn("d", F.size("v")), "vector-classes")
 
 
 def packed(classes: DataFrame) -> DataFrame:
@@ -232,10 +231,8 @@ def links(rows: DataFrame, grid: Grid, reach: float, cosine: float) -> DataFrame
     return index.unionByName(visitors).groupBy("cell", "block", "part").applyInArrow(meet, "class long, links long, root long")
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding)."""
-    spark = vectors.sparkSession
-    members, classes = classes_of(vectors)
+def placed_of(classes: DataFrame, cosine: float, recall: float) -> DataFrame:
+    """v, n_links, component_id of classes of one length."""
     rows = written(packed(classes), "vector-rows")
     count = rows.count()
     sample = [bytes(r.x) for r in rows.orderBy(F.xxhash64("class"), "class").limit(SAMPLE).select("x").collect()]
@@ -251,7 +248,16 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     linked = found.groupBy("class").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")), "vector-cc")
     placed = classes.join(linked, "class", "left").join(parts.withColumnRenamed("node", "class"), "class", "left")
-    placed = written(placed.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "class").alias("component_id")), "vector-placed")
+    return written(placed.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "class").alias("component_id")), "vector-placed")
+
+
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding)."""
+    members, classes = classes_of(vectors)
+    lengths = [r["d"] for r in classes.select("d").distinct().orderBy("d").collect()]
+    placed = classes.select("v", F.lit(0).cast("long").alias("n_links"), F.col("class").alias("component_id")).where("false")
+    for d in lengths:
+        placed = placed.unionByName(placed_of(classes.where(F.col("d") == d), cosine, recall))
     own = written(members.join(placed, "v").select("vec_id", "n_links", "component_id").dropDuplicates(["vec_id"]), "vector-own")
     out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(own, "vec_id", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn(
