@@ -16,8 +16,8 @@
 5. Checks compare whole sets: pair by pair, or, for signatures that meet many components, block by block.
 
 Defined cases: null or empty texts and texts of spaces have an empty set and link with nothing; fewer words
-than n: the whole sequence is one shingle; null ids link with nothing; repeated rows give repeated results; an empty table gives no rows; only
-the id and text columns are read.
+than n: the whole sequence is one shingle; null ids link with nothing; repeated rows give repeated results, and rows that share an id
+but not a text are linked each by its own text (one row each); an empty table gives no rows; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ RUN_BYTES, TASK_SIGNATURES = 1 << 23, 2_000_000
 MANY, BLOCK = 16, 128
 #: Bits of the filter that thins texts before a join; its size is fixed, its answers are checked by the join.
 FILTER_BITS = 1 << 23
+#: Names a row by its id and its text.
+ID_AND_TEXT = lambda: F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = N) -> list[np.ndarray]:
@@ -116,8 +118,8 @@ def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarr
 
 
 def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, key of the set (two 64-bit hashes), spare signatures."""
-    schema = "doc_id long, n_shingles long, key1 long, key2 long, spare0 long, spare1 long"
+    """doc_id, n_shingles, key of the set (two 64-bit hashes), spare signatures, and the id and text as one hash."""
+    schema = "doc_id long, n_shingles long, key1 long, key2 long, spare0 long, spare1 long, both long"
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -127,10 +129,25 @@ def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
             spare = signatures(sets, percent)[2]
             keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
             sizes = np.array([len(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (sizes, keys[:, 0], keys[:, 1], spare[0], spare[1]))],
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (sizes, keys[:, 0], keys[:, 1], spare[0], spare[1])), b.column(2)],
                                              [x.split()[0] for x in schema.split(", ")])
 
-    return docs.mapInArrow(run, schema)
+    return docs.withColumn("both", ID_AND_TEXT()).mapInArrow(run, schema)
+
+
+def told_apart(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Rows and docs with a row id `rid` that names one set only, and whether any differs from its doc_id.
+
+    That is the doc_id, but for ids whose texts have different sets: there, a hash of id and text. The ids are
+    found in the written rows; texts are joined to them only if there are any.
+    """
+    twofold = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(*[f(k).alias(f"{f.__name__}_{k}") for f in (F.min, F.max) for k in ("key1", "key2")])
+    twofold = written(twofold.where("min_key1 <> max_key1 OR min_key2 <> max_key2").select("doc_id", F.lit(True).alias("twofold")), "jaccard-twofold")
+    if twofold.isEmpty():
+        return rows.withColumn("rid", F.col("doc_id")), docs.withColumn("rid", F.col("doc_id")), False
+    rid = lambda both: F.when(F.col("twofold"), both).otherwise(F.col("doc_id")).alias("rid")
+    return (rows.join(twofold, "doc_id", "left").select(*rows.columns, rid(F.col("both"))),
+            docs.join(twofold, "doc_id", "left").select(*docs.columns, rid(ID_AND_TEXT())), True)
 
 
 def repeated_signatures(docs: DataFrame, sign, tasks: int) -> DataFrame:
@@ -341,12 +358,12 @@ def near_copies(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = docs.where("doc_id IS NOT NULL")
-    rows = written(describe(docs, n, percent), "jaccard-rows")
-    full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(full.groupBy("key1", "key2").agg(F.min("doc_id").alias("class"), F.first("n_shingles").alias("n"),
+    rows, docs, renamed = told_apart(written(describe(docs, n, percent), "jaccard-rows"), docs)
+    known = docs.where("rid IS NOT NULL").select(F.col("rid").alias("doc_id"), "text")
+    full = rows.where("n_shingles > 0 AND rid IS NOT NULL")
+    classes = written(full.groupBy("key1", "key2").agg(F.min("rid").alias("class"), F.first("n_shingles").alias("n"),
                                                        F.first("spare0").alias("spare0"), F.first("spare1").alias("spare1")), "jaccard-classes")
-    of_doc = written(full.select("doc_id", "key1", "key2").join(classes.select("key1", "key2", "class"), ["key1", "key2"])
+    of_doc = written(full.select(F.col("rid").alias("doc_id"), "key1", "key2").join(classes.select("key1", "key2", "class"), ["key1", "key2"])
                      .select("doc_id", "class").distinct(), "jaccard-members")
 
     total = full.agg(F.sum(F.col("n_shingles"))).first()[0] or 0
@@ -359,9 +376,12 @@ def near_copies(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
     parts = link_classes(known, entries, classes.select("class", "spare0", "spare1", (own % 2).alias("parity")), n, percent)
 
     placed = of_doc.join(parts.withColumnRenamed("node", "class"), "class", "left")
-    placed = written(placed.select("doc_id", F.coalesce("component", "class").alias("component_id")), "jaccard-placed")
-    return rows.select("doc_id", "n_shingles").join(placed, "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    placed = written(placed.select(F.col("doc_id").alias("rid"), F.coalesce("component", "class").alias("component_id")), "jaccard-placed")
+    if renamed:  # a component is named by its least doc_id, which a row id of its own may hide
+        least = full.select("rid", "doc_id").join(placed, "rid").groupBy("component_id").agg(F.min("doc_id").alias("least"))
+        placed = written(placed.join(least, "component_id").select("rid", F.col("least").alias("component_id")), "jaccard-placed")
+    return rows.select("doc_id", "rid", "n_shingles").join(placed, "rid", "left").select(
+        "doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), "doc_id").alias("component_id"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

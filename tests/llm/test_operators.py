@@ -151,6 +151,14 @@ def test_near_copies(docs):
     assert jaccard.near_copies(empty(docs)).count() == 0
 
 
+def test_near_copies_of_an_id_with_two_texts(spark):
+    x, y, z = prose(1, 60), prose(2, 60), prose(3, 60)
+    nearly = x + " end"
+    rows = [(0, x), (1, x), (1, y), (2, z), (5, y), (5, nearly), (6, None), (6, z), (7, z), (7, z)]
+    got = sorted(tuple(r) for r in jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect())
+    assert got == sorted([(0, 0), (1, 0), (1, 1), (2, 2), (5, 1), (5, 0), (6, 6), (6, 2), (7, 2), (7, 2)])
+
+
 @pytest.mark.parametrize("size", [3, 8, 20, 70, 300])
 def test_signatures_meet(size):
     """Any two sets at the threshold share a signature that neither may leave out."""
@@ -354,6 +362,18 @@ def test_vectors(spark):
     assert vectors.near_vectors(empty(df)).count() == 0
 
 
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(4)
+    wide, narrow = rng.normal(size=(40, 12)), rng.normal(size=(6, 5))
+    narrow[3], narrow[4] = narrow[0], narrow[1] * 2
+    rows = [(i, v.tolist()) for i, v in enumerate(wide)] + [(100 + i, v.tolist()) for i, v in enumerate(narrow)] + [(200, [2.0]), (201, [5.0]), (202, [-1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == len(rows)
+    assert got[103] == (1, 100) and got[100] == (1, 100) and got[104] == (1, 101)
+    assert got[200] == (1, 200) and got[201] == (1, 200) and got[202] == (0, 202)
+    assert all(got[i] == (0, i) for i in (*range(40), 102, 105))
+
+
 # --- WARC ------------------------------------------------------------------------------------------------------
 
 
