@@ -150,8 +150,17 @@ def told_apart(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame,
             docs.join(twofold, "doc_id", "left").select(*docs.columns, rid(ID_AND_TEXT())), True)
 
 
+def distinct_pairs(s: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of signature and id, in order."""
+    order = np.lexsort((ids, s))
+    s, ids = s[order], ids[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (ids[1:] != ids[:-1])
+    return s[new], ids[new]
+
+
 def repeated_signatures(docs: DataFrame, sign, tasks: int) -> DataFrame:
-    """(signature, doc_id) of all signatures that occur in more than one text.
+    """(signature, doc_id) of all signatures that occur with more than one id.
 
     `sign` gets the bytes and offsets of a batch of texts and returns signatures and the row of each.
     """
@@ -161,8 +170,7 @@ def repeated_signatures(docs: DataFrame, sign, tasks: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             s, ids = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            order = np.lexsort((ids, s))
-            s, ids = s[order], ids[order]
+            s, ids = distinct_pairs(s, ids)
             new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
             again = ~new
             local = again | np.concatenate([again[1:], [False]]) if len(s) else again
@@ -210,8 +218,7 @@ def repeated_signatures(docs: DataFrame, sign, tasks: int) -> DataFrame:
         if held:
             s, ids = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
             held.clear()
-            order = np.argsort(s, kind="stable")
-            s, ids = s[order], ids[order]
+            s, ids = distinct_pairs(s, ids)
             same = s[1:] == s[:-1]
             some = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
             for i in range(0, len(some), 100_000):

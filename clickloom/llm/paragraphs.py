@@ -1,16 +1,20 @@
-"""Substring dedup: paragraphs that repeat, nearly or exactly, are kept once.
-
-A paragraph is a line of at least `LEAST` words. Equal ones (after lowering A-Z and joining words by single
-spaces) are one class. Classes get MinHash signatures of their 5-word shingles; bands are tuned so that a pair at
-the threshold collides with the wanted recall. Colliding paragraphs are checked by the exact Jaccard similarity of
-their whole shingle sets (first against one candidate each, then all pairs that are not connected yet, large
-bands block by block), links make components, and of each component the first paragraph by (doc_id, place) stays.
+"""Substring dedup: paragraphs and passages that repeat, nearly or exactly, are kept once.
+
+Units of a text are its lines of at least `LEAST` words, and passages of `PASSAGE` words that begin at anchors. An
+anchor is a word whose hash (with the word after it) is least in some window of `WINDOW` words, so that it depends on
+the words around it alone: every stretch of `WINDOW + PASSAGE - 1` words or more that repeats, wherever its lines
+break, holds a whole passage that is cut alike in all its copies. Equal units (after lowering A-Z and joining words by
+single spaces) are one class. Classes get MinHash signatures of their 5-word shingles; bands are tuned so that a pair
+at the threshold collides with the wanted recall. Colliding units are checked by the exact Jaccard similarity of
+their whole shingle sets (first against one candidate each, then all pairs that are not connected yet),
+links make components, and of each component the first unit by (doc_id, place in the text) stays. Words around
+a unit that goes stay, unless they go with a unit of their own.
 
 Classes are told apart by a 64-bit hash of their text.
 
-Defined cases: null text has no paragraphs; shorter lines are never removed; rows that repeat an id are paragraphs
-of one document; rows with a null id lose nothing; an empty table gives no rows; only the id and text
-columns are read.
+Defined cases: null text has no units; shorter lines go only with a passage that covers them; rows that repeat an id are units
+of one document, and units at the same byte of such rows stay together; of a repeat that overlaps the unit that stays, only the
+rest goes; rows with a null id lose nothing; an empty table gives no rows; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -19,13 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clickloom.llm.common import LOWER, by_bytes, mix, partitions, read, small_batches, span_hashes, utf8, words, written
 from clickloom.llm.jaccard import link_classes, repeated_signatures, shingles
 
 N, PERCENT, LEAST, RECALL, HASHES = 5, 80, 10, 0.995, 96
+#: Words of a passage, and of the windows that choose where passages begin.
+PASSAGE, WINDOW = 20, 31
 TASK_SIGNATURES = 2_000_000
 
 
@@ -53,6 +59,38 @@ def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row[long], (np.arange(len(row)) - first)[long], begin[long], end[long]
 
 
+def sliding(x: np.ndarray, width: int, pick: np.ufunc, blank: np.uint64) -> np.ndarray:
+    """`pick` over x[i : i + width] for every i; beyond the end, x is `blank`."""
+    out, have = x, 1
+    while have < width:
+        step = min(have, width - have)
+        out = pick(out, np.concatenate([out[step:], np.full(min(step, len(out)), blank, x.dtype)]))
+        have += step
+    return out
+
+
+def passages(data: np.ndarray, offsets: np.ndarray, passage: int = PASSAGE, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of every passage."""
+    low = LOWER[data]
+    starts, ends, rows = words(low, offsets)
+    none = np.zeros(0, np.int64)
+    if len(starts) <= window:
+        return none, none, none
+    h = span_hashes(low, starts, ends)
+    two = mix(h[:-1] * np.uint64(31) + h[1:])
+    least = np.uint64(np.iinfo(np.uint64).max)
+    word_row = np.repeat(np.arange(len(offsets) - 1), np.diff(rows))
+    left = rows[1:][word_row] - np.arange(len(starts))  # words of the row from here on
+    lowest = np.where(left[:-1] > window, sliding(two, window, np.minimum, least), np.uint64(0))
+    # A word is an anchor if it is the least of any whole window that it lies in.
+    before = np.concatenate([np.zeros(window - 1, np.uint64), lowest])
+    anchor = sliding(before, window, np.maximum, np.uint64(0))[: len(two)] == two
+    # Of neighbours the first: passages one word apart would be near copies of each other.
+    anchor[1:] &= ~(anchor[:-1] & (word_row[1:-1] == word_row[:-2]))
+    at = np.flatnonzero(anchor & (left[:-1] >= passage))
+    return word_row[at], starts[at], ends[at + passage - 1]
+
+
 def keys(data: np.ndarray, offsets: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of the lower-case words of each span, in order."""
     low = LOWER[data]
@@ -67,32 +105,29 @@ def keys(data: np.ndarray, offsets: np.ndarray, begin: np.ndarray, end: np.ndarr
     return mix(out + size.astype(np.uint64))
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, id, n_bytes) of all paragraphs; id stands for the class."""
-    schema = "doc_id long, place int, id long, n_bytes int"
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(frames, 1):
-            data, offsets = utf8(b.column(1))
-            row, place, begin, end = split(data, offsets)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(keys(data, offsets, begin, end).view(np.int64)),
-                                              pa.array((end - begin).astype(np.int32))], [x.split()[0] for x in schema.split(", ")])
+def units(docs: DataFrame) -> DataFrame:
+    """(id, text, doc_id, copy, place, start, end) of all lines and passages; id stands for the class, copy for the row's text.
 
-    return docs.mapInArrow(run, schema)
-
-
-def texts(docs: DataFrame) -> DataFrame:
-    """(id, text) of all paragraphs."""
+    place is the number of a line; a passage has none.
+    """
+    schema = "id long, text string, doc_id long, copy long, place int, start int, end int"
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(frames, 1):
             data, offsets = utf8(b.column(1))
-            _, _, begin, end = split(data, offsets)
+            row, place, begin, end = split(data, offsets)
+            more, first, last = passages(data, offsets)
+            place = pa.array(np.concatenate([place, np.zeros(len(more), np.int64)]), pa.int32(), mask=np.arange(len(row) + len(more)) >= len(row))
+            row, begin, end = np.concatenate([row, more]), np.concatenate([begin, first]), np.concatenate([end, last])
             raw = data.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(keys(data, offsets, begin, end).view(np.int64)),
-                                              pa.array([raw[x:y] for x, y in zip(begin.tolist(), end.tolist())], pa.binary()).cast(pa.string())], ["doc_id", "text"])
+            of, at = pa.array(row), offsets[row]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(keys(data, offsets, begin, end).view(np.int64)),
+                pa.array([raw[x:y] for x, y in zip(begin.tolist(), end.tolist())], pa.binary()).cast(pa.string()),
+                b.column(0).take(of), b.column(2).take(of), place, pa.array((begin - at).astype(np.int32)), pa.array((end - at).astype(np.int32)),
+            ], [x.split()[0] for x in schema.split(", ")])
 
-    return docs.mapInArrow(run, "doc_id long, text string")
+    return docs.withColumn("copy", F.xxhash64("text")).mapInArrow(run, schema)
 
 
 def band_signatures(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,32 +150,42 @@ def band_signatures(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.n
 
 
 def repeats(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, place, n_bytes, kept_doc, kept_place) of every paragraph that goes, with the one that stays for it."""
+    """Every unit that goes, with the one that stays for it.
+
+    doc_id, copy (the row's text as a hash), place (number of a line; null for a passage), start and end (bytes), kept_doc, kept_place,
+    kept_start.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    rows = written(paragraphs(docs), "paragraphs")
-    units = texts(docs)
+    made = written(units(docs), "paragraphs")
+    rows, known = made.drop("text"), made.select(F.col("id").alias("doc_id"), "text")
     bands, height = tune(percent)
     sign = lambda data, offsets: band_signatures(shingles(data, offsets, n), bands, height)
     tasks = max(partitions(spark), -(-rows.count() * bands // TASK_SIGNATURES))
-    entries = written(repeated_signatures(units, sign, tasks).select("signature", F.col("doc_id").alias("class")).distinct(), "paragraph-entries")
+    entries = written(repeated_signatures(known, sign, tasks).select("signature", F.col("doc_id").alias("class")).distinct(), "paragraph-entries")
     spare = entries.select("class").distinct().select("class", F.lit(0).alias("spare0"), F.lit(0).alias("spare1"), F.lit(0).alias("parity"))
-    parts = link_classes(units, entries, spare, n, percent)
-    first = rows.groupBy("id").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
+    parts = link_classes(known, entries, spare, n, percent)
+    first = rows.groupBy("id").agg(F.min(F.struct("doc_id", "start", "end", "place")).alias("first"), F.count("*").alias("n"))
     first = first.join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("part"), "first", "n")
     first = written(first, "paragraph-classes")
     kept = first.groupBy("part").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1").drop("n")
     of = written(first.select("id", "part").join(written(kept, "paragraph-kept"), "part").select("id", "kept"), "paragraph-repeats")
-    gone = rows.join(of, "id").where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("place") != F.col("kept.place")))
-    return gone.select("doc_id", "place", "n_bytes", F.col("kept.doc_id").alias("kept_doc"), F.col("kept.place").alias("kept_place"))
+    gone = rows.join(of, "id").where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("start") != F.col("kept.start")))
+    beside = F.when((F.col("doc_id") == F.col("kept.doc_id")) & (F.col("start") < F.col("kept.end")), F.col("kept.end")).otherwise(F.col("start"))
+    gone = gone.select("doc_id", "copy", "place", beside.alias("start"), "end", F.col("kept.doc_id").alias("kept_doc"),
+                       F.col("kept.place").alias("kept_place"), F.col("kept.start").alias("kept_start"))
+    return gone.where(F.col("start") < F.col("end"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: paragraphs removed, their places, and the documents that keep them."""
+    """Per document: lines and passages removed, bytes they cover, the lines' places, and the documents that keep them."""
     small_batches(spark)
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    gone = repeats(docs).groupBy("doc_id").agg(F.count("*").alias("n_removed"), F.sum("n_bytes").cast("long").alias("bytes_removed"),
-                                               F.sort_array(F.collect_set("place")).alias("places"), F.sort_array(F.collect_set("kept_doc")).alias("kept_docs"))
+    # A byte that several units cover counts once: a unit adds what lies beyond all units that begin before it.
+    before = F.max("end").over(Window.partitionBy("doc_id", "copy").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    gone = repeats(docs).withColumn("n_bytes", F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), F.coalesce(before, F.lit(0)))))
+    gone = gone.groupBy("doc_id").agg(F.count("*").alias("n_removed"), F.sum("n_bytes").cast("long").alias("bytes_removed"),
+                                      F.sort_array(F.collect_set("place")).alias("places"), F.sort_array(F.collect_set("kept_doc")).alias("kept_docs"))
     out = docs.select("doc_id").join(written(gone, "paragraph-docs"), "doc_id", "left")
     none = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
     return out.select("doc_id", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("bytes_removed", F.lit(0)).alias("bytes_removed"),

@@ -254,6 +254,77 @@ def test_paragraphs(docs):
     assert 1 - (1 - 0.8**rows) ** bands >= paragraphs.RECALL
 
 
+def planted(seed: int, n: int = 30) -> tuple[list[tuple[int, str]], set[int]]:
+    """Texts of words of their own, and the ids of those that hold 50 words of another text, broken into other lines."""
+    rng = np.random.default_rng(seed)
+    own = lambda k: [f"v{x}" for x in rng.integers(0, 1_000_000, k)]
+    shared, rows = own(paragraphs.WINDOW + paragraphs.PASSAGE - 1), []
+    for i in range(n):
+        mine = own(rng.integers(20, 90)) + (shared if i % 3 == 1 else []) + own(rng.integers(20, 90))
+        rows.append((i, "".join(w + str(rng.choice([" ", " ", " ", " ", "\n", "  "])) for w in mine)))
+    return rows, {i for i in range(n) if i % 3 == 1} - {1}
+
+
+def test_passages_within_lines(spark):
+    rows, hold = planted(11)
+    gone = paragraphs.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    # Other documents may share a line of the passage that the first one breaks elsewhere.
+    assert {r.doc_id for r in gone} == hold and {r.doc_id for r in gone if r.kept_doc == 1} == hold and {r.kept_doc for r in gone} <= hold | {1}
+    texts = dict(rows)
+    for r in gone:
+        kept, words = texts[r.kept_doc].encode().split(), texts[r.doc_id].encode()[r.start : r.end].split()
+        assert len(words) == paragraphs.PASSAGE or r.place is not None
+        assert len(set(words) & set(kept)) >= len(words) - 2  # near copies may differ at their ends
+
+
+def test_every_long_repeat_holds_a_common_passage():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        vocabulary = rng.choice([3, 50, 10_000])
+        own = lambda k: [f"w{x}" for x in rng.integers(0, vocabulary, k)]  # noqa: B023, E731
+        shared = own(paragraphs.WINDOW + paragraphs.PASSAGE + 1)
+        made = [" ".join(own(rng.integers(0, 40)) + shared + own(rng.integers(0, 40))).encode() for _ in range(2)]
+        data, offsets = np.frombuffer(b"".join(made), np.uint8), np.cumsum([0, *map(len, made)])
+        row, begin, end = paragraphs.passages(data, offsets)
+        found = [{data[a:z].tobytes() for a, z in zip(begin[row == i], end[row == i])} for i in (0, 1)]
+        assert all(len(x.split()) == paragraphs.PASSAGE for f in found for x in f)
+        assert vocabulary == 3 or found[0] & found[1]
+        for i, text in enumerate(made):  # a text among others is cut as it is alone
+            _, a, z = paragraphs.passages(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+            assert (a == begin[row == i] - offsets[i]).all() and (z == end[row == i] - offsets[i]).all()
+
+
+def test_units_against_all_pairs(spark, docs):
+    """Components of the units equal those of all pairs of units compared."""
+    rows, _ = planted(12)
+    near = [(100 + i, " ".join(x if j != 30 * (i % 2) + 20 else "changed" for j, x in enumerate(t.split()))) for i, t in rows[:8]]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows + near, "doc_id long, text string"))
+    made = [r for r in paragraphs.units(both.where("doc_id IS NOT NULL")).collect()]
+    sets = {r.id: {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for r in made for w in [r.text.lower().split()]}
+    ids, root = sorted(sets), {i: i for i in sets}
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root[top(a)] = top(b)
+    first: dict[int, tuple] = {}
+    for r in made:
+        first[top(r.id)] = min(first.get(top(r.id), (1 << 62,)), (r.doc_id, r.start, r.end))
+    expected = set()
+    for r in made:
+        keep = first[top(r.id)]
+        start = keep[2] if r.doc_id == keep[0] and r.start < keep[2] else r.start
+        if (r.doc_id, r.start) != keep[:2] and start < r.end:
+            expected.add((r.doc_id, start, r.end, keep[0], keep[1]))
+    found = {(r.doc_id, r.start, r.end, r.kept_doc, r.kept_start) for r in paragraphs.repeats(both).collect()}
+    assert found == expected and len(found) > 50
+
+
 # --- decontamination -------------------------------------------------------------------------------------------
 
 
