@@ -13,8 +13,8 @@ a unit that goes stay, unless they go with a unit of their own.
 Classes are told apart by a 64-bit hash of their text.
 
 Defined cases: null text has no units; shorter lines go only with a passage that covers them; rows that repeat an id are units
-of one document, and units at the same byte of such rows stay together; of a repeat that overlaps the unit that stays, only the
-rest goes; rows with a null id lose nothing; an empty table gives no rows; only the id and text columns are read.
+of one document, and units at the same byte of such rows stay together; a unit that overlaps the one that stays for it
+(passages a word apart are near copies) stays as well; rows with a null id lose nothing; an empty table gives no rows; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -85,8 +85,6 @@ def passages(data: np.ndarray, offsets: np.ndarray, passage: int = PASSAGE, wind
     # A word is an anchor if it is the least of any whole window that it lies in.
     before = np.concatenate([np.zeros(window - 1, np.uint64), lowest])
     anchor = sliding(before, window, np.maximum, np.uint64(0))[: len(two)] == two
-    # Of neighbours the first: passages one word apart would be near copies of each other.
-    anchor[1:] &= ~(anchor[:-1] & (word_row[1:-1] == word_row[:-2]))
     at = np.flatnonzero(anchor & (left[:-1] >= passage))
     return word_row[at], starts[at], ends[at + passage - 1]
 
@@ -170,11 +168,10 @@ def repeats(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     first = written(first, "paragraph-classes")
     kept = first.groupBy("part").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1").drop("n")
     of = written(first.select("id", "part").join(written(kept, "paragraph-kept"), "part").select("id", "kept"), "paragraph-repeats")
-    gone = rows.join(of, "id").where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("start") != F.col("kept.start")))
-    beside = F.when((F.col("doc_id") == F.col("kept.doc_id")) & (F.col("start") < F.col("kept.end")), F.col("kept.end")).otherwise(F.col("start"))
-    gone = gone.select("doc_id", "copy", "place", beside.alias("start"), "end", F.col("kept.doc_id").alias("kept_doc"),
-                       F.col("kept.place").alias("kept_place"), F.col("kept.start").alias("kept_start"))
-    return gone.where(F.col("start") < F.col("end"))
+    gone = rows.join(of, "id")
+    overlaps = (F.col("doc_id") == F.col("kept.doc_id")) & (F.col("start") < F.col("kept.end")) & (F.col("end") > F.col("kept.start"))
+    return gone.where(~overlaps).select("doc_id", "copy", "place", "start", "end", F.col("kept.doc_id").alias("kept_doc"), F.col("kept.place").alias("kept_place"),
+                                        F.col("kept.start").alias("kept_start"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -282,7 +282,7 @@ def test_every_long_repeat_holds_a_common_passage():
     for _ in range(60):
         vocabulary = rng.choice([3, 50, 10_000])
         own = lambda k: [f"w{x}" for x in rng.integers(0, vocabulary, k)]  # noqa: B023, E731
-        shared = own(paragraphs.WINDOW + paragraphs.PASSAGE + 1)
+        shared = own(paragraphs.WINDOW + paragraphs.PASSAGE - 1)
         made = [" ".join(own(rng.integers(0, 40)) + shared + own(rng.integers(0, 40))).encode() for _ in range(2)]
         data, offsets = np.frombuffer(b"".join(made), np.uint8), np.cumsum([0, *map(len, made)])
         row, begin, end = paragraphs.passages(data, offsets)
@@ -318,9 +318,8 @@ def test_units_against_all_pairs(spark, docs):
     expected = set()
     for r in made:
         keep = first[top(r.id)]
-        start = keep[2] if r.doc_id == keep[0] and r.start < keep[2] else r.start
-        if (r.doc_id, r.start) != keep[:2] and start < r.end:
-            expected.add((r.doc_id, start, r.end, keep[0], keep[1]))
+        if r.doc_id != keep[0] or r.start >= keep[2] or r.end <= keep[1]:
+            expected.add((r.doc_id, r.start, r.end, keep[0], keep[1]))
     found = {(r.doc_id, r.start, r.end, r.kept_doc, r.kept_start) for r in paragraphs.repeats(both).collect()}
     assert found == expected and len(found) > 50
 
