@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import LOWER, by_bytes, mix, partitions, read, small_batches, span_hashes, utf8, words, written
+from clickloom.llm.common import LOWER, by_bytes, mix, partitions, read, scratch_path, small_batches, span_hashes, utf8, words, written
 from clickloom.llm.jaccard import link_classes, repeated_signatures, shingles
 
-N, PERCENT, LEAST, RECALL, HASHES = 5, 80, 10, 0.995, 96
+#: The recall and the hashes give 8 bands of 3 rows: a band costs an entry per unit in the exchange, a row only time.
+N, PERCENT, LEAST, RECALL, HASHES = 5, 80, 10, 0.995, 24
 #: Words of a passage, and of the windows that choose where passages begin.
 PASSAGE, WINDOW = 20, 31
 TASK_SIGNATURES = 2_000_000
@@ -115,8 +116,11 @@ def units(docs: DataFrame) -> DataFrame:
             data, offsets = utf8(b.column(1))
             row, place, begin, end = split(data, offsets)
             more, first, last = passages(data, offsets)
-            place = pa.array(np.concatenate([place, np.zeros(len(more), np.int64)]), pa.int32(), mask=np.arange(len(row) + len(more)) >= len(row))
             row, begin, end = np.concatenate([row, more]), np.concatenate([begin, first]), np.concatenate([end, last])
+            # In the order of the text, overlapping units stand together and compress to little more than the text itself.
+            order = np.lexsort((begin, row))
+            row, begin, end = row[order], begin[order], end[order]
+            place = pa.array(np.concatenate([place, np.zeros(len(more), np.int64)])[order], pa.int32(), mask=order >= len(place))
             raw = data.tobytes()
             of, at = pa.array(row), offsets[row]
             yield pa.RecordBatch.from_arrays([
@@ -155,7 +159,9 @@ def repeats(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    made = written(units(docs), "paragraphs")
+    path = scratch_path(spark, "llm-paragraphs")
+    units(docs).write.option("compression", "zstd").parquet(path)
+    made = spark.read.parquet(path)
     rows, known = made.drop("text"), made.select(F.col("id").alias("doc_id"), "text")
     bands, height = tune(percent)
     sign = lambda data, offsets: band_signatures(shingles(data, offsets, n), bands, height)
