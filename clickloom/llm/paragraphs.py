@@ -4,11 +4,12 @@ Units of a text are its lines of at least `LEAST` words, and passages of `PASSAG
 anchor is a word whose hash (with the word after it) is least in some window of `WINDOW` words, so that it depends on
 the words around it alone: every stretch of `WINDOW + PASSAGE - 1` words or more that repeats, wherever its lines
 break, holds a whole passage that is cut alike in all its copies. Equal units (after lowering A-Z and joining words by
-single spaces) are one class. Classes get MinHash signatures of their 5-word shingles; bands are tuned so that a pair
-at the threshold collides with the wanted recall. Colliding units are checked by the exact Jaccard similarity of
+single spaces) are one class. Classes of lines get MinHash signatures of their 5-word shingles; bands are tuned so that a
+pair at the threshold collides with the wanted recall. Colliding lines are checked by the exact Jaccard similarity of
 their whole shingle sets (first against one candidate each, then all pairs that are not connected yet),
-links make components, and of each component the first unit by (doc_id, place in the text) stays. Words around
-a unit that goes stay, unless they go with a unit of their own.
+links make components, and of each component the first unit by (doc_id, place in the text) stays. Passages go only where
+they are equal: of 20 words, any two that reach the threshold differ in one word at an end, and passages next to
+them are equal then. Words around a unit that goes stay, unless they go with a unit of their own.
 
 Classes are told apart by a 64-bit hash of their text.
 
@@ -29,8 +30,7 @@ from pyspark.sql import functions as F
 from clickloom.llm.common import LOWER, by_bytes, mix, partitions, read, scratch_path, small_batches, span_hashes, utf8, words, written
 from clickloom.llm.jaccard import link_classes, repeated_signatures, shingles
 
-#: The recall and the hashes give 8 bands of 3 rows: a band costs an entry per unit in the exchange, a row only time.
-N, PERCENT, LEAST, RECALL, HASHES = 5, 80, 10, 0.995, 24
+N, PERCENT, LEAST, RECALL, HASHES = 5, 80, 10, 0.995, 96
 #: Words of a passage, and of the windows that choose where passages begin.
 PASSAGE, WINDOW = 20, 31
 TASK_SIGNATURES = 2_000_000
@@ -107,25 +107,23 @@ def keys(data: np.ndarray, offsets: np.ndarray, begin: np.ndarray, end: np.ndarr
 def units(docs: DataFrame) -> DataFrame:
     """(id, text, doc_id, copy, place, start, end) of all lines and passages; id stands for the class, copy for the row's text.
 
-    place is the number of a line; a passage has none.
+    place is the number of a line; a passage has none, and no text.
     """
     schema = "id long, text string, doc_id long, copy long, place int, start int, end int"
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(frames, 1):
             data, offsets = utf8(b.column(1))
+            raw = data.tobytes()
             row, place, begin, end = split(data, offsets)
             more, first, last = passages(data, offsets)
+            text = [raw[x:y] for x, y in zip(begin.tolist(), end.tolist())] + [None] * len(more)
             row, begin, end = np.concatenate([row, more]), np.concatenate([begin, first]), np.concatenate([end, last])
-            # In the order of the text, overlapping units stand together and compress to little more than the text itself.
-            order = np.lexsort((begin, row))
-            row, begin, end = row[order], begin[order], end[order]
-            place = pa.array(np.concatenate([place, np.zeros(len(more), np.int64)])[order], pa.int32(), mask=order >= len(place))
-            raw = data.tobytes()
+            place = pa.array(np.concatenate([place, np.zeros(len(more), np.int64)]), pa.int32(), mask=np.arange(len(row)) >= len(place))
             of, at = pa.array(row), offsets[row]
             yield pa.RecordBatch.from_arrays([
                 pa.array(keys(data, offsets, begin, end).view(np.int64)),
-                pa.array([raw[x:y] for x, y in zip(begin.tolist(), end.tolist())], pa.binary()).cast(pa.string()),
+                pa.array(text, pa.binary()).cast(pa.string()),
                 b.column(0).take(of), b.column(2).take(of), place, pa.array((begin - at).astype(np.int32)), pa.array((end - at).astype(np.int32)),
             ], [x.split()[0] for x in schema.split(", ")])
 
@@ -162,10 +160,10 @@ def repeats(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     path = scratch_path(spark, "llm-paragraphs")
     units(docs).write.option("compression", "zstd").parquet(path)
     made = spark.read.parquet(path)
-    rows, known = made.drop("text"), made.select(F.col("id").alias("doc_id"), "text")
+    rows, known = made.drop("text"), made.where("text IS NOT NULL").select(F.col("id").alias("doc_id"), "text")
     bands, height = tune(percent)
     sign = lambda data, offsets: band_signatures(shingles(data, offsets, n), bands, height)
-    tasks = max(partitions(spark), -(-rows.count() * bands // TASK_SIGNATURES))
+    tasks = max(partitions(spark), -(-known.count() * bands // TASK_SIGNATURES))
     entries = written(repeated_signatures(known, sign, tasks).select("signature", F.col("doc_id").alias("class")).distinct(), "paragraph-entries")
     spare = entries.select("class").distinct().select("class", F.lit(0).alias("spare0"), F.lit(0).alias("spare1"), F.lit(0).alias("parity"))
     parts = link_classes(known, entries, spare, n, percent)

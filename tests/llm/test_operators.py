@@ -295,13 +295,13 @@ def test_every_long_repeat_holds_a_common_passage():
 
 
 def test_units_against_all_pairs(spark, docs):
-    """Components of the units equal those of all pairs of units compared."""
+    """Components of the units equal those of all pairs of lines compared, and of equal passages."""
     rows, _ = planted(12)
     near = [(100 + i, " ".join(x if j != 30 * (i % 2) + 20 else "changed" for j, x in enumerate(t.split()))) for i, t in rows[:8]]
     both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows + near, "doc_id long, text string"))
     made = [r for r in paragraphs.units(both.where("doc_id IS NOT NULL")).collect()]
-    sets = {r.id: {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for r in made for w in [r.text.lower().split()]}
-    ids, root = sorted(sets), {i: i for i in sets}
+    sets = {r.id: {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for r in made if r.text for w in [r.text.lower().split()]}
+    ids, root = sorted(sets), {r.id: r.id for r in made}
 
     def top(x: int) -> int:
         while root[x] != x:
