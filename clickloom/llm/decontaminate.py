@@ -2,20 +2,21 @@
 
 1. Documents become passages of `PASSAGE` words, one every `STEP` words, that cover the whole text. Document
    frequencies of all benchmark words are counted over all passages of the corpus.
-2. Weighted passages are projected into a latent space. Its basis comes from a distributed randomised SVD of the
-   TF-IDF passages: every task multiplies its passages with a random test matrix and sums (V x rank) products,
-   which are of fixed size; one power iteration sharpens them. The rows are the corpus' passages that can match
-   (below) and the benchmark's items.
-3. Candidates are passages and items whose cosine reaches the threshold and, since a short or half kept item is a
-   small part of a passage, all others that the checks may accept: an accepted stretch misses at most a known number
-   of an item's words, so it holds some of its rarest ones. The checks refuse what has fewer; nothing else is left out.
-   Passages that hold no stretch of this kind enter neither the comparison nor the basis.
-4. Candidates are checked by the longest common subsequence of the item's words and the words around the passage;
-   an item counts as contained when the subsequence covers `EXACT` of it, or `PARAPHRASE` of it and the answer
-   (the words of its last sentence) is there too. An item of fewer than `LEAST` words has to be there word for word.
-
-The benchmark is the stated query set: it is collected in blocks of at most `ITEMS` items and no more than the rank, so
-that the basis holds every item of its block whole. Each block is searched against all rows.
+2. The latent space is spanned by the singular vectors of the items' TF-IDF rows, weighted by the corpus. A block has
+   no more items than the space may have dimensions, so all directions of its items are kept. What a text has besides
+   is orthogonal to every item, so directions of the corpus would change no product; none are taken from it.
+3. Every `STEP` words of the corpus are projected, and their inner products with the items add up over the words around
+   a passage. An accepted stretch holds a known number of an item's words, and the product of a text with an item has
+   no negative terms, so it reaches at least the sum over the item's lightest words of that number. Candidates are
+   all passages and items whose product around the passage reaches this bound; they alone are checked, and nothing
+   else can pass. Documents are compared as a whole first, by the same bound.
+4. Candidates whose words are enough in number are checked by the longest common subsequence of the item's words and
+   the words around the passage; an item counts as contained when the subsequence covers `EXACT` of it, or `PARAPHRASE`
+   of it and the answer (the words of its last sentence) is there too. An item of fewer than `LEAST` words has to be
+   there word for word.
+
+The benchmark is the stated query set: it is collected in blocks of at most `ITEMS` items and no more than the rank.
+Each block is searched against all rows.
 
 Defined cases: null texts and items and those without words match nothing; repeated documents match alike; an empty
 table gives no rows; columns other than ids and texts are not read.
@@ -23,9 +24,9 @@ table gives no rows; columns other than ids and texts are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,14 @@ from pyspark.sql import functions as F
 from clickloom.llm.common import by_bytes, ragged, read, small_batches
 
 PASSAGE, STEP, LEAST = 48, 16, 8
-RANK, OVERSAMPLE = 256, 16
+RANK = 256
 ITEMS = RANK
-COSINE = 0.35
+#: Pieces of `STEP` words that are projected at once, and passages of a longer text that are looked at together.
+PIECES, LONG = 2048, 8192
+#: Candidates of one item among so many passages in a row are checked together before they are checked alone.
+TOGETHER = 4
+#: Share of the norms of a text and an item by which their product in single precision may be off.
+SLACK = 1e-5
 EXACT, PARAPHRASE, ANSWER = 0.8, 0.5, 0.6
 
 _KEEP = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -73,16 +79,19 @@ def block_of(rows: list) -> Items:
     return out
 
 
-def codes_of(text: str | None, vocabulary: dict[bytes, int]) -> np.ndarray:
-    """The text's words as codes; -1 for words that no item has."""
-    found = tokens(text)
-    get = vocabulary.get
-    return np.fromiter((get(w, -1) for w in found), np.int32, len(found))
+def codes_of(texts: list[str | None], vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' words as codes (-1 for words that no item has), and the n + 1 offsets of the texts into them."""
+    found: list[bytes] = []
+    ends = [0]
+    for text in texts:
+        found += tokens(text)
+        ends.append(len(found))
+    return np.fromiter(map(vocabulary.get, found, repeat(-1)), np.int32, len(found)), np.array(ends)
 
 
-def passages(n: int) -> np.ndarray:
+def passages(n: int) -> range:
     """Starts of the passages of a text of n words."""
-    return np.arange(0, max(n - PASSAGE, 0) + STEP, STEP) if n else np.zeros(0, np.int64)
+    return range(0, max(n - PASSAGE, 0) + STEP, STEP) if n else range(0)
 
 
 def frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
@@ -93,13 +102,15 @@ def frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total = np.zeros(width, np.int64), 0
         for b in by_bytes(frames, 0):
-            for text in b.column(0).to_pylist():
-                codes = codes_of(text, shared.value)
-                # Passages that do not overlap count words once each; the step only repeats them.
-                total += -(-len(codes) // PASSAGE)
-                at = np.flatnonzero(codes >= 0)
-                key = np.unique(at // PASSAGE * width + codes[at])
-                seen += np.bincount(key % width, minlength=width)
+            codes, offsets = codes_of(b.column(0).to_pylist(), shared.value)
+            # Passages that do not overlap count words once each; the step only repeats them.
+            n = -(-np.diff(offsets) // PASSAGE)
+            first = np.cumsum(n) - n
+            at = np.flatnonzero(codes >= 0)
+            text = np.searchsorted(offsets, at, "right") - 1
+            key = np.unique((first[text] + (at - offsets[text]) // PASSAGE) * width + codes[at])
+            seen += np.bincount(key % width, minlength=width)
+            total += int(n.sum())
         hit = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1)), pa.array(np.append(seen[hit], total))], ["code", "n"])
 
@@ -114,167 +125,159 @@ def frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
     return n, total
 
 
-#: Places of an item's rarer words that a stretch must hold to be checked (fewer if the item needs fewer words).
-RARE = 4
+def least(share: float, n: int) -> int:
+    """The smallest number whose share of n reaches `share`."""
+    return next(k for k in range(n + 1) if k / n >= share)
 
 
-def needed(n: int) -> int:
-    """Words of an item of n words that an accepted stretch holds at least, repeated ones counted as often as held."""
-    return n if n < LEAST else math.ceil(PARAPHRASE * n)
+def needed(n: int) -> tuple[int, int]:
+    """Words of an item of n words that an accepted stretch holds at least, repeated ones counted as often as held: with
+    its answer, and whatever the answer."""
+    return (n, n) if n < LEAST else (least(PARAPHRASE, n), least(EXACT, n))
 
 
 @dataclass
-class Rare:
-    """Per word, the items of which it is one of the rarer (`of`, cut by `offsets`); per item, its words, how many of
-    the rarer ones a stretch must hold, how long the stretch is, and how often it has each word (last: no word)."""
-
-    offsets: np.ndarray
-    of: np.ndarray
+class Space:
+    """The latent space of a block: per word its weighted place (last: no word), per item its place, the product that
+    the words around a passage reach if they hold the item, its words, how many of them an accepted stretch holds with
+    the answer and without, how many words of the answer, which words these are, how often it has each word
+    (last: no word) and whether it has it, item by item."""
+
+    weight: np.ndarray
+    words: np.ndarray
+    items: np.ndarray
+    bound: np.ndarray
     size: np.ndarray
     need: np.ndarray
-    hits: np.ndarray
-    stretch: np.ndarray
+    exact: np.ndarray
+    reply: np.ndarray
+    replies: np.ndarray
     times: np.ndarray
+    own: np.ndarray
 
 
-def rare_words(items: Items, weight: np.ndarray) -> Rare:
-    """The rarer words of all items. An accepted stretch misses at most size - needed places of the item, so of words
-    with so many places and `RARE` more it holds `RARE` places, whichever they are."""
-    pairs, hits = [], []
-    every = np.zeros((len(items.words), len(weight) + 1), np.int16)
+def space_of(items: Items, weight: np.ndarray) -> Space:
+    """All right singular vectors of the items' TF-IDF rows: products with items are exact in their span."""
+    times = np.zeros((len(items.words), len(weight) + 1), np.int32)
     for i, codes in enumerate(items.words):
-        some, times = np.unique(codes, return_counts=True)
-        order = np.argsort(-weight[some], kind="stable")
-        hits.append(min(RARE, needed(len(codes))))
-        last = int(np.searchsorted(np.cumsum(times[order]), len(codes) - needed(len(codes)) + hits[-1]))
-        keep = some[order[: last + 1]]
-        pairs.append(np.stack([keep, np.full(len(keep), i)], 1))
-        every[i, some] = times
-    table = np.concatenate(pairs)
-    table = table[np.argsort(table[:, 0], kind="stable")]
+        np.add.at(times[i], codes, 1)
+    rows = times[:, :-1] * weight
+    _, s, v = np.linalg.svd(rows, full_matrices=False)
+    basis = v[s > 1e-9 * s[0]].T
+    words = np.concatenate([weight[:, None] * basis, np.zeros((1, basis.shape[1]))])
     size = np.array([len(codes) for codes in items.words])
-    stretch = np.where(size < LEAST, size, 2 * size)
-    return Rare(np.searchsorted(table[:, 0], np.arange(len(weight) + 1)), table[:, 1], size, np.array([needed(int(n)) for n in size]), np.array(hits), stretch, every)
-
-
-def promising(codes: np.ndarray, rare: Rare) -> tuple[np.ndarray, np.ndarray]:
-    """(number of a passage, item) of all pairs that the checks may accept: around the passage, a stretch holds enough
-    of the item's rarer words, and all words around it make up what the item needs. Pairs come by passage and item."""
-    none = np.zeros(0, np.int64)
-    at = np.flatnonzero(codes >= 0)
-    count = (rare.offsets[1:] - rare.offsets[:-1])[codes[at]]
-    at, count = at[count > 0], count[count > 0]
-    if not len(at):
-        return none, none
-    item = rare.of[ragged(rare.offsets[codes[at]], count)]
-    order = np.argsort(item, kind="stable")
-    item, place = item[order], np.repeat(at, count)[order]
-    last = np.arange(len(item)) + rare.hits[item] - 1
-    end = np.minimum(last, len(item) - 1)
-    good = (last < len(item)) & (item[end] == item) & (place[end] - place < rare.stretch[item])
-    item, low, high = item[good], place[good], place[end[good]]
-    # Passages whose surroundings, a passage and the item's size on both sides, hold the stretch.
-    size = rare.size[item]
-    first = np.maximum(-(-(high + 1 - PASSAGE - size) // STEP), 0)
-    final = np.minimum((low + size) // STEP, len(passages(len(codes))) - 1)
-    n, wide = len(rare.size), np.maximum(final - first + 1, 0)
-    key = np.unique(ragged(first, wide) * n + np.repeat(item, wide))
-    passage, item = key // n, key % n
-    keep = [enough(codes, passage[i : i + 4096], item[i : i + 4096], rare) for i in range(0, len(key), 4096)]
-    keep = np.concatenate([np.zeros(0, bool), *keep])
-    return passage[keep], item[keep]
-
-
-def enough(codes: np.ndarray, passage: np.ndarray, item: np.ndarray, rare: Rare) -> np.ndarray:
-    """Whether the words around the passage are as many of the item's, each counted as often as the item has it, as it needs."""
-    size, width = rare.size[item], rare.times.shape[1]
-    low = np.maximum(passage * STEP - size, 0)
-    long = np.minimum(passage * STEP + PASSAGE + size, len(codes)) - low
-    pair, near = np.repeat(np.arange(len(item)), long), codes[ragged(low, long)]
-    own = rare.times[item[pair], near] > 0
-    key, there = np.unique(pair[own] * width + near[own], return_counts=True)
-    held = np.minimum(there, rare.times[item[key // width], key % width])
-    return np.bincount(key // width, held, len(item)) >= rare.need[item]
-
-
-def vector(codes: np.ndarray, start: int, weight: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """Distinct codes of a passage, their TF-IDF, and the norm of the whole passage."""
-    some, tf = np.unique(codes[start : start + PASSAGE], return_counts=True)
-    outside = 0.0
-    if len(some) and some[0] < 0:
-        outside = float(tf[0]) * unknown**2
-        some, tf = some[1:], tf[1:]
-    w = tf * weight[some]
-    return some, w, float(np.sqrt((w**2).sum() + outside))
-
-
-def matching(codes: np.ndarray, starts: np.ndarray, weight: np.ndarray, unknown: float, cosine: float) -> list[tuple[int, np.ndarray, np.ndarray, float]]:
-    """(start, distinct codes, TF-IDF, norm of the whole passage) of the passages whose bound reaches the threshold."""
-    if not len(starts):
-        return []
-    known = codes >= 0
-    square = np.where(known, weight[codes] ** 2, 0.0)
-    a, z = starts, np.minimum(starts + PASSAGE, len(codes))
-    total = np.concatenate([[0.0], np.cumsum(square)])
-    rest = np.concatenate([[0], np.cumsum(~known)])
-    # A word that is there t times counts t squared, so a passage of p words has at most p times the sum over its places.
-    inside, outside = (total[z] - total[a]) * PASSAGE, (rest[z] - rest[a]) * unknown**2
-    out = []
-    for i in np.flatnonzero(inside >= cosine**2 * (inside + outside)):
-        some, w, norm = vector(codes, int(a[i]), weight, unknown)
-        if len(some) and np.sqrt((w**2).sum()) >= cosine * norm:
-            out.append((int(a[i]), some, w, norm))
-    return out
-
-
-def sketch(docs: DataFrame, items: Items, weight: np.ndarray, unknown: float, cosine: float, q: np.ndarray) -> np.ndarray:
-    """A'A q for the matrix A of all matching passages (unit rows): one fixed-size product per task, summed by Spark."""
-    shared = docs.sparkSession.sparkContext.broadcast((items.vocabulary, weight, q.astype(np.float32), rare_words(items, weight)))
-
-    def multiply(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, weight, q, rare = shared.value
-        out, touched = np.zeros(q.shape, np.float64), np.zeros(len(q), bool)
-        for b in by_bytes(frames, 0):
-            for text in b.column(0).to_pylist():
-                codes = codes_of(text, vocabulary)
-                starts = STEP * np.unique(promising(codes, rare)[0])
-                for _, some, w, norm in matching(codes, starts, weight, unknown, cosine):
-                    w = w / norm
-                    out[some] += w[:, None] * (w @ q[some])
-                    touched[some] = True
-        at = np.flatnonzero(touched)
-        for i in range(0, len(at), 256):
-            part = at[i : i + 256]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(list(out[part]), pa.list_(pa.float64()))], ["code", "v"])
-
-    rows = docs.select("text").mapInArrow(multiply, "code long, v array<double>")
-    parts = rows.select("code", F.posexplode("v").alias("k", "x")).groupBy("code", "k").agg(F.sum("x").alias("x"))
-    out = np.zeros(q.shape)
-    for r in parts.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("v")).toLocalIterator():
-        out[r.code] = [e.x for e in r.v]
+    need, exact = np.array([needed(int(n)) for n in size]).T
+    replies = np.zeros(times.shape, bool)
+    bound, reply = np.zeros(len(size)), np.zeros(len(size), np.int64)
+    for i, codes in enumerate(items.words):
+        answer = np.unique(items.answers[i])
+        replies[i, answer] = True
+        reply[i] = least(ANSWER, len(answer)) if size[i] >= LEAST else 0
+        # Every word held adds its own square weight, as often as the item has it. The least sum of `exact` places, or of
+        # `need` places with `reply` words of the answer among them: the lightest of the answer, then of the rest.
+        value = times[i] * np.append(weight, 0) ** 2
+        lightest = answer[np.argsort(value[answer], kind="stable")[: reply[i]]]
+        rest = times[i].copy()
+        rest[lightest] -= 1
+        rest = np.sort(np.repeat(value, rest))[: max(need[i] - reply[i], 0)]
+        bound[i] = min(np.sort(value[codes])[: exact[i]].sum(), value[lightest].sum() + rest.sum())
+    return Space(weight, words.astype(np.float32), (rows @ basis).astype(np.float32), bound, size, need, exact, reply, replies, times, times.ravel() > 0)
+
+
+def project(codes: np.ndarray, piece: np.ndarray, n: int, words: np.ndarray) -> np.ndarray:
+    """The latent sums of n pieces; `codes` are known words, `piece` (ascending) says where each belongs."""
+    count = np.bincount(piece, minlength=n)
+    first = np.cumsum(count) - count
+    order = np.argsort(-count, kind="stable")
+    out = np.zeros((n, words.shape[1]), np.float32)
+    for k in range(int(count.max(initial=0))):  # at most `STEP` words
+        m = int((count > k).sum())
+        out[:m] += words[codes[first[order[:m]] + k]]
+    back = np.empty(n, np.int64)
+    back[order] = np.arange(n)
+    return out[back]
+
+
+def candidates(codes: np.ndarray, offsets: np.ndarray, space: Space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, number of a passage, item) of all pairs whose product around the passage reaches the item's bound."""
+    side = -(-space.size // STEP)  # pieces on both sides of a passage that may count
+    beyond = int(side.max())
+    units = []  # text, first passage, end, first piece, end
+    for text, n in enumerate(np.diff(offsets).tolist()):
+        many, pieces = len(passages(n)), -(-n // STEP)
+        for a in range(0, many, LONG):
+            z = min(a + LONG, many)
+            units.append((text, a, z, max(a - beyond, 0), min(z - 1 + PASSAGE // STEP + beyond, pieces)))
+    units = np.array(units, np.int64).reshape(-1, 5)
+    pieces = np.cumsum(units[:, 4] - units[:, 3])
+    bound = (1 - 1e-6) * space.bound
+    known = np.flatnonzero(codes >= 0)
+    # A last place adds to every product by how much it may be off.
+    items = np.append(space.items, np.linalg.norm(space.items, axis=1)[:, None], axis=1).T
+    out = [np.zeros((3, 0), np.int64)]
+    i = 0
+    while i < len(units):
+        j = max(i + 1, int(np.searchsorted(pieces, (pieces[i - 1] if i else 0) + PIECES, "right")))
+        text, first, end, low, high = units[i:j].T
+        after = np.cumsum(high - low)
+        start = after - (high - low)
+        left, right = np.searchsorted(known, [offsets[text] + low * STEP, np.minimum(offsets[text] + high * STEP, offsets[text + 1])])
+        at = known[ragged(left, right - left)]
+        points = project(codes[at], (at - np.repeat(offsets[text] + (low - start) * STEP, right - left)) // STEP, int(after[-1]), space.words)
+        points = np.append(points, SLACK * np.linalg.norm(points, axis=1)[:, None], axis=1)
+        total = np.zeros((len(points) + 1, len(bound)))
+        np.cumsum(points @ items, axis=0, dtype=np.float64, out=total[1:])
+        unit, item = np.nonzero(total[after] - total[start] >= bound)  # the text as a whole
+        many = (end - first)[unit]
+        passage, unit, item = ragged(first[unit], many), np.repeat(unit, many), np.repeat(item, many)
+        a = np.maximum(passage - side[item], low[unit]) + (start - low)[unit]
+        z = np.minimum(passage + PASSAGE // STEP + side[item], high[unit]) + (start - low)[unit]
+        some = np.flatnonzero(total[z, item] - total[a, item] >= bound[item])
+        out.append(np.stack([text[unit[some]], passage[some], item[some]]))
+        i = j
+    return tuple(np.concatenate(out, 1))
+
+
+def enough(codes: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, space: Space) -> np.ndarray:
+    """Whether the words from low to high are as many of the item's, each counted as often as the item has it, as it
+    needs: with enough words of the answer, or without."""
+    width = space.times.shape[1]
+    out = np.zeros(len(item), bool)
+    for i in range(0, len(item), 2048):
+        k, long = item[i : i + 2048], (high - low)[i : i + 2048]
+        near = codes[ragged(low[i : i + 2048], long)]
+        near += np.where(near < 0, width, 0).astype(np.int32)  # no word comes last
+        at = np.flatnonzero(space.own[np.repeat(k * width, long) + near])
+        pair = np.repeat(np.arange(len(k)), long)[at]
+        some = (np.bincount(pair, minlength=len(k)) >= space.need[k])[pair]
+        key, there = np.unique(pair[some] * width + near[at[some]], return_counts=True)
+        of, word = key // width, key % width
+        held = np.bincount(of, np.minimum(there, space.times[k[of], word]), len(k))
+        reply = np.bincount(of, space.replies[k[of], word], len(k))
+        out[i : i + 2048] = (held >= space.exact[k]) | (held >= space.need[k]) & (reply >= space.reply[k])
     return out
 
 
-def basis(docs: DataFrame, items: Items, weight: np.ndarray, unknown: float, cosine: float, matrix: np.ndarray, rank: int, seed: int = 3) -> np.ndarray:
-    """Orthonormal columns: the items' own directions, then those of the TF-IDF passages that add most to them.
-
-    Randomised range finder with one power step. A block has no more items than the rank, so the first columns span all
-    of them and the product of a passage with an item is exact, however frequent other passages are.
-    """
-    columns = min(rank + OVERSAMPLE, *matrix.shape)
-    start = matrix.T @ np.random.default_rng(seed).normal(size=(len(matrix), columns))
-    q, _ = np.linalg.qr(start)
-    y = sketch(docs, items, weight, unknown, cosine, q)
-    y = y / max(np.abs(y).max(), 1e-12)
-    u, s, _ = np.linalg.svd(y - q @ (q.T @ y), full_matrices=False)
-    return np.concatenate([q, u[:, s > 1e-9][:, : rank + OVERSAMPLE - columns]], 1)
+def cosine(codes: np.ndarray, k: int, space: Space, unknown: float) -> float:
+    """Latent cosine of a passage and an item; words that no item has lengthen the passage."""
+    some, tf = np.unique(codes, return_counts=True)
+    weight = np.where(some < 0, unknown, space.weight[some])
+    square = (tf**2 * weight**2)[some >= 0].sum() + (tf * weight**2)[some < 0].sum()
+    product = (tf.astype(np.float32) @ space.words[some]) @ space.items[k]
+    return float(product / np.sqrt(square) / np.linalg.norm(space.items[k])) if (some >= 0).any() else 0.0
 
 
-def lcs(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, one bit row per word of b."""
+def places_of(a: np.ndarray) -> dict[int, int]:
+    """The places of every word of a, one bit each."""
     masks: dict[int, int] = {}
     for i, x in enumerate(a.tolist()):
         masks[x] = masks.get(x, 0) | 1 << i
+    return masks
+
+
+def lcs(a: np.ndarray, b: np.ndarray, masks: dict[int, int] | None = None) -> int:
+    """Length of the longest common subsequence, one bit row per word of b; `masks`: the places of a's words, if known."""
+    masks = places_of(a) if masks is None else masks
     full = (1 << len(a)) - 1
     v = full
     for x in b.tolist():
@@ -283,24 +286,24 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def contained(items: Items, k: int, near: np.ndarray) -> tuple[float, float]:
+def contained(items: Items, k: int, near: np.ndarray, times: np.ndarray, masks: dict[int, int]) -> tuple[float, float]:
     """Shares of an item and of its answer that the words around a passage hold; an item below `LEAST` words is there
-    whole, in one run, or not at all."""
+    whole, in one run, or not at all. `times`: how often the item has each word; `masks`: where."""
     item = items.words[k]
     size = len(item)
     if size < LEAST:
         there = len(near) >= size and (np.lib.stride_tricks.sliding_window_view(near, size) == item).all(1).any()
         return float(there), float(there)
     # Other words do not lengthen a subsequence.
-    share = lcs(item, near[np.isin(near, item)]) / size
+    share = lcs(item, near[times[near] > 0], masks) / size
     if share < PARAPHRASE:
         return share, 0.0
     # The subsequence may not be scattered: it has to fit into a stretch twice as long as the item.
-    share = max(lcs(item, near[j : j + 2 * size]) for j in range(0, max(len(near) - size, 1), max(size // 2, 1))) / size
+    share = max(lcs(item, near[j : j + 2 * size], masks) for j in range(0, max(len(near) - size, 1), max(size // 2, 1))) / size
     return share, float(np.isin(np.unique(items.answers[k]), near).mean())
 
 
-def find(docs: DataFrame, items: Items, rank: int = RANK, cosine: float = COSINE) -> DataFrame:
+def find(docs: DataFrame, items: Items) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer): documents that contain an item."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, cosine double, lcs double, answer double"
@@ -309,56 +312,52 @@ def find(docs: DataFrame, items: Items, rank: int = RANK, cosine: float = COSINE
     n, total = frequencies(docs, items)
     weight = np.log((1 + total) / (1 + n)) + 0.1
     unknown = float(weight.mean())  # words that no item has weigh as much as an item's word on average
-    matrix = np.zeros((len(items.ids), len(weight)))
-    for i, codes in enumerate(items.words):
-        np.add.at(matrix[i], codes, weight[codes])
-    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-    space = basis(docs, items, weight, unknown, cosine, matrix, rank)
-    latent = matrix @ space
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    shared = spark.sparkContext.broadcast((items, weight, space.astype(np.float32), latent.astype(np.float32), rare_words(items, weight)))
+    shared = spark.sparkContext.broadcast((items, space_of(items, weight)))
 
     def search(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, weight, space, latent, rare = shared.value
+        items, space = shared.value
+        masks = [places_of(x) for x in items.words]
         for b in by_bytes(frames, 1):
-            rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                codes = codes_of(text, items.vocabulary)
-                passage, item = promising(codes, rare)
-                pairs = set(zip((passage * STEP).tolist(), item.tolist()))
-                found = matching(codes, STEP * np.unique(passage), weight, unknown, cosine)
-                for i in range(0, len(found), 256):
-                    part = found[i : i + 256]
-                    at = np.stack([(w / norm).astype(np.float32) @ space[some] for _, some, w, norm in part])
-                    pairs.update((part[p][0], k) for p, k in zip(*(x.tolist() for x in np.nonzero(at @ latent.T >= cosine))))
-                best: dict[int, tuple] = {}
-                for start, k in sorted(pairs):
-                    size = len(items.words[k])
-                    near = codes[max(0, start - size) : start + PASSAGE + size]
-                    share, answer = contained(items, k, near)
-                    if share >= EXACT or share >= PARAPHRASE and answer >= ANSWER:
-                        some, w, norm = vector(codes, start, weight, unknown)
-                        close = float((w / norm).astype(np.float32) @ space[some] @ latent[k]) if len(some) else 0.0
-                        best[k] = max(best.get(k, (0.0, 0.0, 0.0)), (share, answer, close))
-                rows += [(doc_id, items.ids[k], c, s, a) for k, (s, a, c) in sorted(best.items())]
-            if rows:
+            codes, offsets = codes_of(b.column(1).to_pylist(), items.vocabulary)
+            text, passage, item = candidates(codes, offsets, space)
+            order = np.lexsort((passage, item, text))
+            text, passage, item = text[order], passage[order], item[order]
+            start = offsets[text] + passage * STEP
+            low, high = np.maximum(start - space.size[item], offsets[text]), np.minimum(start + PASSAGE + space.size[item], offsets[text + 1])
+            # Neighbours first as one: what a passage's surroundings hold, those of all of them hold.
+            new = np.flatnonzero(np.diff(text, prepend=-1) | np.diff(item, prepend=-1) | np.diff(passage // TOGETHER, prepend=-1))
+            end = np.append(new[1:], len(item))[: len(new)]
+            keep = enough(codes, low[new], high[end - 1], item[new], space)
+            keep[keep] = [lcs(items.words[k], (near := codes[x:z])[space.times[k][near] > 0], masks[k]) >= need
+                          for k, x, z, need in zip(*(v[keep].tolist() for v in (item[new], low[new], high[end - 1], space.need[item[new]])))]
+            some = ragged(new[keep], (end - new)[keep])
+            some = some[enough(codes, low[some], high[some], item[some], space)]
+            best: dict[tuple[int, int], tuple] = {}
+            for t, k, a, x, z in zip(*(v[some].tolist() for v in (text, item, start, low, high))):
+                share, answer = contained(items, k, codes[x:z], space.times[k], masks[k])
+                if share >= EXACT or share >= PARAPHRASE and answer >= ANSWER:
+                    close = cosine(codes[a : min(a + PASSAGE, offsets[t + 1])], k, space, unknown)
+                    best[t, k] = max(best.get((t, k), (0.0, 0.0, 0.0)), (share, answer, close))
+            if best:
+                ids = b.column(0).to_pylist()
+                rows = [(ids[t], items.ids[k], c, s, a) for (t, k), (s, a, c) in sorted(best.items())]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in schema.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(search, schema)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float = COSINE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
     """All (doc_id, item_id) pairs over all blocks of the benchmark."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows, out, held = benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator(), None, []
     for r in rows:
         held.append(r)
         if len(held) == min(ITEMS, rank):
-            part = find(docs, block_of(held), rank, cosine)
+            part = find(docs, block_of(held))
             out, held = part if out is None else out.unionByName(part), []
     if held or out is None:
-        part = find(docs, block_of(held), rank, cosine)
+        part = find(docs, block_of(held))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -6,9 +6,12 @@ import hashlib
 import itertools
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from clickloom.llm import chat, decontaminate, jaccard, langid, packing, paragraphs, suffixes, toxicity, vectors, warc
@@ -399,6 +402,50 @@ def test_decontamination_leaves_out_only_what_the_checks_refuse(spark):
     assert found == want
 
 
+def test_latent_products_decide_which_pairs_are_checked(spark, monkeypatch):
+    """All that the checks accept is a candidate; most of the rest is not; without candidates nothing is found."""
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{k}" for k in range(3000)])
+    chance = 1 / np.arange(1, 3001)
+    text = lambda n: " ".join(rng.choice(words, n, p=chance / chance.sum()))
+    items = [text(n) for n in (9, 12, 20, 30, 45, 70, 3, 1)]
+    texts = [text(n) for n in rng.integers(0, 260, 60)] + ["", None]
+    for i in range(40):
+        own = items[i % 6].split()
+        texts.append(" ".join([text(rng.integers(1, 90)), *[w for w in own if rng.random() < 0.6 + 0.01 * i], text(rng.integers(1, 90))]))
+    block = decontaminate.block_of([Row(item_id=i, text=t) for i, t in enumerate(items)])
+    codes, offsets = decontaminate.codes_of(texts, block.vocabulary)
+    space = decontaminate.space_of(block, np.array([0.1 + np.log1p(int(w[1:])) for w in block.vocabulary]))
+    found = set(zip(*(x.tolist() for x in decontaminate.candidates(codes, offsets, space))))
+    every = 0
+    for t, n in enumerate(np.diff(offsets).tolist()):
+        for p, start in enumerate(decontaminate.passages(n)):
+            for k, size in enumerate(space.size.tolist()):
+                near = codes[offsets[t] + max(0, start - size) : offsets[t] + min(n, start + 48 + size)]
+                share, answer = decontaminate.contained(block, k, near, space.times[k], decontaminate.places_of(block.words[k]))
+                every += 1
+                assert share < 0.8 and not (share >= 0.5 and answer >= 0.6) or (t, p, k) in found
+    assert 0 < len(found) < 0.5 * every
+    monkeypatch.setattr(decontaminate, "LONG", 3)
+    monkeypatch.setattr(decontaminate, "PIECES", 7)
+    assert set(zip(*(x.tolist() for x in decontaminate.candidates(codes, offsets, space)))) >= {x for x in found if x[2] < 6 and accepted(texts[x[0]] or "", items[x[2]])}
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(i, k) for i, t in enumerate(texts) for k, item in enumerate(items) if accepted(t or "", item)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == want and want
+    none = np.zeros(0, np.int64)
+    frames = [pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": texts})]
+    held = {}
+    fake = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))),
+                           select=lambda *a: SimpleNamespace(mapInArrow=lambda f, schema: held.update(f=f)))
+    monkeypatch.setattr(decontaminate, "frequencies", lambda docs, items: (np.ones(len(items.vocabulary)), 9))
+    decontaminate.find(fake, block)
+    assert sum(b.num_rows for b in held["f"](iter(frames))) == len(want)
+    monkeypatch.setattr(decontaminate, "candidates", lambda codes, offsets, space: (none, none, none))
+    assert not list(held["f"](iter(frames)))
+
+
 def test_lcs():
     rng = np.random.default_rng(3)
     for _ in range(20):
