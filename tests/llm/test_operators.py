@@ -121,6 +121,23 @@ def test_special_strings_and_case(spark):
         assert np.frombuffer(words.encode(t), "<u4").tolist() == encoder.encode(t, add_special_tokens=False).ids, t
 
 
+def test_new_words_are_encoded_in_one_call(monkeypatch):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.tokenizer_path())
+    own = ["The river, the RIVER. a1b2 x,y ,, . ... don't I'M", "", " \n ", "<|endoftext|> A<|STARTOFTEXT|>b é. É! 漢字? ß: \u0130.", "stone; " * 40, "x" * 3000 + ".", "été straße, ﬁn? e\u0301t\u00e9; ꜩ ª. ǅ! ςσΣ. \u0301a ａｂ. 你好, ñandú!"]
+    own += [t or "" for _, t in texts()]
+    want = [np.asarray(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in own]
+    for most in (600_000, 30):
+        monkeypatch.setattr(packing, "CACHE_WORDS", most)
+        cache, calls = packing.WordIds(packing.tokenizer_path()), []
+        real = cache.encoder
+        cache.encoder = SimpleNamespace(encode_batch_fast=lambda words, **k: calls.append(words) or real.encode_batch_fast(words, **k))
+        assert cache.encode_all(own) == want and len(calls) == 1
+        assert not any(packing.is_letters(w.encode()) for w in calls[0])
+        assert cache.encode_all(own[:3]) == want[:3] and cache.encode_all([]) == []
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_uses_every_piece(seed):
     rng = np.random.default_rng(seed)
