@@ -16,6 +16,7 @@ an empty table gives no rows; only the id and text columns are read.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -84,7 +85,8 @@ class WordIds(dict):
 
     def letters(self, word: bytes) -> bytes:
         """Ids of a word of lower-case letters only (a pre-token as it stands)."""
-        return np.array([t.id for t in self.merges(word.decode("latin-1").translate(BYTE_LEVEL))], "<u4").tobytes()
+        ids = [t.id for t in self.merges(word.decode("latin-1").translate(BYTE_LEVEL))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def learn(self, new: set[bytes]) -> None:
         """Put words that are not in the cache there."""
@@ -96,7 +98,7 @@ class WordIds(dict):
             else:
                 ask.append(word)
         for word, found in zip(ask, self.encoder.encode_batch_fast([w.decode() for w in ask], add_special_tokens=False)):
-            self[word] = np.array(found.ids, "<u4").tobytes()
+            self[word] = struct.pack(f"<{len(found.ids)}I", *found.ids)
         for word, (letters, last) in split.items():
             self[word] = self[letters] + self[last]
 
@@ -108,11 +110,12 @@ class WordIds(dict):
         new = {w for i in open_ for w, ids in zip(words[i], found[i]) if ids is None}
         if len(self) + len(new) > CACHE_WORDS:
             self.clear()
-            new = {w for i in open_ for w in words[i]}
         if new:
             self.learn(new)
         for i in open_:
-            found[i] = map(self.__getitem__, words[i])
+            ids, w = found[i], words[i]
+            for k in [k for k, x in enumerate(ids) if x is None]:
+                ids[k] = self[w[k]]
         return list(map(b"".join, found))
 
     def encode(self, text: str) -> bytes:
