@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return roundtrip(df, f"llm-{name}")
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column in one array, and the n + 1 offsets of its rows. Null is empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -13,7 +13,10 @@
    found make components. What is left are pairs of different components that share a signature. A class may
    leave out as many signatures as it has spare ones, and leaves out those that meet the most components
    (cost-based allocation); all other such pairs are checked, so no link between components is lost.
-5. Checks compare whole sets: pair by pair, or, for signatures that meet many components, block by block.
+   Of pairs that meet in few signatures only those are checked that share one more signature than can be missing.
+5. Checks compare whole sets: pair by pair, or, for signatures that meet many components, group by group: classes of
+   signatures with the same least class are one group. A group is cut into blocks of so many bytes, and every two blocks
+   meet in a task.
 
 Defined cases: null or empty texts and texts of spaces have an empty set and link with nothing; fewer words
 than n: the whole sequence is one shingle; null ids link with nothing; repeated rows give repeated results, and rows that share an id
@@ -30,15 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import LOWER, by_bytes, components, mix, partitions, read, small_batches, span_hashes, utf8, words, written
+from clickloom.llm.common import LOWER, by_bytes, components, mix, partitions, read, release, small_batches, span_hashes, utf8, words, written
 
 N, PERCENT = 4, 85
 #: Share of spare segments, and the greatest H for which one-deletion neighbourhoods are used.
 SPARE, SHORT = 0.2, 3
 #: Text bytes per run, and signatures per reading task aimed at.
 RUN_BYTES, TASK_SIGNATURES = 1 << 23, 2_000_000
-#: Signatures that meet this many components are compared in blocks of so many sets, others pair by pair.
-MANY, BLOCK = 16, 128
+#: Signatures that meet this many components are compared group by group, others pair by pair; spare ones are left out from LEAVE on.
+MANY, LEAVE = 16, 8
+#: Bytes of sets in a block of a group, and sets of a block that are multiplied at once.
+BLOCK_BYTES, TILE = 1 << 22, 256
 #: Bits of the filter that thins texts before a join; its size is fixed, its answers are checked by the join.
 FILTER_BITS = 1 << 23
 #: Names a row by its id and its text.
@@ -261,46 +266,75 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return written(of.join(ids, "id", "left_semi").dropDuplicates(["id"]), "jaccard-sets")
 
 
+def meeting(sets: list[np.ndarray], parts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): for each part that a link joins to others, the least part that it can reach."""
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    sets, size = [sets[i] for i in order], np.array([len(sets[i]) for i in order])
+    names, label = np.unique(parts[order], return_inverse=True)
+    _, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    doc = np.repeat(np.arange(len(sets)), size)
+    keep = times[where] > 1  # values of one set alone are in no intersection
+    doc, where = doc[keep], where[keep]
+    root = np.arange(len(names))
+    for i in range(0, len(sets), TILE):
+        here = slice(i, min(i + TILE, len(sets)))
+        a, z = np.searchsorted(doc, [here.start, here.stop])
+        columns, column = np.unique(where[a:z], return_inverse=True)
+        for j in range(i, len(sets), TILE):
+            there = slice(j, min(j + TILE, len(sets)))
+            if 100 * size[here.stop - 1] < percent * size[j]:
+                break  # sizes ascend: no later set is near enough in size
+            if (label[here] == label[i]).all() and (label[there] == label[i]).all():
+                continue
+            c, d = np.searchsorted(doc, [there.start, there.stop])
+            at = np.searchsorted(columns, where[c:d])
+            hit = columns[np.minimum(at, len(columns) - 1)] == where[c:d] if len(columns) else np.zeros(d - c, bool)
+            other, at = doc[c:d][hit] - j, at[hit]
+            common = np.zeros((here.stop - i, there.stop - j), np.float32)
+            for first in range(0, len(columns), 4096):
+                left, right = np.zeros((len(common), 4096), np.float32), np.zeros((common.shape[1], 4096), np.float32)
+                some = (column >= first) & (column < first + 4096)
+                left[doc[a:z][some] - i, column[some] - first] = 1
+                some = (at >= first) & (at < first + 4096)
+                right[other[some], at[some] - first] = 1
+                common += left @ right.T
+            near = 100 * common >= percent * (size[here][:, None] + size[there][None] - common)
+            near &= label[here][:, None] != label[there][None]
+            x, y = np.nonzero(near)
+            if not len(x):
+                continue
+            for u, v in np.unique(np.stack([label[here][x], label[there][y]]), axis=1).T.tolist():
+                while root[u] != u:
+                    u = root[u]
+                while root[v] != v:
+                    v = root[v]
+                root[max(u, v)] = min(u, v)
+            while (root != root[root]).any():
+                root = root[root]
+            label = root[label]
+    some = np.flatnonzero(root != np.arange(len(root)))
+    return names[root[some]], names[some]
+
+
 def checked_blocks(docs: DataFrame, entries: DataFrame, n: int, percent: int) -> DataFrame:
     """Edges (a, b) that connect the linked sets within each signature of entries (signature, class).
 
-    A signature's sets are dealt into blocks by hash, and every two blocks meet in a task of their own, where one
-    product of 0/1 matrices counts all intersections. Only one edge per set comes back.
+    With a column `part`, sets of one part count as connected and the edges are between parts. A signature's sets are
+    dealt by hash into blocks of about BLOCK_BYTES, mostly one, and every two blocks meet in a task of their own.
     """
-    sizes = written(entries.groupBy("signature").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")), "jaccard-sizes")
+    entries = entries if "part" in entries.columns else entries.withColumn("part", F.col("class"))
     ids = written(entries.select(F.col("class").alias("id")).distinct(), "jaccard-ids")
-    rows = entries.join(sets_of(docs, ids, n).withColumnRenamed("id", "class"), "class")
-    rows = rows.join(sizes, "signature").withColumn("own", F.pmod(F.xxhash64("class", "signature"), "blocks"))
+    of = sets_of(docs, ids, n).withColumnRenamed("id", "class")
+    sizes = entries.join(of.select("class", F.octet_length("items").alias("bytes")), "class")
+    sizes = written(sizes.groupBy("signature").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("long").alias("blocks")), "jaccard-sizes")
+    rows = entries.join(sizes, "signature").withColumn("own", F.pmod(F.xxhash64("class", "signature"), "blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("signature", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "items")
+    rows = rows.select("signature", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class", "part").join(of, "class")
 
     def meet(table: pa.Table) -> pa.Table:
-        own, ids = table.column("own").to_numpy(), table.column("class").to_numpy()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in table.column("items").chunks for x in c]
-        size = np.array([len(x) for x in sets])
-        values, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        doc = np.repeat(np.arange(len(sets)), size)
-        common = np.zeros((len(sets), len(sets)), np.float32)
-        shared = np.cumsum(times > 1) - 1  # column of each value that two sets hold
-        keep = times[where] > 1
-        doc, where = doc[keep], shared[where[keep]]
-        order = np.argsort(where, kind="stable")
-        doc, where = doc[order], where[order]
-        for first in range(0, int(shared[-1]) + 1 if len(shared) else 0, 4096):
-            a, z = np.searchsorted(where, [first, first + 4096])
-            part = np.zeros((len(sets), 4096), np.float32)
-            part[doc[a:z], where[a:z] - first] = 1
-            common += part @ part.T
-        near = 100 * common >= percent * (size[:, None] + size[None] - common)
-        np.fill_diagonal(near, True)  # values of one set alone are not in the product
-        low = ids.copy()
-        while True:
-            new = np.where(near, low[:, None], np.iinfo(np.int64).max).min(0)
-            if (new == low).all():
-                break
-            low = new
-        some = low != ids
-        return pa.table([pa.array(low[some]), pa.array(ids[some])], ["a", "b"])
+        a, b = meeting(sets, table.column("part").to_numpy(), percent)
+        return pa.table([pa.array(a), pa.array(b)], ["a", "b"])
 
     return written(rows.groupBy("signature", "i", "j").applyInArrow(meet, "a long, b long").distinct(), "jaccard-links")
 
@@ -335,28 +369,42 @@ def link_classes(known: DataFrame, entries: DataFrame, spare: DataFrame, n: int,
     classes may share; spare: (class, spare0, spare1, parity), the signatures a class may leave out among those
     of its own band (last bit = parity) and of the next.
     """
-    # Each class against the class that is most often the least of its signatures.
-    least = written(entries.groupBy("signature").agg(F.min("class").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "jaccard-least")
-    shared = entries.join(least, "signature").where("class <> least").groupBy("class", "least").agg(F.count("*").alias("n"))
+    # Each class against the class that is most often the least of its signatures, if they share as many as linked ones do.
+    spark = entries.sparkSession
+    spare = spare.select("class", F.array("spare0", "spare1").alias("spare"), "parity")
+    next_ = F.when(F.pmod("signature", F.lit(2)) == F.col("parity"), 0).otherwise(1).alias("next")
+    least = written(entries.groupBy("signature").agg(F.min("class").alias("least")), "jaccard-least")
+    shared = entries.join(least, "signature").where("class <> least").groupBy("class", "least", F.pmod("signature", F.lit(2)).alias("signature")).agg(F.count("*").alias("n"))
+    shared = shared.join(spare, "class").withColumn("next", next_).where(F.col("n") > F.col("spare")[F.col("next")])
     best = shared.groupBy("class").agg(F.max(F.struct("n", (-F.col("least")).alias("neg"))).alias("top"))
     stars = written(best.select((-F.col("top.neg")).alias("a"), F.col("class").alias("b")), "jaccard-stars")
+    release(spark)
     links = checked(known, stars, n, percent)
+    release(spark)
     parts = written(components(links, "jaccard-cc"), "jaccard-parts")
 
     # What is left: pairs of different parts that share a signature which one of them cannot leave out.
-    entries = entries.join(least, "signature", "left_semi").join(parts.withColumnRenamed("node", "class"), "class", "left")
+    entries = entries.join(parts.withColumnRenamed("node", "class"), "class", "left")
     entries = written(entries.select("signature", "class", F.coalesce("component", "class").alias("part")), "jaccard-left")
     cost = entries.groupBy("signature", "part").agg(F.lit(1).alias("one")).groupBy("signature").agg(F.count("*").alias("cost")).where("cost > 1")
     entries = written(entries.join(written(cost, "jaccard-cost"), "signature"), "jaccard-open")
-    priced = entries.join(spare, "class").withColumn("next", (F.pmod("signature", F.lit(2)) != F.col("parity")))
-    rank = F.row_number().over(Window.partitionBy("class", "next").orderBy(F.desc("cost"), "signature"))
-    kept = priced.withColumn("rank", rank).where(F.col("rank") > F.when(F.col("next"), F.col("spare1")).otherwise(F.col("spare0")))
-    kept = written(kept.select("signature", F.col("class").alias("x"), F.col("part").alias("px"), "cost"), "jaccard-kept")
+    release(spark)
+    priced = entries.join(spare, "class").select("*", next_).withColumn("spare", F.col("spare")[F.col("next")])
+    of_class = Window.partitionBy("class", "next")
+    out = (F.row_number().over(of_class.orderBy(F.desc("cost"), "signature")) <= F.col("spare")) & (F.col("cost") >= LEAVE)
+    priced = priced.withColumn("out", out.cast("int")).withColumn("need", F.col("spare") + 1 - F.sum("out").over(of_class))
+    kept = written(priced.where("out = 0").select("signature", F.col("class").alias("x"), F.col("part").alias("px"), "cost", "next", "need"), "jaccard-kept")
     many = kept.where(F.col("cost") >= MANY).select("signature").distinct()
-    blocks = checked_blocks(known, entries.join(many, "signature", "left_semi").select("signature", "class"), n, percent)
+    groups = entries.join(many, "signature", "left_semi").join(least, "signature").select(F.col("least").alias("signature"), "class", "part").distinct()
+    blocks = checked_blocks(known, written(groups, "jaccard-groups"), n, percent)
+    release(spark)
+    # A pair that meets in a group is compared there; any other that links shares `need` signatures of x, all met by few.
     pairs = kept.where(F.col("cost") < MANY).join(entries.select("signature", F.col("class").alias("y"), F.col("part").alias("py")), "signature").where("px <> py")
+    pairs = pairs.groupBy("x", "y", "next").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need")
     pairs = written(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "jaccard-pairs")
+    release(spark)
     more = checked(known, pairs, n, percent)
+    release(spark)
     edges = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").unionByName(more).unionByName(blocks)
     return written(components(edges, "jaccard-cc"), "jaccard-parts")
 
@@ -376,8 +424,11 @@ def near_copies(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
     total = full.agg(F.sum(F.col("n_shingles"))).first()[0] or 0
     tasks = max(partitions(spark), -(-int(total * 0.4) // TASK_SIGNATURES))
     sign = lambda data, offsets: signatures(shingles(data, offsets, n), percent)[:2]
-    found = repeated_signatures(known, sign, tasks)
-    entries = written(found.join(of_doc, "doc_id").select("signature", "class").distinct(), "jaccard-entries")
+    # Only the text that names a class is signed: copies have its signatures.
+    copies = written(of_doc.where("doc_id <> class").select("doc_id").distinct(), "jaccard-copies")
+    known = known.join(copies, "doc_id", "left_anti")
+    entries = written(repeated_signatures(known, sign, tasks).select("signature", F.col("doc_id").alias("class")).distinct(), "jaccard-entries")
+    release(spark)
     upper = F.array(*[F.lit(int(u)) for u in bands(percent)[0]])
     own = F.size(F.filter(upper, lambda u: u < F.col("n")))
     parts = link_classes(known, entries, classes.select("class", "spare0", "spare1", (own % 2).alias("parity")), n, percent)

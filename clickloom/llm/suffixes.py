@@ -21,7 +21,6 @@ empty table gives no rows; only the id and text columns are read.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import by_bytes, mix, partitions, ragged, read, row_hashes, small_batches, span_hashes, utf8, written
+from clickloom.llm.common import by_bytes, mix, partitions, ragged, read, release, row_hashes, small_batches, span_hashes, utf8, written
 from clickloom.llm.jaccard import thinned
 
 WIDTH, GRAM = 50, 24
@@ -380,12 +379,6 @@ def open_of(b: pa.RecordBatch, row: np.ndarray, h: np.ndarray, column: int) -> n
     return table[np.minimum(np.searchsorted(table, mine), len(table) - 1)] == mine
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, gone, suffixes): per document, hashes of stretches and of single windows to remove."""
     spark = docs.sparkSession

@@ -204,6 +204,35 @@ def test_blocks_agree_with_pairs(spark):
     assert set(low) == set(range(1, 30)) and set(low.values()) == {0}
 
 
+def test_a_class_is_once_in_a_group_however_many_signatures_it_shares(spark, monkeypatch):
+    """Rows of a group grow with its classes, not with its square; results are those of all pairs."""
+    rng, rows = np.random.default_rng(4), []
+    base = prose(7, 150).split()
+    for i in range(300):
+        w = list(base)
+        for k in rng.choice(len(w), 6, False):
+            w[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(w)))
+    met, plain = [], jaccard.checked_blocks
+    monkeypatch.setattr(jaccard, "checked_blocks", lambda docs, entries, n, percent: met.append(entries) or plain(docs, entries, n, percent))
+    got = {r.doc_id: r.component_id for r in jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(t.split()[k : k + 4]) for k in range(147)} for i, t in rows}
+    edges = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert got == roots(set(sets), edges)
+    assert 0 < met[0].count() <= 10 * len(rows)
+
+
+def test_tiles_agree_with_pairs():
+    rng = np.random.default_rng(1)
+    full = [np.unique(rng.integers(0, 1 << 40, 60, dtype=np.uint64)) for _ in range(8)]
+    sets = [np.unique(x[rng.random(len(x)) > 0.08]) for x in full for _ in range(90)]  # three tiles
+    edges = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2)
+             if 100 * (n := len(np.intersect1d(sets[a], sets[b], True))) >= 85 * (len(sets[a]) + len(sets[b]) - n)]
+    want = roots(set(range(len(sets))), edges)
+    a, b = jaccard.meeting(sets, np.arange(len(sets)), 85)
+    assert {int(y): int(x) for x, y in zip(a, b)} == {i: r for i, r in want.items() if i != r}
+
+
 # --- suffixes --------------------------------------------------------------------------------------------------
 
 
