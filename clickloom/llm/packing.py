@@ -92,7 +92,10 @@ class WordIds(dict):
         """Put words that are not in the cache there."""
         split = {w: (w[:-1], w[-1:]) for w in new if w[-1:] in CLOSING and is_letters(w[:-1])}
         ask = []
-        for word in (new - split.keys()).union(*split.values()).difference(self):
+        # `difference(self)` would walk through the whole cache, as it is not a plain dict.
+        for word in (new - split.keys()).union(*split.values()):
+            if word in self:
+                continue
             if is_letters(word):
                 self[word] = self.letters(word)
             else:

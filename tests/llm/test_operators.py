@@ -138,6 +138,17 @@ def test_new_words_are_encoded_in_one_call(monkeypatch):
         assert cache.encode_all(own[:3]) == want[:3] and cache.encode_all([]) == []
 
 
+def test_new_words_do_not_walk_through_the_cache():
+    class Watched(packing.WordIds):
+        def __iter__(self):
+            raise AssertionError("walked through")
+
+    words, plain = Watched(packing.tokenizer_path()), packing.WordIds(packing.tokenizer_path())
+    for text in ("some words, here", "here, words. Some 12 other wörds!"):
+        ids = plain.encoder.encode(text, add_special_tokens=False).ids
+        assert words.encode(text) == np.array(ids, "<u4").tobytes()
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_uses_every_piece(seed):
     rng = np.random.default_rng(seed)
