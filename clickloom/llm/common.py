@@ -38,6 +38,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let go of shuffle files that nothing refers to any more."""
+    spark.sql("SELECT 1").collect()  # listeners keep the last query until they hear of another
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -77,10 +78,19 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+# Powers up to here are kept, by base; longer texts get theirs anew.
+_KEPT, _kept = (1 << 16) + 1, {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
+    if n <= _KEPT and base in _kept:
+        return _kept[base][:n]
+    out = np.full(max(n, _KEPT), base, np.uint64)
     out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    out = np.cumprod(out, dtype=np.uint64)
+    if len(out) == _KEPT:
+        _kept[base] = out
+    return out[:n]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import time
 import zlib
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -15,7 +17,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from clickloom.llm import chat, decontaminate, jaccard, langid, packing, paragraphs, suffixes, toxicity, vectors, warc
-from clickloom.llm.common import components, row_hashes, small_batches, span_hashes
+from clickloom.llm.common import components, release, row_hashes, small_batches, span_hashes, written
 
 WORDS = "alpha beta gamma delta river stone window garden yellow quiet seven letter market paper morning silver".split()
 
@@ -299,6 +301,65 @@ def test_stretches_of_many_texts_are_those_of_each():
         assert (end - first)[mine].sum() == max(len(text) - suffixes.WIDTH + 1, 0)
 
 
+def test_suffixes_of_texts_whose_anchors_come_again(spark):
+    rng = np.random.default_rng(11)
+    some = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    a, b, c = some(70), some(24), some(40)
+    texts = ["=" * 130, "x" + "=" * 90 + "y", some(30) + b * 4 + some(30), b * 3, some(9) + b * 2 + some(40), "ab" * 60, "b" + "ab" * 40 + some(20),
+             some(60) + a + some(5), some(3) + a[:60] + some(50), a[9:], some(20) + c + some(20), some(30) + c + some(30), "ha! " * 30, some(10) + "ha! " * 14 + "!", "é" * 40, "xé" * 30 + "é" * 30]
+    rows = [(i - 3, t) for i, t in enumerate(texts * 2)] + [(1 << 40, texts[2][5:] + texts[7][:90]), (5, texts[9] + texts[11])]
+    first: dict[bytes, int] = {}
+    for i, t in sorted(rows):
+        for p in range(len(raw := t.encode()) - 49):
+            first.setdefault(raw[p : p + 50], i)
+    want = []
+    for i, t in rows:
+        mark = bytearray(len(raw := t.encode()))
+        for p in range(len(raw) - 49):
+            if first[raw[p : p + 50]] < i:
+                mark[p : p + 50] = b"\1" * 50
+        want.append((i, sum(mark), hashlib.sha256(bytes(x for x, m in zip(raw, mark) if not m)).hexdigest()))
+    got = suffixes.digest(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in got.collect()) == sorted(want)
+
+
+def test_only_windows_that_share_most_bytes_are_sorted(spark):
+    rng = np.random.default_rng(12)
+    some = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    phrase, passage = some(41), some(60)
+
+    def left(texts):
+        found = suffixes.settle_stretches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4)
+        return found.where(found.kind == suffixes.OPEN).count()
+
+    assert left([some(80) + phrase + some(80) for _ in range(12)]) < 12  # at least one for each of them before; equal short hashes leave a few
+    assert left([some(80) + passage + some(80) for _ in range(2)]) > 0
+
+
+def test_packed_ids():
+    for ids in ([3], [-5, -5, 7], [0, 200, 70_000], [1, 1 << 33], [-(1 << 63), (1 << 63) - 1], [9, 9, 9]):
+        ids = np.array(ids, np.int64)
+        assert (suffixes.unpack_ids(*suffixes.pack_ids(ids)) == ids).all() and (suffixes.unpack_rising(*suffixes.pack_rising(ids)) == ids).all()
+    assert len(suffixes.pack_rising(np.arange(10**6, 10**6 + 5000))[0]) == 5000
+
+
+def test_release_lets_go_of_shuffle_files_of_the_last_query(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {str(f) for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    release(spark)
+    time.sleep(2)
+    before = files()
+    written(spark.range(1000).repartition(5, "id"), "test-release")
+    mine = files() - before
+    assert mine
+    release(spark)
+    for _ in range(50):
+        if not mine & files():
+            break
+        time.sleep(0.1)
+    assert not mine & files()
+
+
 def test_row_hashes_are_span_hashes():
     rows = np.random.default_rng(5).integers(0, 256, (40, suffixes.WIDTH), dtype=np.uint8)
     at = np.arange(len(rows)) * suffixes.WIDTH
