@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from ctypes import CDLL
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow that hands freed memory back to the system when a task ends: workers outlive their tasks, and an
+    executor has more of them than cores where a stage has two such functions."""
+
+    def each(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(frames)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(CDLL(None), "malloc_trim", None):  # glibc has it
+            trim(0)
+
+    return each
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column in one array, and the n + 1 offsets of its rows. Null is empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

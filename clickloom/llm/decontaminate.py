@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import by_bytes, ragged, read, small_batches
+from clickloom.llm.common import by_bytes, ragged, read, small_batches, tidy
 
 PASSAGE, STEP, LEAST = 48, 16, 8
 RANK = 256
@@ -114,7 +114,7 @@ def frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
         hit = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1)), pa.array(np.append(seen[hit], total))], ["code", "n"])
 
-    got = docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    got = docs.select("text").mapInArrow(tidy(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(width, np.int64)
     total = 0
     for r in got:  # a row per word of the vocabulary at most
@@ -344,7 +344,7 @@ def find(docs: DataFrame, items: Items) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in schema.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(search, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(search), schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:

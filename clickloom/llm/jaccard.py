@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import LOWER, by_bytes, components, mix, partitions, read, release, small_batches, span_hashes, utf8, words, written
+from clickloom.llm.common import LOWER, by_bytes, components, mix, partitions, read, release, small_batches, span_hashes, tidy, utf8, words, written
 
 N, PERCENT = 4, 85
 #: Share of spare segments, and the greatest H for which one-deletion neighbourhoods are used.
@@ -137,7 +137,7 @@ def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (sizes, keys[:, 0], keys[:, 1], spare[0], spare[1])), b.column(2)],
                                              [x.split()[0] for x in schema.split(", ")])
 
-    return docs.withColumn("both", ID_AND_TEXT()).mapInArrow(run, schema)
+    return docs.withColumn("both", ID_AND_TEXT()).mapInArrow(tidy(run), schema)
 
 
 def told_apart(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
@@ -229,8 +229,8 @@ def repeated_signatures(docs: DataFrame, sign, tasks: int) -> DataFrame:
             for i in range(0, len(some), 100_000):
                 yield rows(s[some[i : i + 100_000]], ids[some[i : i + 100_000]])
 
-    packed = docs.mapInArrow(emit, "task int, known boolean, s binary, ids binary, low long, narrow boolean")
-    return packed.repartition(tasks, "task").mapInArrow(gather, "signature long, doc_id long")
+    packed = docs.mapInArrow(tidy(emit), "task int, known boolean, s binary, ids binary, low long, narrow boolean")
+    return packed.repartition(tasks, "task").mapInArrow(tidy(gather), "signature long, doc_id long")
 
 
 def thinned(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def thinned(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in b.columns[:-1]], names)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.withColumn("__at", spot(names[0])).mapInArrow(keep, schema)
+    return docs.withColumn("__at", spot(names[0])).mapInArrow(tidy(keep), schema)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -262,7 +262,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             found = [s.tobytes() for s in shingles(*utf8(b.column(1)), n)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["id", "items"])
 
-    of = thinned(docs, ids).mapInArrow(sets, "id long, items binary")
+    of = thinned(docs, ids).mapInArrow(tidy(sets), "id long, items binary")
     return written(of.join(ids, "id", "left_semi").dropDuplicates(["id"]), "jaccard-sets")
 
 
@@ -359,7 +359,7 @@ def checked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFram
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in (0, 1)], ["a", "b"])
 
-    return written(both.mapInArrow(compare, "a long, b long").distinct(), "jaccard-links")
+    return written(both.mapInArrow(tidy(compare), "a long, b long").distinct(), "jaccard-links")
 
 
 def link_classes(known: DataFrame, entries: DataFrame, spare: DataFrame, n: int, percent: int) -> DataFrame:

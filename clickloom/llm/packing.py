@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import batches, partitions, read, small_batches, written
+from clickloom.llm.common import batches, partitions, read, small_batches, tidy, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -152,7 +152,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
                 names = [x.split()[0] for x in PIECES.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    found = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    found = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(tidy(cut), PIECES)
     return found if with_ids else found.drop("ids")
 
 
@@ -279,7 +279,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in cut.dtypes) + ", sequence_id bigint, offset bigint"
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(tidy(place), schema)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

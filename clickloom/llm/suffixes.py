@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import by_bytes, mix, partitions, ragged, read, release, row_hashes, small_batches, span_hashes, utf8, written
+from clickloom.llm.common import by_bytes, mix, partitions, ragged, read, release, row_hashes, small_batches, span_hashes, tidy, utf8, written
 from clickloom.llm.jaccard import thinned
 
 WIDTH, GRAM = 50, 24
@@ -268,8 +268,8 @@ def settle_stretches(docs: DataFrame, tasks: int) -> DataFrame:
             for i in range(0, len(h), 100_000):
                 yield answer(of[i : i + 100_000], kind, h[i : i + 100_000])
 
-    packed = docs.mapInArrow(emit, fields)
-    return packed.repartition(tasks, "task").mapInArrow(gather, ANSWER)
+    packed = docs.mapInArrow(tidy(emit), fields)
+    return packed.repartition(tasks, "task").mapInArrow(tidy(gather), ANSWER)
 
 
 def left_open(names: np.ndarray, ids: np.ndarray, group: np.ndarray, least: np.ndarray, anchors: np.ndarray, bins: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -468,7 +468,7 @@ def settle_suffixes(docs: DataFrame, tasks: int) -> DataFrame:
         if len(ids):
             yield answer(ids, SUFFIX, row_hashes(rows))
 
-    return docs.mapInArrow(emit, fields).repartition(tasks, "task").mapInArrow(gather, ANSWER)
+    return docs.mapInArrow(tidy(emit), fields).repartition(tasks, "task").mapInArrow(tidy(gather), ANSWER)
 
 
 def open_of(b: pa.RecordBatch, row: np.ndarray, h: np.ndarray, column: int) -> np.ndarray:
@@ -553,7 +553,7 @@ def removed_masks(docs: DataFrame, run, schema: str) -> DataFrame:
         for b in by_bytes(frames, 1, 1 << 20):
             yield run(b, *cover(b))
 
-    return joined.mapInArrow(each, schema)
+    return joined.mapInArrow(tidy(each), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import LOWER, bucket, by_bytes, read, small_batches, span_hashes, sums, utf8, words, written
+from clickloom.llm.common import LOWER, bucket, by_bytes, read, small_batches, span_hashes, sums, tidy, utf8, words, written
 
 TRAIN_ROWS = 20_000
 FOLDS = 5
@@ -230,7 +230,7 @@ def count_stems(rows: DataFrame) -> DataFrame:
             both, n = np.unique(np.stack([pairs[:, 0], kind[pairs[:, 1].astype(np.int64)]], 1), axis=0, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (both[:, 0], both[:, 1], n)], ["stem", "kind", "n"])
 
-    counted = rows.select("text", "fold", "toxic").mapInArrow(count, "stem long, kind long, n long").groupBy("stem")
+    counted = rows.select("text", "fold", "toxic").mapInArrow(tidy(count), "stem long, kind long, n long").groupBy("stem")
     columns = [F.sum(F.when(F.col("kind") == 2 * fold + y, F.col("n")).otherwise(0)).alias(f"n{fold}_{y}") for fold in range(1, FOLDS) for y in (0, 1)]
     toxic = sum((F.col(f"n{fold}_1") for fold in range(1, FOLDS)), F.lit(0))
     return counted.agg(*columns).where(toxic >= SUPPORT)
@@ -273,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *(pa.array(c) for c in x.T)], ["fold", "toxic", *FEATURES])
 
     schema = "fold int, toxic int, " + ", ".join(f"{c} double" for c in FEATURES)
-    got = rows.select("text", "fold", "toxic").mapInArrow(describe, schema).toPandas()
+    got = rows.select("text", "fold", "toxic").mapInArrow(tidy(describe), schema).toPandas()
     got = got.sort_values(list(got.columns), kind="stable")
     x, y, fold = got[FEATURES].to_numpy(), got["toxic"].to_numpy(float), got["fold"].to_numpy()
     margin = np.zeros(len(y))
@@ -293,7 +293,7 @@ def score(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [ident, "score", "predicted"])
 
     kind = docs.schema[ident].dataType.simpleString()
-    return docs.select(ident, F.col(text).cast("string")).mapInArrow(rate, f"`{ident}` {kind}, score double, predicted int")
+    return docs.select(ident, F.col(text).cast("string")).mapInArrow(tidy(rate), f"`{ident}` {kind}, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -305,7 +305,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for b in by_bytes(frames, text):
             yield b.filter(pa.array(shared.value.score(*utf8(b.column(text))) < 0.5))
 
-    return docs.mapInArrow(keep, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)).select(*names)
+    return docs.mapInArrow(tidy(keep), ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)).select(*names)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

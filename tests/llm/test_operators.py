@@ -17,7 +17,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from clickloom.llm import chat, decontaminate, jaccard, langid, packing, paragraphs, suffixes, toxicity, vectors, warc
-from clickloom.llm.common import components, release, row_hashes, small_batches, span_hashes, written
+from clickloom.llm.common import components, release, row_hashes, small_batches, span_hashes, tidy, written
 
 WORDS = "alpha beta gamma delta river stone window garden yellow quiet seven letter market paper morning silver".split()
 
@@ -360,6 +360,26 @@ def test_release_lets_go_of_shuffle_files_of_the_last_query(spark):
     assert not mine & files()
 
 
+def test_tidy_hands_freed_memory_back():
+    resident = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+    kept = []
+
+    def run(frames):
+        yield from frames
+        for _ in range(600):
+            some = bytearray(b"x") * 100_000
+            kept.append(some)
+        del kept[:-1]  # the last one stands above what is free
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2])], ["a"])
+    before = resident()
+    assert list(run(iter([batch]))) == [batch]
+    grown = resident() - before
+    kept.clear()
+    assert list(tidy(run)(iter([batch]))) == [batch]
+    assert grown > 30_000_000 > resident() - before
+
+
 def test_row_hashes_are_span_hashes():
     rows = np.random.default_rng(5).integers(0, 256, (40, suffixes.WIDTH), dtype=np.uint8)
     at = np.arange(len(rows)) * suffixes.WIDTH
