@@ -23,8 +23,9 @@ def read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """Bound the memory of Python workers by the rows of a batch."""
+    """Bound the memory of Python workers and of scans by the rows of a batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(BATCH_ROWS))
     return spark
 
 

@@ -37,7 +37,7 @@ from clickloom.llm.jaccard import thinned
 
 WIDTH, GRAM = 50, 24
 #: Bytes of text per part, suffixes per run, text bytes per exchange task aimed at.
-PART_BYTES, RUN_SUFFIXES, TASK_BYTES = 1 << 23, 1 << 19, 1 << 23
+PART_BYTES, RUN_SUFFIXES, TASK_BYTES = 1 << 22, 1 << 19, 1 << 23
 #: Suffixes that begin with the same bytes of this number go to one task, so that neighbours share long prefixes.
 HEAD = 8
 #: Bytes of texts whose windows are worked out at once.

@@ -360,6 +360,11 @@ def test_release_lets_go_of_shuffle_files_of_the_last_query(spark):
     assert not mine & files()
 
 
+def test_small_batches_bound_scans_too(spark):
+    small_batches(spark)
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
+
+
 def test_tidy_hands_freed_memory_back():
     resident = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096
     kept = []
