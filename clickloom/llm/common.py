@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 from ctypes import CDLL
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.sources.store import roundtrip, scratch_path, shared_dir  # noqa: F401
+from clickloom.sources.store import release, roundtrip, scratch_path, shared_dir  # noqa: F401
 
 # Rows per Arrow batch; texts are long, so that the default of 10,000 would make batches of hundreds of MB.
 BATCH_ROWS = 512
@@ -38,13 +37,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return roundtrip(df, f"llm-{name}")
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffle files that nothing refers to any more."""
-    spark.sql("SELECT 1").collect()  # listeners keep the last query until they hear of another
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """`run` for mapInArrow that hands freed memory back to the system when a task ends: workers outlive their tasks, and an
     executor has more of them than cores where a stage has two such functions."""

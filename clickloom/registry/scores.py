@@ -20,7 +20,7 @@ from clickloom.registry.base import clicks, coded, contest, develop, query, r6,
 from clickloom.registry.groups import CODED_PARTS, develop_coded, stack
 from clickloom.schema import COUNT_KEYS, LABEL, TIME_KEYS, feature_name
 from clickloom.sources.scans import read_table
-from clickloom.sources.store import roundtrip
+from clickloom.sources.store import release, roundtrip
 
 
 @query("sort_by_time", sql("SELECT row_id, epoch_time, row_number() OVER (ORDER BY epoch_time, row_id) - 1 AS position FROM clicks"))
@@ -99,6 +99,7 @@ L2_GAP_NAMES = [f"{k}_{kind}_click_{n}" for k, kinds in L2_GAPS.items() for kind
 L2_COLUMNS = [f"{k}_count" for k in L2_COUNTS] + [f"{k}_expcount" for k in L2_RUNNING] + L2_GAP_NAMES
 NORMAL_GAPS = {"ip": (1,), "ip_device_os": (1,), "ip_device_os_app": (1, 2)}
 NORMAL_GAP_NAMES = [f"{k}_{kind}_click_{n}" for k, ns in NORMAL_GAPS.items() for kind in ("prev", "next") for n in ns]
+WIDE_INPUT = list(dict.fromkeys(["row_id", "epoch_time", LABEL, "hourofday", *L2_RUNNING, *NORMAL_GAPS, *L2_COUNTS]))
 NORMAL_COLUMNS = (
     ["hourofday", *[f"{k}_expmean" for k in L2_RUNNING], *NORMAL_GAP_NAMES, *[f"{k}_count" for k in L2_COUNTS]]
     + [f"{k}_expcount" for k in L2_RUNNING] + ["ip_unq_app"]
@@ -201,18 +202,24 @@ def scale_quantile_normal(spark, sf):
     return done.select("part", "row_id", pairs.alias("p")).select("part", "row_id", "p.name", "p.value")
 
 
+def wide_step(part, name: str):
+    """Written, so that the next step counts and samples a table and not all joins and windows before it."""
+    done = roundtrip(part, name)
+    release(part.sparkSession)
+    return done
+
+
 def wide_features(spark, sf):
     """(tr, val) with the 23 columns, written once: fitting a map and applying it both read them."""
-    base = develop_coded(spark, sf)
-    made = count_features(*base, L2_COUNTS, LABEL)
-    made = distinct_features(*made, [(["ip"], "app")])
-    made = expanding(*made, L2_RUNNING)
-    out = []
-    for part in made:
+    base = [part.select(*WIDE_INPUT) for part in develop_coded(spark, sf)]
+    ordered = []
+    for part, source in zip(expanding(*base, L2_RUNNING), base):
         for key, ns in NORMAL_GAPS.items():
-            part = click_gaps(part, key, prev=ns, nxt=ns)
-        out.append(roundtrip(part.select("row_id", *NORMAL_COLUMNS), "scaled-wide"))
-    return out
+            part = click_gaps(part, key, prev=ns, nxt=ns, source=source)
+        ordered.append(wide_step(part, "wide-ordered"))
+    made = distinct_features(*ordered, [(["ip"], "app")])
+    made = count_features(*made, L2_COUNTS, LABEL)
+    return [wide_step(part.select("row_id", *NORMAL_COLUMNS), "scaled-wide") for part in made]
 
 
 def wide_sql(part: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -76,6 +77,13 @@ def roundtrip(df: DataFrame, name: str, partition_by: str | None = None) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files and plans that nothing refers to any more."""
+    spark.sql("SELECT 1").collect()  # listeners keep the last query until they hear of another
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(
     spark: SparkSession,
     compute: Callable[[], Mapping[str, DataFrame]],
