@@ -171,12 +171,18 @@ KeySets = Sequence[str | Sequence[str]]
 
 
 def count_features(
-    tr: DataFrame, val: DataFrame, key_sets: KeySets, target: str, supp: DataFrame | None = None, chunk_rows: int | None = None
+    tr: DataFrame, val: DataFrame, key_sets: KeySets, target: str, supp: DataFrame | None = None, chunk_rows: int | None = None,
+    by: str | None = None, determines: Sequence[str] = (),
 ) -> list[DataFrame]:
-    """Non-null targets per key, fitted on both tables, or on `tr` and the supplement when one is given."""
-    sets = [as_list(cols) for cols in key_sets]
-    maps = GroupedMaps([tr, val if supp is None else supp], sets, [F.count(target).alias("_n")], [target])
-    tables = [(keys, maps.of(keys).select(*keys, F.col("_n").alias(feature_name(keys, "count")))) for keys in sets]
+    """Non-null targets per key, fitted on both tables, or on `tr` and the supplement when one is given.
+
+    Key sets with a column of `determines`, whose value determines that of `by` (such as a code of a tuple with it), are
+    grouped and joined with `by` in front, so that they share one shuffle of the log unless a value of `by` is hot.
+    """
+    names = {feature_name(as_list(cols), "count"): as_list(cols) for cols in key_sets}
+    sets = {name: [by, *[k for k in keys if k != by]] if set(determines) & set(keys) else keys for name, keys in names.items()}
+    maps = GroupedMaps([tr, val if supp is None else supp], list(sets.values()), [F.count(target).alias("_n")], [target])
+    tables = [(keys, maps.of(keys).select(*keys, F.col("_n").alias(name))) for name, keys in sets.items()]
     return [attach_all(df, tables, chunk_rows) for df in (tr, val)]
 
 

@@ -99,7 +99,11 @@ def encode_all(
         made = {"_".join(cols): cols for cols in key_sets}
         df = df.drop(*made)
         keys, longest = [f"__k{i}" for i in range(len(max(key_sets, key=len)) + 1)], max(key_sets, key=len)
-        both = attach(_null_safe(df, longest), _null_safe(all_codes, longest).select(*keys, *made), keys, chunk_rows=chunk_rows)
+        # A number travels as its stand-in only, and is put back from it.
+        flag = lambda i: F.col(keys[-1]).bitwiseAND(F.lit(1 << i))
+        back = {c: F.when(flag(i) == 0, F.col(f"__k{i}")) for i, c in enumerate(longest) if isinstance(df.schema[c].dataType, T.NumericType)}
+        both = attach(_null_safe(df, longest).drop(*back), _null_safe(all_codes, longest).select(*keys, *made), keys, chunk_rows=chunk_rows)
+        both = both.withColumns(back)
         return both.select(*df.columns, *[F.when(~is_null_key(cols), F.col(code)).alias(code) for code, cols in made.items()])
     return attach_all(df, [(cols, all_codes.select(*cols, "_".join(cols)).distinct()) for cols in key_sets], chunk_rows)
 

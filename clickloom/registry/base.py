@@ -13,8 +13,8 @@ from clickloom.plans.joins import KeySample
 from clickloom.plans.splits import shuffle_partitions
 from clickloom.schema import DICTIONARY_KEYS, VALID_HOURS_SHORT
 from clickloom.session import tune
-from clickloom.sources.scans import EVENTS_ORIGIN, load_clicks
-from clickloom.sources.store import cache_path, is_written, load_bucketed, load_table, save_bucketed, save_table
+from clickloom.sources.scans import EVENTS_ORIGIN, load_clicks, raw_clicks, read_table, with_times
+from clickloom.sources.store import cache_path, is_written, load_bucketed, load_table, release, save_bucketed, save_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,8 +90,12 @@ def stack(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def with_hour(log: DataFrame) -> DataFrame:
+    return log.withColumn("epoch_hour", F.floor(F.col("epoch_time") / HOUR))
+
+
 def clicks(spark: SparkSession, sf: str) -> DataFrame:
-    return load_clicks(tune(spark), sf).withColumn("epoch_hour", F.floor(F.col("epoch_time") / HOUR))
+    return with_hour(load_clicks(tune(spark), sf))
 
 
 def develop(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -116,17 +120,21 @@ def coded(spark: SparkSession, sf: str) -> DataFrame:
 
     It is stored in buckets by ip, unless one ip has so many rows that its bucket would be a task too long.
     """
-    buckets = shuffle_partitions(spark)
+    buckets = shuffle_partitions(tune(spark))
     params = {"keys": DICTIONARY_KEYS, "by": BUCKETED_BY, "buckets": buckets, "version": BASE_VERSION}
     path = cache_path(spark, "base", params, [f"{sf}/events.parquet"])
     plain = f"{path}-plain"
     if is_written(spark, plain):
         return load_table(spark, plain)
     if not is_written(spark, path):
-        log = clicks(spark, sf)
-        base = encode_all(log, [log], DICTIONARY_KEYS)
+        # What follows from the time is added after the shuffles, which move the raw columns only.
+        log, columns = raw_clicks(read_table(spark, sf, "events")), [*clicks(spark, sf).columns, *DETERMINE_IT]
+        base, details = encode_all(log, [log], DICTIONARY_KEYS), lambda df: with_hour(with_times(df)).select(*columns)
+        release(spark)
         if KeySample(log, [BUCKETED_BY]).hot([BUCKETED_BY]):
-            save_table(base, plain)
+            save_table(details(base), plain)
+            release(spark)
             return load_table(spark, plain)
-        save_bucketed(base, path, BUCKETED_BY, buckets)
+        save_bucketed(base, path, BUCKETED_BY, buckets, details)
+        release(spark)
     return load_bucketed(spark, path, BUCKETED_BY, buckets)

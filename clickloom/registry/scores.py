@@ -16,7 +16,7 @@ from clickloom.operators.keys import distinct_keys
 from clickloom.operators.scaling import P_MIN, QuantileMap, normalize_splits, scale_l2
 from clickloom.operators.sequences import histories
 from clickloom.operators.windows import click_gaps, expanding
-from clickloom.registry.base import clicks, coded, contest, develop, query, r6, sql
+from clickloom.registry.base import BUCKETED_BY, DETERMINE_IT, clicks, coded, contest, develop, query, r6, sql
 from clickloom.registry.groups import CODED_PARTS, develop_coded, stack
 from clickloom.schema import COUNT_KEYS, LABEL, TIME_KEYS, feature_name
 from clickloom.sources.scans import read_table
@@ -204,6 +204,7 @@ def scale_quantile_normal(spark, sf):
 
 def wide_step(part, name: str):
     """Written, so that the next step counts and samples a table and not all joins and windows before it."""
+    release(part.sparkSession)
     done = roundtrip(part, name)
     release(part.sparkSession)
     return done
@@ -212,13 +213,14 @@ def wide_step(part, name: str):
 def wide_features(spark, sf):
     """(tr, val) with the 23 columns, written once: fitting a map and applying it both read them."""
     base = [part.select(*WIDE_INPUT) for part in develop_coded(spark, sf)]
+    # A code tells the ip: with the ip beside it, windows and joins of the codes stay where those of the ip have put the rows.
     ordered = []
     for part, source in zip(expanding(*base, L2_RUNNING), base):
         for key, ns in NORMAL_GAPS.items():
-            part = click_gaps(part, key, prev=ns, nxt=ns, source=source)
+            part = click_gaps(part, key, prev=ns, nxt=ns, within=[BUCKETED_BY] if key in DETERMINE_IT else [], source=source)
         ordered.append(wide_step(part, "wide-ordered"))
     made = distinct_features(*ordered, [(["ip"], "app")])
-    made = count_features(*made, L2_COUNTS, LABEL)
+    made = count_features(*made, L2_COUNTS, LABEL, by=BUCKETED_BY, determines=DETERMINE_IT)
     return [wide_step(part.select("row_id", *NORMAL_COLUMNS), "scaled-wide") for part in made]
 
 

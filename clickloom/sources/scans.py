@@ -71,10 +71,10 @@ def skip_limit(
     return pieces.withColumn("_position", place).where(wanted).select(*df.columns)
 
 
-def clicks_from_events(events: DataFrame, origin: dt.datetime = EVENTS_ORIGIN) -> DataFrame:
+def raw_clicks(events: DataFrame) -> DataFrame:
     """Click log view of an event table: ids from the payload and the value, label from the event type."""
     k = F.get_json_object("props", "$.k").cast("int")
-    clicks = events.select(
+    return events.select(
         F.col("event_id").alias(ROW_ID),
         F.col("user_id").alias("ip"),
         (k % 10).alias("app"),
@@ -84,8 +84,16 @@ def clicks_from_events(events: DataFrame, origin: dt.datetime = EVENTS_ORIGIN) -
         F.col("ts").alias("click_time"),
         F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias(LABEL),
     )
+
+
+def with_times(clicks: DataFrame, origin: dt.datetime = EVENTS_ORIGIN) -> DataFrame:
+    """All that follows from the click time: calendar and epoch parts, and the split."""
     return tag_split(time_details(with_calendar(clicks), origin=origin))
 
 
+def clicks_from_events(events: DataFrame, origin: dt.datetime = EVENTS_ORIGIN) -> DataFrame:
+    return with_times(raw_clicks(events), origin)
+
+
 def load_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clicks_from_events(read_table(spark, sf_dir, "events"))

@@ -101,11 +101,15 @@ def _bucket_table(path: str) -> str:
     return f"clickloom_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
 
 
-def save_bucketed(df: DataFrame, path: str, by: str, buckets: int) -> None:
-    """Write a table in buckets by a column, each sorted by it, one file per bucket."""
+def save_bucketed(df: DataFrame, path: str, by: str, buckets: int, finish: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Write a table in buckets by a column, each sorted by it, one file per bucket.
+
+    `finish` adds columns that follow from those of the row, once the rows are in their buckets.
+    """
     spark, table = df.sparkSession, _bucket_table(path)
     spark.sql(f"DROP TABLE IF EXISTS {table}")
-    df.repartition(buckets, by).write.mode("overwrite").bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(table)
+    dealt = df.repartition(buckets, by)
+    (finish(dealt) if finish else dealt).write.mode("overwrite").bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(table)
 
 
 def load_bucketed(spark: SparkSession, path: str, by: str, buckets: int) -> DataFrame:
